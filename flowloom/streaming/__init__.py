@@ -1,0 +1 @@
+"""Empty on purpose: every operator of this package works on batch tables."""
