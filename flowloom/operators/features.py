@@ -25,14 +25,15 @@ def feature_rules(features: list[str], new_features: bool = True) -> list[tuple[
     return rules
 
 
-def _statistic(kind: str, source: str) -> Column:
-    if kind == "unique":
-        return F.size(F.collect_set(source)).cast("long")
-    if kind == "std":
-        return F.stddev_samp(source)
-    if kind == "median":
-        return F.percentile(source, F.lit(0.5))
-    return F.mode(source, True)
+def _statistic(kind: str, source: str, frame=None) -> Column:
+    values = {
+        "unique": F.collect_set(source),
+        "std": F.stddev_samp(source),
+        "median": F.percentile(source, F.lit(0.5)),
+        "mode": F.mode(source, True),
+    }[kind]
+    values = values if frame is None else values.over(frame)
+    return F.size(values).cast("long") if kind == "unique" else values
 
 
 def rolling_features(
@@ -52,7 +53,7 @@ def rolling_features(
     frame = rows.rowsBetween(-(length - 1), Window.currentRow)
     rolled = cut.select(
         *TRACE, "pos", "row_idx", "flow_id", "_piece",
-        *[_statistic(kind, source).over(frame).alias(name) for name, source, kind in rules],
+        *[_statistic(kind, source, frame).alias(name) for name, source, kind in rules],
     )
     later = rows.rowsBetween(Window.currentRow, 1)
     filled = rolled.select(

@@ -35,10 +35,10 @@ PAR = """ par as (select entity, session_id, count(*) as n_flows, min(date_us) a
   cast(case when half > 0 then half * 2500 else 5000000 end as bigint) as stride_ns,
   cast(least(greatest(n_flows // 10000, 10), n_flows) as bigint) as min_len, cast(1500 as bigint) as max_len from par)"""
 
-_AT = """ at as (select s.*, (s.date_us - p.first_us) * 1000 as r, window_ns as w, stride_ns as st,
+_AT = """ tat as (select s.*, (s.date_us - p.first_us) * 1000 as r, window_ns as w, stride_ns as st,
    (p.last_us - p.first_us) * 1000 as span from ses s join prm p using (entity, session_id)),
  tl as (select *, case when span > w then (span - w - 1) // st + 1 else 0 end as tail,
-   case when r > w then (r - w + st - 1) // st else 0 end as low from at)"""
+   case when r > w then (r - w + st - 1) // st else 0 end as low from tat)"""
 
 TW = "with" + SES + "," + PAR + "," + _AT + """,
  k as (select entity, session_id, row_idx, flow_id, unnest(generate_series(low, least(r // st, tail))) as k from tl
@@ -180,10 +180,10 @@ def rolling_features(spark, sf):
 
 def _bin_sql(key):
     return f"""
- k as (select *, {key} as bin from tr),
- s as (select entity, trace_id, bin, count(*) as n_flows, {_stat_sql('')} from k group by 1, 2, 3),
+ kb as (select *, {key} as bin from tr),
+ s as (select entity, trace_id, bin, count(*) as n_flows, {_stat_sql('')} from kb group by 1, 2, 3),
  m as (select entity, trace_id, bin, protocol_num as argmax_protocol_num from (select entity, trace_id, bin, protocol_num,
-   row_number() over (partition by entity, trace_id, bin order by count(*) desc, protocol_num) as rn from k group by 1, 2, 3, 4)
+   row_number() over (partition by entity, trace_id, bin order by count(*) desc, protocol_num) as rn from kb group by 1, 2, 3, 4)
   where rn = 1)
 select entity, trace_id, bin as KEY, n_flows, argmax_protocol_num, {_OUT.format('')}
 from s join m using (entity, trace_id, bin) where n_flows > 1"""
