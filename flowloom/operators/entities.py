@@ -84,10 +84,19 @@ def entity_flows(flows: DataFrame, level: str = "host", both_directions: bool =
     return keyed.unionByName(flows.filter(F.col("src_ip") != F.col("dst_ip")).withColumn("entity", other))
 
 
-def index_flows(flows: DataFrame, level: str = "host", both_directions: bool = False) -> DataFrame:
-    """Flows of each entity numbered from 0 by time, ties by ``flow_id``."""
+def index_flows(
+    flows: DataFrame, level: str = "host", both_directions: bool = False, previous: dict[str, str] | None = None
+) -> DataFrame:
+    """Flows of each entity numbered from 0 by time, ties by ``flow_id``.
+
+    ``previous`` adds values of the flow before, as ``{output: column}``; later
+    entries may refer to earlier ones.
+    """
     keyed = entity_flows(flows, level, both_directions)
-    return OrderedScan(keyed, ["entity"], ["date_us", "flow_id"]).index("row_idx").result()
+    scan = OrderedScan(keyed, ["entity"], ["date_us", "flow_id"]).index("row_idx")
+    for out, column in (previous or {}).items():
+        scan = scan.previous({out: column})
+    return scan.result()
 
 
 def first_flows(indexed: DataFrame, max_flows: int = 20_000) -> DataFrame:

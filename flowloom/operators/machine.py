@@ -13,8 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.scalar import list_index, mixed_radix_code, percentile_bin
-from ..functions.scan import OrderedScan
+from ..functions.scalar import mixed_radix_code
 from .traces import TRACE
 
 START, SINK = "start", "sink"
@@ -25,18 +24,17 @@ START, SINK = "start", "sink"
 def fit_limits(flows: DataFrame, numeric: list[str], categorical: list[str], bins: int = 4) -> DataFrame:
     """``(feature, kind, limits)``: sorted categories, and percentiles at i/bins."""
     probs = [i / bins for i in range(1, bins)]
-    quantiles = exact_quantiles(flows, [], numeric, probs)
-    rows = None
+    sets = [F.sort_array(F.collect_set(F.col(c).cast("double"))).alias(c) for c in categorical]
+    found = exact_quantiles(flows, [], numeric, probs)  # one row
+    if categorical:
+        found = found.withColumn("_sets", flows.agg(F.struct(*sets)).scalar())
+    rows = []
     for place, c in enumerate([*categorical, *numeric]):
-        if c in categorical:
-            values = F.sort_array(F.collect_set(F.col(c).cast("double")))
-            row = flows.agg(values.alias("limits"))
-        else:
-            row = quantiles.select(F.col(f"q_{c}").alias("limits"))
+        limits = F.col(f"_sets.{c}") if c in categorical else F.col(f"q_{c}")
         kind = "category" if c in categorical else "numeric"
-        row = row.select(F.lit(place).alias("place"), F.lit(c).alias("feature"), F.lit(kind).alias("kind"), "limits")
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+        rows.append(F.struct(F.lit(place).alias("place"), F.lit(c).alias("feature"), F.lit(kind).alias("kind"),
+                             limits.alias("limits")))
+    return found.select(F.inline(F.array(*rows)))
 
 
 def read_limits(limits: DataFrame) -> dict[str, tuple[str, list[float]]]:
@@ -44,10 +42,19 @@ def read_limits(limits: DataFrame) -> dict[str, tuple[str, list[float]]]:
     return {r.feature: (r.kind, list(r.limits)) for r in sorted(limits.collect(), key=lambda r: r.place)}
 
 
-def bin_column(feature: str, limits: dict) -> Column:
+def bin_sql(feature: str, limits: dict) -> str:
+    """Bin index of a feature as an expression text; one parse instead of many nested calls."""
     kind, values = limits[feature]
-    value = F.col(feature).cast("double")
-    return list_index(value, values) if kind == "category" else percentile_bin(value, values)
+    listed = "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+    value = f"cast(`{feature}` as double)"
+    if kind == "category":
+        at = f"array_position({listed}, {value})"
+        return f"cast(if({at} > 0, {at} - 1, {len(values)}) as int)"
+    return f"size(filter({listed}, p -> p < {value}))"
+
+
+def bin_column(feature: str, limits: dict) -> Column:
+    return F.expr(bin_sql(feature, limits))
 
 
 def add_symbol(flows: DataFrame, limits: dict, out: str = "symbol") -> DataFrame:
@@ -58,12 +65,10 @@ def add_symbol(flows: DataFrame, limits: dict, out: str = "symbol") -> DataFrame
 
 # ---- context model ----
 
-def add_context(indexed: DataFrame, order: int = 1) -> DataFrame:
-    """Symbols of the ``order`` flows before, as ``before_1 .. before_<order>``."""
-    scan = OrderedScan(indexed, ["entity"], ["date_us", "flow_id"])
-    for step in range(1, order + 1):
-        scan = scan.previous({f"before_{step}": "symbol" if step == 1 else f"before_{step - 1}"})
-    return scan.result()
+def context_columns(order: int = 1) -> dict[str, str]:
+    """Columns ``before_1 .. before_<order>`` for :func:`~.entities.index_flows`: the symbols
+    of the flows before."""
+    return {f"before_{s}": "symbol" if s == 1 else f"before_{s - 1}" for s in range(1, order + 1)}
 
 
 def add_states(trace_flows: DataFrame, order: int = 1) -> DataFrame:
@@ -106,12 +111,12 @@ def learn_state_model(visits: DataFrame, limits: dict) -> StateModel:
 
 def state_bins(visits: DataFrame, limits: dict) -> DataFrame:
     """Observations per bin of every numeric feature, one row per state and feature."""
-    per_feature = []
+    rows = []
     for feature, (kind, values) in limits.items():
         if kind == "numeric":
-            counts = [F.count_if(bin_column(feature, limits) == b) for b in range(len(values) + 1)]
-            per_feature.append(F.struct(F.lit(feature).alias("attr"), F.array(*counts).alias("counts")))
-    counted = visits.groupBy("model_id", "state").agg(F.array(*per_feature).alias("_bins"))
+            counts = ", ".join(f"count_if({bin_sql(feature, limits)} = {b})" for b in range(len(values) + 1))
+            rows.append(f"struct('{feature}' as attr, array({counts}) as counts)")
+    counted = visits.groupBy("model_id", "state").agg(F.expr(f"array({', '.join(rows)})").alias("_bins"))
     return counted.select("model_id", "state", F.inline("_bins"))
 
 

@@ -17,13 +17,16 @@ SESSION_FACTOR = 1 << 32
 TRACE = ["entity", "trace_id"]
 
 
-def sessionize(flows: DataFrame, gap_us: int = SESSION_GAP_US) -> DataFrame:
+def sessionize(flows: DataFrame, gap_us: int = SESSION_GAP_US, previous: dict[str, str] | None = None) -> DataFrame:
     """Adds ``row_idx``, ``gap_us``, ``inner_gap_us`` and ``session_id``.
 
     A gap above the limit opens a session; ``inner_gap_us`` is NULL there.
+    ``previous`` adds values of the flow before, as in :func:`~.entities.index_flows`.
     """
     scan = OrderedScan(flows, ["entity"], ["date_us", "flow_id"])
-    scan = scan.index("row_idx").previous({"_before": "date_us"})
+    scan = scan.index("row_idx")
+    for out, column in {"_before": "date_us", **(previous or {})}.items():
+        scan = scan.previous({out: column})
     scan = scan.with_column("gap_us", F.col("date_us") - F.col("_before"))
     opens = F.when(F.col("gap_us") > gap_us, 1).otherwise(0).cast("long")
     scan = scan.with_column("inner_gap_us", F.when(F.col("gap_us") <= gap_us, F.col("gap_us")))

@@ -29,7 +29,7 @@ def test_flows(spark, sf):
 
 def visits(df, limits, attrs=ATTRS, order=1, keep=()):
     """Indexed flows with symbols, cut into count windows, with their states."""
-    indexed = M.add_context(M.add_symbol(index_flows(df), limits), order)
+    indexed = index_flows(M.add_symbol(df, limits), previous=M.context_columns(order))
     traced = M.add_states(T.count_windows(indexed), order)
     packed = F.array(*[F.col(c).cast("double") for c in attrs]).alias("attrs")
     columns = ["entity", "trace_id", "pos", "row_idx", "flow_id", "symbol", "state", "next_state", *keep]
