@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 PAIR = ["test_set", "entity", "model_id", "method"]
 COUNTS = ["tp", "tn", "fp", "fn"]
 
@@ -129,8 +131,8 @@ def validation_scores(conf: DataFrame, min_host_flows: int | None = None, min_co
 
 def pick_thresholds(scores: DataFrame, percentile: float = 0.1) -> DataFrame:
     """One threshold per level and method, at a percentile of the validation scores."""
-    picked = F.percentile("threshold", F.lit(percentile)).alias("threshold")
-    return scores.groupBy("level", "method").agg(picked)
+    picked = exact_quantiles(scores, ["level", "method"], ["threshold"], [percentile])
+    return picked.select("level", "method", F.col("q_threshold")[0].alias("threshold"))
 
 
 def verdicts(

@@ -59,14 +59,12 @@ def flow_rate(flows: DataFrame, unit_us: int = 1_000_000, parts: int | None = No
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins between smallest and largest value; the last one is closed."""
-    value = F.col(column).cast("double")
-    counted = df.filter(value.isNotNull()).groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ends = counted.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))  # one row
-    ends = ends.select(F.struct("_lo", "_hi").alias("_ends"))
-    counted = counted.withColumn("_ends", ends.scalar()).select("_v", "_n", "_ends.*")
+    values = df.select(F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    ends = values.agg(F.struct(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).alias("_ends"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)))
-    placed = counted.groupBy(at.cast("int").alias("bin")).agg(F.sum("_n").alias("n"))
+    placed = values.withColumn("_ends", ends.scalar()).select("_v", "_ends.*").groupBy(at.cast("int").alias("bin"))
+    placed = placed.agg(F.count(F.lit(1)).alias("n"))
     line = ends.select("_ends.*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     filled = line.join(placed, "bin", "left")
     return filled.select(

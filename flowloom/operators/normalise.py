@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import BIDIRECTIONAL_PROTOCOLS, code_from_list, malicious, port_number
+from ..functions.scan import OrderedScan
 
 FLOW_COLUMNS = [
     "flow_id", "date", "date_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "protocol_num",
@@ -48,7 +49,8 @@ def fill_missing(df: DataFrame, ports: list[str] = ("src_port", "dst_port"), tex
 def category_dictionary(df: DataFrame, column: str, order: str = "flow_id") -> DataFrame:
     """``(value, code)`` by first appearance. One row per category."""
     firsts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("_at"))
-    return firsts.select("value", (F.row_number().over(Window.orderBy("_at")) - 1).cast("int").alias("code"))
+    ranked = OrderedScan(firsts, [], ["_at", "value"]).index("code").result()
+    return ranked.select("value", F.col("code").cast("int").alias("code"))
 
 
 def category_codes(df: DataFrame, column: str, dictionary: DataFrame, out: str) -> DataFrame:

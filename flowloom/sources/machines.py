@@ -9,7 +9,7 @@ from .traces import entity_from_path
 
 # Line shapes of the machine files.
 _NODE = r'(?s)^(\d+) \[\s*label="(.+)".*\];$'
-_EDGE = r'(?s)^(.+) -> (\d+)(?: \[label="(.+)".*\])*;$'
+_EDGE = r'(?s)^(.+) -> (\d+)(?: \[label="(.*)".*\])*;$'
 _INFO = r"((?:fin|symb|attr)\(\d+\)):\[*([\d,]+)\]*"
 _CONDITION = r"(\d+) (<=|>=|==|<|>) (\d+(?:\.\d+(?:e\+\d+)?)?)"
 _SYMBOL_EDGE = r'^(.+) -> (.+) \[label="(.+)"[ style=dotted]*  \];$'
@@ -17,7 +17,7 @@ _SYMBOL = r"(\d+):(\d+)"
 
 
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    whole = spark.read.option("wholetext", "true").text(paths)
+    whole = spark.read.text(paths, wholetext=True)
     path = F.col("_metadata.file_path")
     name = F.regexp_replace(F.element_at(F.split(F.url_decode(path), "/"), -1), r"\.[^.]*$", "")
     return whole.select(name.alias("model_id"), entity_from_path(path).alias("entity"), "value")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import machine as M, traces as T
 from flowloom.operators.entities import index_flows
+from flowloom.session import freeze
 
 from .catalog import CUT_US, flows
 from .q_scalar import LIMITS_CTE, SYMBOL, limits_of
@@ -40,11 +41,12 @@ def trained(spark, sf, attrs=ATTRS):
     df = train_flows(spark, sf)
     limits = limits_of(df)
     v = visits(df, limits, attrs, keep=("protocol_num", "src_bytes", "dst_bytes"))
-    return limits, v.withColumn("model_id", F.col("entity"))
+    # read by states, fits and weights: computed once
+    return limits, freeze(v.withColumn("model_id", F.col("entity")))
 
 
 def tested(spark, sf, limits, attrs=ATTRS):
-    return visits(test_flows(spark, sf), limits, attrs)
+    return freeze(visits(test_flows(spark, sf), limits, attrs))
 
 
 def visits_sql(name, order=1):
