@@ -67,6 +67,11 @@ def writes_ints(features: list[str], aggregated: bool = False) -> bool:
     return "duration" not in features and not (aggregated and "encoding" not in features)
 
 
+def stripped(column: str | Column) -> Column:
+    """Text without white space at its ends, tabs included."""
+    return F.regexp_replace(column, r"^\s+|\s+$", "")
+
+
 def connection_key(src: str = "src_ip", dst: str = "dst_ip") -> Column:
     return F.concat_ws("-", F.col(src), F.col(dst))
 

@@ -27,7 +27,8 @@ def pack_blocks(points: DataFrame, keys: list[str], rows: int = BLOCK_ROWS) -> D
         F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("n_blocks"), F.sum("w").alias("n")
     )
     blocks = points.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("attrs"), F.col("n_blocks")).cast("int"))
-    packed = blocks.groupBy(*keys, "block", "n_blocks", "n").agg(
+    # the work per byte is high: keep all partitions instead of letting small ones be merged
+    packed = spread(blocks, *keys, "block").groupBy(*keys, "block", "n_blocks", "n").agg(
         F.sort_array(F.collect_list(F.struct("attrs", "w"))).alias("_p")
     )
     return packed.select(
@@ -38,6 +39,11 @@ def pack_blocks(points: DataFrame, keys: list[str], rows: int = BLOCK_ROWS) -> D
     )
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partitioned over the session's number of shuffle partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def pair_blocks(queries: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
     """Reference blocks copied to each query block of their group, joined on (group, block).
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ...session import largest_group
-from .blocks import BLOCK_ROWS, distinct_points, matrix, pack_blocks, pair_blocks
+from .blocks import BLOCK_ROWS, distinct_points, matrix, pack_blocks, pair_blocks, spread
 from .stats import MIN_VISITS, STATE, spread_attrs, thin_state
 
 RIDGE = 1e-8  # variance of the 1e-4 noise the method adds to its training points
@@ -60,7 +60,7 @@ def densities(queries: DataFrame, refs: DataFrame, cov: DataFrame, rows: int = B
             out.append(_partial(matrix(q_, r_), points, np.asarray(w_), whiten) / norm)
         return pd.Series(out)
 
-    single = ask.join(known.filter(F.col("n_blocks") == 1), STATE)
+    single = spread(ask.join(known.filter(F.col("n_blocks") == 1), STATE), *STATE, "block")
     found = single.select(*STATE, "points", one("q_xs", "q_rows", "xs", "ws", "n", "cov").alias("density"))
     if largest_group(refs, STATE) > rows:
         found = found.unionByName(_streamed(ask, known.filter(F.col("n_blocks") > 1)))

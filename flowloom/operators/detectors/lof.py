@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ...session import largest_group
 from .blocks import (
     BLOCK_ROWS, distances, distinct_points, kth_distance, matrix, mean_of_k, nearest_sum, pack_blocks, pair_blocks,
+    spread,
 )
 from .stats import MIN_VISITS, STATE, thin_state
 
@@ -57,7 +58,7 @@ def score_lof(
     queries = pack_blocks(distinct_points(visits, keys), keys, rows)
     queries = queries.select(*keys, F.col("block").alias("q_block"), F.col("xs").alias("q_xs"), "points",
                              F.size("ws").alias("q_rows"))
-    single = queries.join(fit.filter(F.col("n_blocks") == 1), keys)
+    single = spread(queries.join(fit.filter(F.col("n_blocks") == 1), keys), *keys, "q_block")
     scored = single.withColumn("lof", _score_one(share, k)("q_xs", "q_rows", "xs", "ws", "kd", "lrd", "n"))
     scored = scored.select(*keys, "points", "lof")
     large = fit.filter(F.col("n_blocks") > 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,6 +29,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """New folder name below the shared checkpoint folder, for tables between jobs."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.scalar import stripped
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -107,7 +109,7 @@ def read_netflow_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Addresses carry their port after the last colon, so IPv6 addresses stay whole.
     """
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t"))
+    lines = spark.read.text(path).select(F.split(stripped("value"), r"\s+").alias("t"))
     t = [F.get("t", F.lit(i)) for i in range(14)]
     body = lines.filter(t[0].rlike(r"^\d"))
     whole = F.concat_ws(" ", t[0], t[1])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.scalar import stripped
 from ..operators.machine import CLAUSES
 from .traces import entity_from_path
 
@@ -23,9 +24,8 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return whole.select(name.alias("model_id"), entity_from_path(path).alias("entity"), "value")
 
 
-def _statements(spark: SparkSession, paths: str | list[str], separator: str) -> DataFrame:
-    parts = F.posexplode(F.split("value", separator)).alias("at", "line")
-    return _files(spark, paths).select("model_id", "entity", parts)
+def _statements(texts: DataFrame, separator: str) -> DataFrame:
+    return texts.select("model_id", F.posexplode(F.split("value", separator)).alias("at", "line"))
 
 
 def _edge_state(text: Column) -> Column:
@@ -33,13 +33,18 @@ def _edge_state(text: Column) -> Column:
 
 
 def read_state_models(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(states, bins, transitions)`` of multivariate machines.
+    """Tables of :func:`parse_state_models`; the model takes the name of its file."""
+    return parse_state_models(_files(spark, paths))
+
+
+def parse_state_models(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(states, bins, transitions)`` of multivariate machines ``(model_id, value)``.
 
     ``fin`` and ``total`` are final and all visits, ``counts`` the observations
     per quantile. Repeated edges are alternatives of one guard. An edge names its
     own source, so lines need no order.
     """
-    lines = _statements(spark, paths, r"\n\t+|\n\}")
+    lines = _statements(texts, r"\n\t+|\n\}")
     label = F.regexp_extract("line", _NODE, 2)
     nodes = lines.filter(F.col("line").rlike(_NODE)).select(
         "model_id", F.when(label == "root", "root").otherwise(F.regexp_extract("line", _NODE, 1)).alias("state"),
@@ -79,8 +84,13 @@ def read_state_models(spark: SparkSession, paths: str | list[str]) -> tuple[Data
 
 
 def read_symbolic_models(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Edges of :func:`parse_symbolic_models`; the model takes the name of its file."""
+    return parse_symbolic_models(_files(spark, paths))
+
+
+def parse_symbolic_models(texts: DataFrame) -> DataFrame:
     """``edges(model_id, src, symbol, dst, cnt)``; of repeated edges the last one counts."""
-    lines = _statements(spark, paths, "\n").withColumn("line", F.trim("line"))
+    lines = _statements(texts, "\n").withColumn("line", stripped("line"))
     edges = lines.filter(F.col("line").rlike(_SYMBOL_EDGE)).select(
         "model_id", "at", F.regexp_extract("line", _SYMBOL_EDGE, 1).alias("src"),
         F.regexp_extract("line", _SYMBOL_EDGE, 2).alias("dst"), F.regexp_extract("line", _SYMBOL_EDGE, 3).alias("text"),

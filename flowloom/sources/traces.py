@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.scalar import record_text
+from ..functions.scalar import record_text, stripped
 from ..operators.traces import TRACE, pack_traces
 
 
@@ -33,7 +33,7 @@ def write_traces(lines: DataFrame, headers: DataFrame, path: str) -> None:
 
 def parse_lines(lines: DataFrame, symbolic: bool = False) -> DataFrame:
     """Records of trace lines: ``pos`` with ``attrs array<double>`` or ``symbol``."""
-    tokens = F.split(F.trim("line"), r"\s+")
+    tokens = F.split(stripped("line"), r"\s+")
     bodies = F.slice(tokens, F.lit(3), F.greatest(F.size(tokens) - 2, F.lit(0)))
     kept = [c for c in lines.columns if c != "line"]
     rows = lines.select(*kept, F.posexplode(bodies).alias("pos", "_t")).withColumn("pos", F.col("pos").cast("long"))

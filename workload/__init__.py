@@ -6,7 +6,7 @@ from . import catalog
 
 
 def all_queries():
-    from . import q_detect, q_entities, q_explore, q_judge, q_machine, q_scalar, q_symbolic, q_traces  # noqa: F401
+    from . import q_detect, q_entities, q_explore, q_judge, q_machine, q_scalar, q_sources, q_symbolic, q_traces  # noqa: F401
 
     return catalog.QUERIES
 
