@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import largest_group, max_group_rows
 from .scan import OrderedScan
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: list[str], columns: list[str], probs: list[float], also: Sequence[Column] = ()
+) -> DataFrame:
     """One row per key; ``q_<column>`` holds the quantiles in the order of ``probs``.
 
+    ``also`` are further aggregates of the same groups.
+
     ``percentile`` keeps all values of a group in one task. Once a group is over
     the row limit the values are counted first and the wanted ranks are read
     from the running count of the sorted distinct values.
     """
     if largest_group(df, keys) <= max_group_rows(df.sparkSession):
         levels = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*keys).agg(*[F.percentile(c, levels).alias(f"q_{c}") for c in columns])
-    parts = [_from_counts(df, keys, c, probs) for c in columns]
+        return df.groupBy(*keys).agg(*also, *[F.percentile(c, levels).alias(f"q_{c}") for c in columns])
+    rest = [df.groupBy(*keys).agg(*also)] if also else []
+    parts = rest + [_from_counts(df, keys, c, probs) for c in columns]
     if not keys:
-        return parts[0].select("*", *[p.scalar().alias(p.columns[0]) for p in parts[1:]])
+        single = [p.select(F.struct("*").alias("_row")).scalar().alias(f"_row{i}") for i, p in enumerate(parts[1:])]
+        return parts[0].select("*", *single).select(*parts[0].columns, *[f"_row{i}.*" for i in range(len(single))])
     return reduce(lambda a, b: a.join(b, keys, "full_outer"), parts)
 
 

@@ -34,11 +34,15 @@ def orient_bidirectional(flows: DataFrame, level: str = "host") -> DataFrame:
         backward = forward.select(F.col("src_ip").alias("dst_ip"), F.col("_own").alias("_other"))
         counted = flows.join(forward, "src_ip").join(backward, "dst_ip", "left")
     else:
-        forward = _counted(flows, ["src_ip", "dst_ip"]).withColumnRenamed("size", "_own")
-        backward = forward.select(
-            F.col("src_ip").alias("dst_ip"), F.col("dst_ip").alias("src_ip"), F.col("_own").alias("_other")
-        )
-        counted = flows.join(forward, ["src_ip", "dst_ip"]).join(backward, ["src_ip", "dst_ip"], "left")
+        # both directions of a pair in one row: one aggregation and one join
+        pair = {"_low": F.least("src_ip", "dst_ip"), "_high": F.greatest("src_ip", "dst_ip")}
+        keyed = flows.withColumns(pair)
+        onward = F.col("src_ip") == F.col("_low")
+        counts = keyed.groupBy("_low", "_high").agg(F.count_if(onward).alias("_there"), F.count_if(~onward).alias("_back"))
+        counted = keyed.join(counts, ["_low", "_high"]).withColumns({
+            "_own": F.when(onward, F.col("_there")).otherwise(F.col("_back")),
+            "_other": F.when(onward, F.col("_back")).otherwise(F.col("_there")),
+        })
     swap = F.coalesce(F.col("_other") > F.col("_own"), F.lit(False))
     pairs = [("src_ip", "dst_ip"), ("src_port", "dst_port"), ("src_bytes", "dst_bytes")]
     swapped = {}
@@ -51,9 +55,8 @@ def orient_bidirectional(flows: DataFrame, level: str = "host") -> DataFrame:
 def major_connection(flows: DataFrame) -> DataFrame:
     """Flows of each host to its most frequent destination; ties go to the smallest."""
     counts = _counted(flows, ["src_ip", "dst_ip"])
-    best = counts.groupBy("src_ip").agg(F.max("size").alias("_best"))
-    winners = counts.join(best, "src_ip").filter(F.col("size") == F.col("_best"))
-    winners = winners.groupBy("src_ip").agg(F.min("dst_ip").alias("dst_ip"))
+    first = F.min_by("dst_ip", F.struct(-F.col("size"), F.col("dst_ip")))
+    winners = counts.groupBy("src_ip").agg(first.alias("dst_ip"))
     return flows.join(winners, ["src_ip", "dst_ip"], "left_semi")
 
 

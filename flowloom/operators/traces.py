@@ -40,18 +40,16 @@ def session_params(sessions: DataFrame) -> DataFrame:
     a microsecond stay whole numbers; a zero median gives 25 ms and 5 ms.
     """
     keys = ["entity", "session_id"]
-    bounds = sessions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_flows"),
-        F.min("date_us").alias("first_us"),
-        F.max("date_us").alias("last_us"),
+    bounds = [
+        F.count(F.lit(1)).alias("n_flows"), F.min("date_us").alias("first_us"), F.max("date_us").alias("last_us"),
         F.min("row_idx").alias("first_idx"),
-    )
-    medians = exact_quantiles(sessions, keys, ["inner_gap_us"], [0.5])
+    ]
+    found = exact_quantiles(sessions, keys, ["inner_gap_us"], [0.5], bounds)
     half_steps = (F.coalesce(F.col("q_inner_gap_us")[0], F.lit(0.0)) * 2).cast("long")
     window = F.when(half_steps > 0, half_steps * 12_500).otherwise(25_000_000)
     stride = F.when(half_steps > 0, half_steps * 2_500).otherwise(5_000_000)
     limits = trace_limits(F.col("n_flows"))
-    return bounds.join(medians, keys, "left").select(
+    return found.select(
         *keys,
         "n_flows",
         "first_us",
@@ -72,9 +70,8 @@ def trace_limits(n_flows: Column) -> tuple[Column, Column]:
 
 def count_windows(indexed: DataFrame, size: int = 100, stride: int = 20) -> DataFrame:
     """Windows of ``size`` flows that start every ``stride`` flows; the last ones are short."""
-    i = F.col("row_idx")
-    first = F.greatest(F.lit(0), F.ceil((i - size + 1) / stride)).cast("long")
-    last = F.floor(i / stride).cast("long")
+    first = F.expr(f"if(row_idx < {size}, 0L, div(row_idx - {size}, {stride}) + 1)")
+    last = F.expr(f"div(row_idx, {stride})")
     return indexed.withColumn("trace_id", F.explode(F.sequence(first, last))).withColumn(
         "pos", F.col("row_idx") - F.col("trace_id") * stride
     )

@@ -14,6 +14,7 @@ from ..operators import dynamic, evaluate as K, machine as M, traces as T
 from ..operators.detectors import forest, kde, lof, stats
 from ..operators.entities import LEVEL_KEYS, index_flows, keep_entities, select_connections, select_hosts
 from ..operators.entities import entity_flows, first_flows
+from ..session import freeze
 
 
 @dataclass
@@ -62,6 +63,7 @@ def trace_records(flows: DataFrame, limits: dict, settings: Settings) -> DataFra
         sessions = T.sessionize(entity_flows(coded, settings.level, settings.both_directions), settings.gap_us, context)
         if settings.max_flows:
             sessions = first_flows(sessions, settings.max_flows)
+        sessions = freeze(sessions)  # read by the parameters and by the windows
         params = T.session_params(sessions)
         cut = T.time_windows if settings.windows == "static" else dynamic.dynamic_windows
         traced = cut(sessions, params)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.scan import OrderedScan
 from flowloom.operators import dynamic, features as R, traces as T
 from flowloom.operators.entities import entity_flows, index_flows
+from flowloom.session import freeze
 from flowloom.operators.similarity import trace_dissimilarity
 from flowloom.sources import traces as text
 
@@ -57,7 +58,8 @@ TRACE_COLUMNS = ["entity", "trace_id", "pos", "row_idx", "flow_id"]
 
 
 def sessions(spark, sf):
-    return T.sessionize(entity_flows(flows(spark, sf)), DAY_US)
+    # read by the parameters and by the windows: computed once
+    return freeze(T.sessionize(entity_flows(flows(spark, sf)), DAY_US))
 
 
 def count_traces(spark, sf):
@@ -72,7 +74,7 @@ def time_gaps(spark, sf):
 
 @query("sessionize", "with" + SES + " select entity, row_idx, flow_id, session_id from ses")
 def sessionize(spark, sf):
-    return sessions(spark, sf).select("entity", "row_idx", "flow_id", "session_id")
+    return T.sessionize(entity_flows(flows(spark, sf)), DAY_US).select("entity", "row_idx", "flow_id", "session_id")
 
 
 @query("sessionize_default", "with" + SES.replace(str(DAY_US), "1800000000") + " select entity, row_idx, flow_id, session_id from ses")
