@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ...session import largest_group
+from ...session import freeze, largest_group
 from .blocks import (
     BLOCK_ROWS, distances, distinct_points, kth_distance, matrix, mean_of_k, nearest_sum, pack_blocks, pair_blocks,
     spread,
@@ -45,8 +45,8 @@ def fit_lof(
     if largest_group(visits, keys) <= rows:
         return fitted
     large = blocks.filter(F.col("n_blocks") > 1)
-    with_kd = _stream(large, large, keys, "kd", _kd_pass(share, k, True), [])
-    with_lrd = _stream(with_kd, with_kd, keys, "lrd", _lrd_pass(share, k, True), ["kd"])
+    with_kd = _select_kd(large, large, keys, share, k, True)
+    with_lrd = _stream(with_kd, with_kd, keys, ["lrd"], _lrd_pass(share, k), ["kd"])
     return fitted.unionByName(with_lrd.select(*fitted.columns))
 
 
@@ -66,8 +66,8 @@ def score_lof(
         ask = queries.join(large.groupBy(*keys).agg(F.max("n").alias("n")), keys)
         ask = ask.withColumnsRenamed({"q_block": "block", "q_xs": "xs"}).withColumn(
             "ws", F.array_repeat(F.lit(1.0), F.col("q_rows"))).drop("q_rows")
-        with_kd = _stream(ask, large, keys, "kd", _kd_pass(share, k, False), ["lrd"])
-        with_lof = _stream(with_kd, large, keys, "lof", _lof_pass(share, k), ["kd", "lrd"])
+        with_kd = _select_kd(ask, large, keys, share, k, False)
+        with_lof = _stream(with_kd, large, keys, ["lof"], _lof_pass(share, k), ["kd", "lrd"])
         scored = scored.unionByName(with_lof.select(*keys, "points", "lof"))
     flat = scored.select(*keys, F.explode(F.arrays_zip("points", "lof")).alias("_s"))
     flat = flat.select(*keys, F.col("_s.points").alias("attrs"), F.col("_s.lof").alias("score"))
@@ -122,14 +122,15 @@ def _score_one(share, k):
 
 # ---- larger groups: reference blocks stream past one query block ----
 
-def _stream(queries: DataFrame, refs: DataFrame, keys: list[str], out: str, start, ref_columns: list[str]) -> DataFrame:
-    """One pass. ``start(query row)`` gives an object with ``take(block)`` and ``finish()``."""
+def _stream(queries: DataFrame, refs: DataFrame, keys: list[str], out: list[str], start, ref_columns: list[str]) -> DataFrame:
+    """One pass. ``start(query row)`` gives an object with ``take(block)`` and ``finish()``;
+    the arrays of ``finish`` replace or extend the columns ``out``."""
     right = refs.select(
         *keys, F.col("block").alias("r_block"), F.col("xs").alias("r_xs"), F.col("ws").alias("r_ws"),
         *[F.col(c).alias(f"r_{c}") for c in ref_columns],
     )
     kept = queries.columns
-    schema = queries.withColumn(out, F.lit(None).cast("array<double>")).schema
+    schema = queries.withColumns({c: F.lit(None).cast("array<double>") for c in out}).schema
     paired = pair_blocks(queries, right, keys)
 
     def run(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,32 +141,45 @@ def _stream(queries: DataFrame, refs: DataFrame, keys: list[str], out: str, star
                     row = {c: record[c] for c in kept}
                     state = start(record)
                 state.take(record)
-        row[out] = state.finish()
+        row.update(zip(out, state.finish()))
         yield pd.DataFrame({c: [v] for c, v in row.items()})
 
     return paired.groupBy(*keys, "block").applyInPandas(run, schema)
 
 
-class _Nearest:
-    """Keeps the ``k`` nearest weighted distances per query and gives the k-th."""
+def _select_kd(queries, refs, keys, share, k, fitting) -> DataFrame:
+    """k-distance of each query among references of any number.
 
-    def __init__(self, q, k, own_block):
-        self.q, self.k, self.own = q, k, own_block
-        self.d, self.w = np.empty((len(q), 0)), np.empty((len(q), 0))
+    Non-negative doubles sort like their bit patterns, so the k-th smallest
+    distance is found one byte at a time from counts: eight passes, each of
+    which keeps 256 counts per query, whatever ``k`` is.
+    """
+    found = queries.withColumns({c: F.transform("ws", lambda w: F.lit(0.0)) for c in ("kd", "left")})
+    for shift in range(56, -1, -8):
+        found = freeze(_stream(found, refs, keys, ["kd", "left"], _digit_pass(share, k, shift, fitting), []))
+    return found.drop("left")
+
+
+class _Digit:
+    """Counts references by the next byte of their distance, inside the bytes already known."""
+
+    def __init__(self, q, at, left, shift, own_block):
+        self.q, self.bits, self.left, self.shift, self.own = q, at.view(np.int64).copy(), left, shift, own_block
+        self.counts = np.zeros((len(q), 256))
 
     def take(self, r) -> None:
-        x = matrix(r["r_xs"], len(r["r_ws"]))
-        d = distances(self.q, x)
+        d = distances(self.q, matrix(r["r_xs"], len(r["r_ws"])))
         w = _without_self(np.broadcast_to(np.asarray(r["r_ws"]), d.shape), r["r_block"] == self.own)
-        d, w = np.hstack([self.d, d]), np.hstack([self.w, w])
-        limit = kth_distance(d, w, self.k) if w.sum(1).min() >= self.k else np.full(len(d), np.inf)
-        keep = d <= limit[:, None]
-        width = int(keep.sum(1).max())
-        order = np.argsort(np.where(keep, d, np.inf), axis=1, kind="stable")[:, :width]
-        self.d, self.w = np.take_along_axis(d, order, axis=1), np.take_along_axis(w, order, axis=1)
+        bits = d.view(np.int64) >> self.shift
+        known = (bits >> 8) == (self.bits >> self.shift >> 8)[:, None]
+        place = np.arange(len(d))[:, None] * 256 + (bits & 255)
+        self.counts += np.bincount(place[known], weights=w[known], minlength=self.counts.size).reshape(-1, 256)
 
     def finish(self):
-        return kth_distance(self.d, self.w, self.k)
+        reached = np.cumsum(self.counts, axis=1)
+        byte = np.argmax(reached >= self.left[:, None], axis=1)
+        before = np.where(byte > 0, np.take_along_axis(reached, np.maximum(byte - 1, 0)[:, None], axis=1)[:, 0], 0.0)
+        return (self.bits | (byte << self.shift)).view(np.float64), self.left - before
 
 
 class _Sums:
@@ -187,21 +201,23 @@ class _Sums:
 
     def finish(self):
         reach = mean_of_k(*self.reach, self.k) + _TINY
-        return 1.0 / reach if self.density is None else mean_of_k(*self.density, self.k) * reach
+        return [1.0 / reach if self.density is None else mean_of_k(*self.density, self.k) * reach]
 
 
-def _kd_pass(share, k, fitting):
+def _digit_pass(share, k, shift, fitting):
     def start(r):
-        own = r["block"] if fitting else None
-        return _Nearest(matrix(r["xs"], len(r["ws"])), neighbours(int(r["n"]), share, k), own)
+        q = matrix(r["xs"], len(r["ws"]))
+        first = np.full(len(q), float(neighbours(int(r["n"]), share, k)))
+        left = first if shift == 56 else np.array(r["left"], dtype=float)
+        return _Digit(q, np.array(r["kd"], dtype=float), left, shift, r["block"] if fitting else None)
 
     return start
 
 
-def _lrd_pass(share, k, fitting):
+def _lrd_pass(share, k):
     def start(r):
         size = neighbours(int(r["n"]), share, k)
-        return _Sums(matrix(r["xs"], len(r["ws"])), np.asarray(r["kd"]), size, r["block"] if fitting else None, False)
+        return _Sums(matrix(r["xs"], len(r["ws"])), np.asarray(r["kd"]), size, r["block"], False)
 
     return start
 
