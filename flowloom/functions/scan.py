@@ -31,6 +31,7 @@ class OrderedScan:
         if n_hot == 0:
             self._plain, self._cut = df, None
             return
+        self._stitched = False
         ranges = max(2, ceil(2 * hot_rows / limit))
         if self.keys:
             hot = hot.select(*self.keys)
@@ -42,6 +43,13 @@ class OrderedScan:
             cut.repartitionByRange(ranges, *self.keys, *self.order).withColumn(_RANGE, F.spark_partition_id())
         )
 
+    def _ready(self) -> DataFrame:
+        """Ranges to summarise; results of an earlier step are stored first, not computed twice."""
+        if self._stitched:
+            self._cut = freeze(self._cut)
+        self._stitched = True
+        return self._cut
+
     def _whole(self):
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
@@ -59,7 +67,7 @@ class OrderedScan:
         if self._plain is not None:
             self._plain = self._plain.withColumn(out, F.row_number().over(self._whole()).cast("long") - 1)
         if self._cut is not None:
-            sizes = group_sizes(self._cut, [*self.keys, _RANGE])
+            sizes = group_sizes(self._ready(), [*self.keys, _RANGE])
             offset = F.sum("_rows").over(self._before().rowsBetween(Window.unboundedPreceding, -1))
             summary = sizes.select(*self.keys, _RANGE, F.coalesce(offset, F.lit(0)).alias("_offset"))
             local = F.row_number().over(self._piece()).cast("long") - 1
@@ -73,7 +81,7 @@ class OrderedScan:
                 self._plain = self._plain.withColumn(out, F.lag(source).over(self._whole()))
         if self._cut is not None:
             last = F.max_by(F.struct(*sorted(set(columns.values()))), F.struct(*self.order))
-            ends = self._cut.groupBy(*self.keys, _RANGE).agg(last.alias("_last"))
+            ends = self._ready().groupBy(*self.keys, _RANGE).agg(last.alias("_last"))
             summary = ends.select(*self.keys, _RANGE, F.lag("_last").over(self._before()).alias("_carried"))
             joined = self._joined(summary)
             first = F.row_number().over(self._piece()) == 1
@@ -95,7 +103,7 @@ class OrderedScan:
         if self._plain is not None:
             self._plain = self._plain.withColumn(out, F.sum(value).over(self._whole().rowsBetween(*upto)))
         if self._cut is not None:
-            totals = self._cut.groupBy(*self.keys, _RANGE).agg(F.sum(value).alias("_part"))
+            totals = self._ready().groupBy(*self.keys, _RANGE).agg(F.sum(value).alias("_part"))
             offset = F.sum("_part").over(self._before().rowsBetween(Window.unboundedPreceding, -1))
             summary = totals.select(*self.keys, _RANGE, F.coalesce(offset, F.lit(0)).alias("_offset"))
             local = F.sum(value).over(self._piece().rowsBetween(*upto))

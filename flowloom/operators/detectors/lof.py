@@ -44,10 +44,10 @@ def fit_lof(
     fitted = fitted.select(*blocks.columns, "_fit.kd", "_fit.lrd")
     if largest_group(visits, keys) <= rows:
         return fitted
-    large = blocks.filter(F.col("n_blocks") > 1)
+    large = freeze(blocks.filter(F.col("n_blocks") > 1))  # read by every pass
     with_kd = _select_kd(large, large, keys, share, k, True)
     with_lrd = _stream(with_kd, with_kd, keys, ["lrd"], _lrd_pass(share, k), ["kd"])
-    return fitted.unionByName(with_lrd.select(*fitted.columns))
+    return fitted.unionByName(freeze(with_lrd.select(*fitted.columns)))
 
 
 def score_lof(
@@ -63,6 +63,7 @@ def score_lof(
     scored = scored.select(*keys, "points", "lof")
     large = fit.filter(F.col("n_blocks") > 1)
     if not large.isEmpty():
+        large = freeze(large)
         ask = queries.join(large.groupBy(*keys).agg(F.max("n").alias("n")), keys)
         ask = ask.withColumnsRenamed({"q_block": "block", "q_xs": "xs"}).withColumn(
             "ws", F.array_repeat(F.lit(1.0), F.col("q_rows"))).drop("q_rows")
