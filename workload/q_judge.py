@@ -7,7 +7,7 @@ from flowloom.operators import entities as E, evaluate as K, explore as X, machi
 from flowloom.operators.detectors import lof, stats
 
 from .catalog import query
-from .profile import ATTRS, test_flows, tested, train_flows, trained
+from .profile import ATTRS, test_flows, tested, trained
 from .q_detect import FIT, RUN, own_visits, scored_sql
 from .q_machine import NEIGHBOURS, neighbour_sets
 
@@ -171,8 +171,6 @@ def dataset_totals(spark, sf):
 # ---- baseline: local outlier factor over entity views ----
 
 FEATURES = ["dst_port", "protocol_num", "duration", "src_bytes"]
-_VIEW = """(select src_ip as entity, avg(dst_port) as dst_port, max(label) as label, avg(duration) as duration, avg(src_bytes) as src_bytes,
-  (select g.protocol_num from {t} g where g.src_ip = f.src_ip group by 1 order by count(*) desc, 1 limit 1) as protocol_num from {t} f group by src_ip)"""
 _MODE = """(select src_ip as entity, protocol_num from (select src_ip, protocol_num, row_number() over (partition by src_ip order by count(*) desc, protocol_num) as rn
   from {t} group by 1, 2) where rn = 1)"""
 VIEW = """(select entity, dst_port, protocol_num, duration, src_bytes, label from

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowloom.operators import machine as M, symbolic as Y
-from flowloom.operators.evaluate import entity_labels, symbolic_verdicts, verdict_confusion
+from flowloom.operators.evaluate import entity_labels, symbolic_verdicts
 from flowloom.operators.entities import entity_flows
 
 from .catalog import query
