@@ -47,3 +47,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import lm_scores
 
     return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
