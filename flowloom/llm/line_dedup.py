@@ -1,0 +1,71 @@
+"""Line dedup by winnowing over line hashes, with DataFrame functions only.
+
+Lines are hashed; in each window of ``min_lines`` lines the least hash (the leftmost, if tied) is a fingerprint, so any run
+of ``min_lines`` equal lines shares one. Fingerprints that occur twice or more bring their positions together; from a
+fingerprint a match extends both ways over the windows it stands for, whose lines must be equal in order. Of equal windows
+the earliest stays: smaller ``doc_id``, then earlier line. Later windows of one source that continue each other form a run,
+and runs are deleted. So a line goes if a run of ``min_lines`` or more lines that also starts earlier covers it; all runs
+are judged on the input.
+
+Groupings are partially aggregated before their shuffle and positions are joined, never collected by fingerprint, so a run
+that very many documents share stays spread.
+
+Lines end at ``\\n``; a document's last line may be empty. Null text stays null. Rows with null ``doc_id`` have no place in
+the order and stay as they are. Rows that share a ``doc_id`` are ordered by a hash of their text, and equal rows are one
+place. Other columns pass through, ``n_chars`` is recounted where it exists. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from .common import stored
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+    """(doc_id, tag, start, length, src_doc, src_start): runs of lines to delete, with the place where they start earlier."""
+    w = min_lines
+    known = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id"), F.xxhash64("text").alias("tag"), F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)).alias("h"))
+    known = known.where(F.size("h") >= w)
+    window = F.transform(F.sequence(F.lit(1), F.size("h") - (w - 1)), lambda p: F.struct(
+        p.alias("start"), F.array_min(F.slice("h", p, w)).alias("least"), F.xxhash64(F.slice("h", p, w)).alias("same")))
+    placed = known.select("doc_id", "tag", "h", F.explode(window).alias("x"))
+    spot = F.col("x.start") + F.array_position(F.slice("h", F.col("x.start"), w), F.col("x.least")) - 1
+    windows = stored(placed.select("doc_id", "tag", F.col("x.start").alias("start"), F.col("x.least").alias("mark"), spot.alias("spot"),
+                                   F.col("x.same").alias("same")))
+    prints = windows.select("mark", "doc_id", "tag", "spot").distinct()
+    twice = prints.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    met = windows.join(twice, "mark")
+    first = met.groupBy("mark", "same").agg(F.min(F.struct("doc_id", "tag", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = (met.join(first, ["mark", "same"]).where("f.doc_id <> doc_id or f.tag <> tag or f.start <> start")
+             .select("doc_id", "tag", "start", F.col("f.doc_id").alias("src_doc"), F.col("f.tag").alias("src_tag"), F.col("f.start").alias("src_start"))
+             .distinct())
+    along = Window.partitionBy("doc_id", "tag", "src_doc", "src_tag", F.col("src_start") - F.col("start")).orderBy("start")
+    gap = F.when(F.col("start") - F.lag("start").over(along) == 1, 0).otherwise(1)
+    return (later.withColumn("gap", gap).withColumn("run", F.sum("gap").over(along))
+            .groupBy("doc_id", "tag", "src_doc", "src_tag", (F.col("src_start") - F.col("start")).alias("shift"), "run")
+            .agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + w).alias("length"))
+            .select("doc_id", "tag", "start", "length", "src_doc", (F.col("start") + F.col("shift")).alias("src_start")))
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+    """``docs`` with later repeated runs of lines deleted, and (n_lines, n_removed) before and by it."""
+    runs = repeated_runs(docs.select("doc_id", "text"), min_lines)
+    cuts = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "length")).alias("cuts"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    base = docs.select(*own, F.xxhash64("text").alias("_tag"))
+    cuts = cuts.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_of"), "cuts").withColumnRenamed("cuts", "_cuts")
+    met = base.join(cuts, (F.col("doc_id") == F.col("_doc")) & (F.col("_tag") == F.col("_of")), "left")
+    lines = F.split("text", "\n", -1)
+    gone = F.array_distinct(F.flatten(F.transform("_cuts", lambda c: F.sequence(c["start"].cast("long"), (c["start"] + c["length"] - 1).cast("long")))))
+    met = met.withColumn("_lines", lines).withColumn("_gone", gone)
+    keep = F.array_except(F.sequence(F.lit(1).cast("long"), F.size("_lines").cast("long")), F.col("_gone"))
+    kept = F.array_join(F.transform(keep, lambda i: F.element_at("_lines", i.cast("int"))), "\n")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    out = met.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"))
+    out = out.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    out = out.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).withColumn("text", text)
+    if "n_chars" in own:
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*own, "n_lines", "n_removed")
