@@ -17,9 +17,8 @@ ORACLE_SQL = None  # training and retrieval have no SQL form: tests/llm holds br
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; rows without ``doc_id`` are scored like the rest."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
-    scored = quality.score(docs, model)
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    model = quality.fit(quality.with_statistics(docs), labels)
+    return quality.keep_good(docs, model).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
