@@ -106,3 +106,10 @@ select conv_id, count(*) as n_turns,
  cast(sum(n_text + case when before is not null and before = role then 8 else 9 + 7 + 7 + n_role end) as bigint) as formatted_chars
 from e group by conv_id
 """
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
