@@ -4,15 +4,14 @@ Vectors take part if they are not null, have the usual length (the most frequent
 zero. Equal vectors are one node; a node keeps its ``top + 1`` smallest ids, which is all that a result can show of it, so copies
 neither crowd lists nor get lost.
 
-*Codes.* Components, and one more that makes all vectors equally long so that inner products order them like distances,
-are rounded to 16 bits for the graph and the search. Results are ranked by the exact product of the original vectors.
+*Codes.* Components are rounded to 16 bits for the graph and the search. Results are ranked by the exact product of the original vectors.
 
 *Start.* Random hyperplanes cut the nodes into cells, several times; cells are cut on by order of one projection, so none is
 larger than ``cell`` whatever the data. Nodes of a cell propose each other.
 
-*NN-descent.* Each round lists a node's neighbours and the nodes that have it as a neighbour (of these about ``k``, picked by
-hash: reverse lists of hubs are long), joins their codes, and proposes to each other all pairs that have not met: neighbours of
-neighbours. The best ``k`` of old and proposed ones stay. Rounds end when few lists change.
+*NN-descent.* Each round lists a node's neighbours and the nodes that have it as a neighbour (in parts of about ``k``, each
+with the neighbours: reverse lists of hubs are long), joins their codes, and proposes to each other all pairs that have not met:
+neighbours of neighbours. The best ``k`` of old and proposed ones stay. Rounds end when few lists change.
 
 *Search.* A query starts at its own node and keeps a pool of the best ``pool`` nodes found; each round it opens the best unopened
 ones through a join with the graph, until all of the pool are open.
@@ -34,12 +33,11 @@ SEED = 5
 
 
 def _code(vectors: DataFrame, dim: int, longest: float) -> DataFrame:
-    """(id, code) with the length component; 16-bit numbers as bytes."""
+    """(id, code): 16-bit numbers as bytes."""
     def run(batches):
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, dim).astype(np.float64) / longest
-            more = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1)))
-            whole = np.round(np.column_stack([x, more]) * 32000).astype("<i2")
+            whole = np.round(x * 32000).astype("<i2")
             yield batch(["id", "code"], [b.column(0), pa.array([r.tobytes() for r in whole], pa.binary())])
     return mapped(vectors.select("id", "embedding"), run, "id long, code binary")
 
@@ -121,14 +119,16 @@ def neighbour_graph(nodes: DataFrame, n: int, dim: int, k: int = 24, trees: int
     graph = stored(_top(proposals.withColumn("new", F.lit(1)), k))
     for _ in range(rounds):
         degree = graph.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
-        back = graph.join(degree, "b").where(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000)) < F.lit(1_000_000.0 * k) / F.col("degree"))
-        lists = (graph.select(F.col("a").alias("at"), F.col("b").alias("id"), "new").union(back.select(F.col("b").alias("at"), F.col("a").alias("id"), "new"))
-                 .groupBy("at", "id").agg(F.max("new").alias("new")))
-        busy = lists.where("new = 1").select("at").distinct()
+        parts = F.ceil(F.col("degree") / k)
+        back = graph.join(degree, "b").select(F.col("b").alias("at"), F.pmod(F.xxhash64("a", "b"), parts).alias("part"), F.col("a").alias("id"), "new")
+        ahead = graph.join(degree.withColumnRenamed("b", "a"), "a", "left").select(
+            F.col("a").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(parts, F.lit(1)).cast("long") - 1)).alias("part"), F.col("b").alias("id"), "new")
+        lists = ahead.union(back).groupBy("at", "part", "id").agg(F.max("new").alias("new"))
+        busy = lists.where("new = 1").select("at", "part").distinct()
         least = graph.groupBy("a").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("have"))
         known = nodes.join(least.withColumnRenamed("a", "id"), "id", "left").select(
             "id", "code", F.when(F.col("have") >= k, F.col("least")).otherwise(-2.0).cast("float").alias("least"))
-        lists = lists.join(busy, "at").join(known, "id").groupBy("at").agg(
+        lists = lists.join(busy, ["at", "part"]).join(known, "id").groupBy("at", "part").agg(
             F.collect_list(F.struct("id", "code", (F.col("new") == 1).alias("new"), "least")).alias("list"))
         proposals = mapped(lists.select("list"), _propose(dim, k), "a long, b long, score float")
         graph = stored(_top(proposals.withColumn("new", F.lit(1)).union(graph.withColumn("new", F.lit(0))), k))
@@ -208,12 +208,10 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = 24, poo
     if not n:
         return spark.createDataFrame([], schema)
     nodes = stored(_code(reps, dim, longest))
-    graph = neighbour_graph(nodes, n, dim + 1, k)
+    graph = neighbour_graph(nodes, n, dim, k)
     asked = members.where(F.col("vec_id") % every == 0)
-    # the query's code has no length component, so that scores are inner products
-    plain = _code(reps.join(asked.select("id").distinct(), "id"), dim, longest).select(
-        F.col("id").alias("q"), F.col("id").alias("entry"), F.concat(F.expr(f"substring(code, 1, {2 * dim})"), F.lit(bytearray(2))).alias("code"))
-    found = greedy_search(plain, nodes, graph, dim + 1, pool)
+    queries = nodes.join(asked.select("id").distinct(), "id").select(F.col("id").alias("q"), F.col("id").alias("entry"), "code")
+    found = greedy_search(queries, nodes, graph, dim, pool)
     near = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     found = found.withColumn("n", F.row_number().over(near)).where(F.col("n") <= 3 * top + 1).select("q", "id")
     exact = found.join(reps.select("id", F.col("embedding").alias("y")), "id").join(reps.select(F.col("id").alias("q"), F.col("embedding").alias("x")), "q")
