@@ -5,15 +5,15 @@ words stands at the same place form one path without branches, a row (minimizer,
 the words. Equal windows have equal minimizers, so what may be equal meets by minimizer:
 
 * A path that also occurs earlier is removed as a whole; it keeps the coordinates of its first occurrence.
-* A minimizer with several different paths is a branching place: the windows of the first occurrence of each path are
-  judged one by one.
+* A minimizer with several different paths is a branching place: of paths that share a side of it, the windows of the
+  first occurrence are judged one by one.
 * A minimizer with one occurrence is not repeated.
 
 *Compaction across minimizers*: repeated paths of a document that continue each other at one source, in the document
 as in the source, become one span. Each span is verified: an independent hash of its words, read again from the text at
 both coordinates, must agree. Then covered words are removed; windows are always judged on the input.
 
-A scan task combines equal paths of a block of its documents before the shuffle, so a passage that every document holds
+A scan task combines equal paths of a block of its documents before the shuffle, and spans of them, so a passage that every document holds
 sends one row for each block, and neither a passage nor a minimizer is gathered in one task's memory.
 
 Null text: no words. A row with null ``doc_id`` has no place in the order: it is neither a source nor cut. Rows with one
@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import mapped, stored
-from .words import U, batch, ragged, signed, spans, text_slices, windows, words
+from .words import U, batch, mix, ragged, signed, spans, text_slices, windows, words
 
 MINI = 5
 BLOCK_ROWS = 600_000  # paths that a task combines before it sends them
-PATH = "at long, mini long, path long, doc_id long, start int, n int, src_doc long, src_start int"
+SIDE = 8  # words beside a minimizer of which one side must be shared by any window that is shared
+PATH = "mini long, path long, doc_id long, start int, n int, sides int, src_doc long, src_start int"
 
 
 def _least(g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,40 +54,58 @@ def _least(g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _paths(h: np.ndarray, first: np.ndarray, size: int):
-    """(text, start within the text, windows, minimizer, path hash) of each path; ``first`` has each text's first word."""
+    """(text, start within the text, windows, minimizer, path hash, sides) of each path; ``first`` has each text's first word.
+
+    A window around a minimizer holds at least ``SIDE`` words on one of its sides, so paths that share a window share the
+    hash of one side. Both are kept in 16 bits each: a first sieve for the windows that must be judged one by one.
+    """
     count = np.diff(first)
     have = np.maximum(count - size + 1, 0)
     text, place = ragged(have)
     if not len(text):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2 + (np.zeros(0, np.int32),)
     least, spot = (x[first[:-1][text] + place] for x in _least(windows(h, MINI, 11), size - MINI + 1))
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (spot[1:] != spot[:-1])
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(text)))
-    text, place = text[at], place[at]
-    return text, place, n, least[at], spans(h, first[:-1][text] + place, n + size - 1, 13)
+    text, place, spot = text[at], place[at], spot[at]
+    path = spans(h, first[:-1][text] + place, n + size - 1, 13)
+    side = windows(h, SIDE, 23)
+    left, right = spot - SIDE, spot + MINI
+    has_left, has_right = left >= first[:-1][text], right + SIDE <= first[1:][text]
+    own = mix(path, 29)  # nothing to share on this side
+    top = len(side) - 1
+    sides = (np.where(has_left, side[np.clip(left, 0, top)], own) & U(0xFFFF)) << U(16) | np.where(has_right, side[np.clip(right, 0, top)], own) & U(0xFFFF)
+    return text, place, n, least[at], path, sides.astype(np.uint32).view(np.int32)
 
 
 def _scan(size: int):
     names = [c.split()[0] for c in PATH.split(", ")]
 
     def rows(held):
-        mini, path, doc, start, n = (np.concatenate(x) for x in zip(*held))
+        mini, path, doc, start, n, sides = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((start, doc, path, mini))
-        mini, path, doc, start, n = (x[order] for x in (mini, path, doc, start, n))
+        mini, path, doc, start, n, sides = (x[order] for x in (mini, path, doc, start, n, sides))
         new = np.ones(len(mini), bool)
         new[1:] = (mini[1:] != mini[:-1]) | (path[1:] != path[:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = ~new & ((doc != doc[head]) | (start != start[head]))  # repeated in this block; sent on under a key of its own
-        for lo in range(0, len(mini), 100_000):
-            s = slice(lo, lo + 100_000)
-            take = new[s] | later[s]
-            own = np.where(later[s], path[s] ^ (doc[s].astype(U) * U(0x9E3779B97F4A7C15)) ^ start[s].astype(U), mini[s])[take]
-            source = pa.array(~later[s][take])
-            yield batch(names, [signed(own), signed(mini[s][take]), signed(path[s][take]), doc[s][take], start[s][take].astype(np.int32),
-                                n[s][take].astype(np.int32), pa.array(doc[head[s]][take], mask=np.asarray(source)),
-                                pa.array(start[head[s]][take].astype(np.int32), mask=np.asarray(source))])
+        later = np.flatnonzero(~new & ((doc != doc[head]) | (start != start[head])))
+        for lo in range(0, len(mini), 200_000):
+            at = np.flatnonzero(new[lo:lo + 200_000]) + lo
+            yield batch(names, [signed(mini[at]), signed(path[at]), doc[at], start[at].astype(np.int32), n[at].astype(np.int32), sides[at],
+                                pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32())])
+        # repeated in this block: what continues at one source is one row, sent on under a key that spreads
+        src_doc, src_start, doc, start, n = doc[head[later]], start[head[later]], doc[later], start[later], n[later]
+        order = np.lexsort((start, src_start - start, src_doc, doc))
+        src_doc, src_start, doc, start, n = (x[order] for x in (src_doc, src_start, doc, start, n))
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (src_doc[1:] != src_doc[:-1]) | (src_start[1:] - start[1:] != src_start[:-1] - start[:-1]) | (start[1:] != start[:-1] + n[:-1])
+        at = np.flatnonzero(new)
+        if len(at):
+            key = mix(doc[at].astype(U) * U(1 << 24) + start[at].astype(U), 31)
+            yield batch(names, [signed(key), signed(key), doc[at], start[at].astype(np.int32), np.add.reduceat(n, at).astype(np.int32),
+                                np.zeros(len(at), np.int32), src_doc[at], src_start[at].astype(np.int32)])
 
     def run(batches):
         held, total = [], 0
@@ -94,8 +113,8 @@ def _scan(size: int):
             ids = np.asarray(b.column(0))
             for lo, hi, data, bounds in text_slices(b.column(1)):
                 _, _, h, first = words(data, bounds)
-                text, start, n, mini, path = _paths(h, first, size)
-                held.append((mini, path, ids[lo + text], start, n))
+                text, start, n, mini, path, sides = _paths(h, first, size)
+                held.append((mini, path, ids[lo + text], start, n, sides))
                 total += len(text)
                 if total > BLOCK_ROWS:
                     yield from rows(held)
@@ -106,18 +125,18 @@ def _scan(size: int):
 
 
 def _first_ones(batches):
-    """From rows sorted by (at, path, doc_id, start): later occurrences with their source, and firsts at branching places.
+    """From rows sorted by (mini, path, doc_id, start): later occurrences with their source, and firsts at branching places.
 
-    Holds one minimizer's first path between batches; the rest is decided row by row.
+    Holds one minimizer's last path between batches; the rest is decided row by row.
     """
-    carry = None  # (mini, path, doc, start, n, whether it was sent) of the path read last; and its minimizer's fate
+    names = [c.split()[0] for c in PATH.split(", ")]
+    carry = None  # the path read last: mini, path, doc_id, start, n, sides, and whether it was sent
     for b in batches:
-        mini, path, doc, start, n = (np.asarray(b.column(i)) for i in (1, 2, 3, 4, 5))
+        mini, path, doc, start, n, sides = (np.asarray(b.column(i)) for i in range(6))
         known = np.asarray(b.column(6).is_valid())
         src_doc, src_start = np.asarray(b.column(6).fill_null(0)).copy(), np.asarray(b.column(7).fill_null(0)).copy()
         own = np.flatnonzero(~known)
-        extra, sent = [], known.copy()
-        judged = np.zeros(len(mini), bool)
+        sent, judged, extra = known.copy(), np.zeros(len(mini), bool), None
         if len(own):
             m, p, d, s = mini[own], path[own], doc[own], start[own]
             new_m, new_p = np.ones(len(own), bool), np.ones(len(own), bool)
@@ -133,27 +152,20 @@ def _first_ones(batches):
             later = ~new_p & ((hd != d) | (hs != s))
             src_doc[own[later]], src_start[own[later]] = hd[later], hs[later]
             sent[own[later]] = True
-            # a path start is judged if its minimizer has another path before or after it
+            # the first occurrence of a path is judged if its minimizer has another path before or after it
             starts = np.flatnonzero(new_p)
-            again = ~new_m[starts]  # another path of the same minimizer came before
-            before = np.append(again[1:], False)  # ... or comes next in this batch
-            pick = own[starts[again | before]]
-            judged[pick] = True
-            if carry is not None and not carry[5] and len(starts) and not new_m[starts[0]]:
-                extra.append(carry[:5])
-            last = starts[-1] if len(starts) else None
-            if last is not None:
-                at = own[last]
-                carry = (mini[at], path[at], doc[at], start[at], n[at], bool(again[-1]))
+            if len(starts):
+                again = ~new_m[starts]
+                judged[own[starts[again | np.append(again[1:], False)]]] = True
+                if again[0] and carry is not None and not carry[6]:
+                    extra = carry[:6]
+                at = own[starts[-1]]
+                carry = (mini[at], path[at], doc[at], start[at], n[at], sides[at], bool(again[-1]))
         take = sent | judged
-        cols = [pa.array(x[take]) for x in (path, doc, start, n)]
-        out = batch(["path", "doc_id", "start", "n", "src_doc", "src_start"],
-                    [*cols, pa.array(src_doc[take], mask=judged[take]), pa.array(src_start[take].astype(np.int32), mask=judged[take])])
-        yield out
-        if extra:
-            yield batch(["path", "doc_id", "start", "n", "src_doc", "src_start"],
-                        [pa.array([x[i] for x in extra], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.int32()))]
-                        + [pa.nulls(len(extra), pa.int64()), pa.nulls(len(extra), pa.int32())])
+        first = judged[take]
+        yield batch(names, [*(x[take] for x in (mini, path, doc, start, n, sides)), pa.array(src_doc[take], mask=first), pa.array(src_start[take], mask=first)])
+        if extra is not None:
+            yield batch(names, [*(np.array([x]) for x in extra), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())])
 
 
 def _cut_text(raw: bytes, s: np.ndarray, e: np.ndarray, gone: np.ndarray) -> tuple[int, int, str]:
@@ -161,7 +173,7 @@ def _cut_text(raw: bytes, s: np.ndarray, e: np.ndarray, gone: np.ndarray) -> tup
     return len(s), int(gone.sum()), hashlib.sha256(b" ".join([raw[a:b] for a, b in zip(s[kept].tolist(), e[kept].tolist())])).hexdigest()
 
 
-OPEN = "kind string, doc_id long, text string, n_words long, n_removed long, kept_sha256 string, hash long, number long, start int"
+OPEN = "kind string, doc_id long, text string, n_words long, n_removed long, kept_sha256 string, hash long, start int, length int"
 
 
 def _read(size: int):
@@ -192,9 +204,9 @@ def _read(size: int):
                     length = np.array([t["length"] for t in todo])
                     check = spans(h[own], at, length, 17).view(np.int64).tolist()
                     for t, c in zip(todo, check):
-                        if t["number"] is not None:
-                            made.append(("span", doc, None, None, None, None, c, t["number"], t["start"]))
-                    judged = [t["number"] is None for t in todo]
+                        if t["path"] is None:
+                            made.append(("span", doc, None, None, None, None, c, t["start"], t["length"]))
+                    judged = [t["path"] is not None for t in todo]
                     if any(judged):
                         same = spans(h[own], at, length, 13).view(np.int64)
                         ok = np.array(judged) & (same == np.array([t["path"] or 0 for t in todo]))
@@ -202,9 +214,9 @@ def _read(size: int):
                         place += np.repeat(at, np.where(ok, length - size + 1, 0))
                         if len(place):
                             for p, c in zip(place.tolist(), spans(h[own], place, np.full(len(place), size), 19).view(np.int64).tolist()):
-                                made.append(("window", doc, None, None, None, None, c, None, p))
+                                made.append(("window", doc, None, None, None, None, c, p, size))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (
-                    pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=names)
+                    pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32()))], names=names)
     return run
 
 
@@ -238,8 +250,15 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     paths = mapped(docs.where("doc_id is not null"), _scan(size), PATH)
-    met = paths.repartition("at").sortWithinPartitions("at", "path", "doc_id", "start")
-    places = stored(mapped(met, _first_ones, "path long, doc_id long, start int, n int, src_doc long, src_start int"))
+    met = paths.repartition("mini").sortWithinPartitions("mini", "path", "doc_id", "start")
+    places = stored(mapped(met, _first_ones, PATH))
+    unsure = places.where("src_doc is null").withColumn("left", F.shiftright("sides", 16)).withColumn("right", F.col("sides").bitwiseAND(F.lit(0xFFFF)))
+    shared = None
+    for side in ("left", "right"):  # a path whose sides no other path of its minimizer has shares no window
+        twice = unsure.groupBy("mini", side).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mini", side)
+        part = unsure.join(twice, ["mini", side]).select("path", "doc_id", "start", "n")
+        shared = part if shared is None else shared.union(part)
+    judged = stored(shared.distinct())
 
     along = Window.partitionBy("doc_id", "src_doc", F.col("src_start") - F.col("start")).orderBy("start")
     again = places.where("src_doc is not null")
@@ -247,24 +266,22 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
               .withColumn("island", F.sum("gap").over(along))
               .groupBy("doc_id", "src_doc", (F.col("src_start") - F.col("start")).alias("shift"), "island")
               .agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) + size - 1 - F.min("start")).cast("int").alias("length"))
-              .withColumn("number", F.xxhash64("doc_id", "src_doc", "shift", "start")))
+              .select("doc_id", "src_doc", "start", (F.col("start") + F.col("shift")).cast("int").alias("src_start"), "length").distinct())
     spans_ = stored(spans_)
-    none = F.lit(None).cast("long")
-    asked = (spans_.select("doc_id", F.struct("start", "length", "number", none.alias("path")).alias("t"))
-             .union(spans_.select("src_doc", F.struct((F.col("start") + F.col("shift")).cast("int").alias("start"), "length", "number", none.alias("path"))))
-             .union(places.where("src_doc is null").select("doc_id", F.struct("start", (F.col("n") + size - 1).cast("int").alias("length"),
-                                                                              none.alias("number"), "path"))))
+    # one question for each stretch of words, however many spans have it as their source
+    stretches = spans_.select("doc_id", "start", "length").union(spans_.select("src_doc", "src_start", "length")).distinct()
+    asked = stretches.select("doc_id", F.struct("start", "length", F.lit(None).cast("long").alias("path")).alias("t")).union(
+        judged.select("doc_id", F.struct("start", (F.col("n") + size - 1).cast("int").alias("length"), "path")))
     asked = asked.groupBy("doc_id").agg(F.collect_list("t").alias("asked"))
     read = stored(mapped(docs.join(asked, "doc_id", "left").select("doc_id", "text", "asked"), _read(size), OPEN))
 
-    shown = read.where("kind = 'span'").select("doc_id", "start", "number", "hash").distinct()
-    here = spans_.join(shown, ["doc_id", "start", "number"]).select("number", "doc_id", "start", "length", "hash")
-    there = spans_.select("number", F.col("src_doc").alias("doc_id"), (F.col("start") + F.col("shift")).cast("int").alias("start")).join(
-        shown, ["doc_id", "start", "number"]).select("number", "hash")
-    sure = here.join(there, ["number", "hash"]).select("doc_id", F.struct("start", "length", "hash", F.lit(17).alias("salt")).alias("t"))
-    judged = read.where("kind = 'window'").select("hash", "doc_id", "start")
-    earliest = judged.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    later = (judged.join(earliest, "hash").where("f.doc_id <> doc_id or f.start <> start")
+    shown = read.where("kind = 'span'").select("doc_id", "start", F.col("length").alias("length"), "hash").distinct()
+    here = spans_.join(shown, ["doc_id", "start", "length"])
+    there = shown.select(F.col("doc_id").alias("src_doc"), F.col("start").alias("src_start"), "length", "hash")
+    sure = here.join(there, ["src_doc", "src_start", "length", "hash"], "left_semi").select("doc_id", F.struct("start", "length", "hash", F.lit(17).alias("salt")).alias("t"))
+    seen = read.where("kind = 'window'").select("hash", "doc_id", "start")
+    earliest = seen.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    later = (seen.join(earliest, "hash").where("f.doc_id <> doc_id or f.start <> start")
              .select("doc_id", F.struct("start", F.lit(size).alias("length"), "hash", F.lit(19).alias("salt")).alias("t")))
     cuts = sure.union(later).distinct().groupBy("doc_id").agg(F.collect_list("t").alias("cuts"))
     open_ = read.where("kind = 'text'").select("doc_id", "text").join(cuts, "doc_id", "left").select("doc_id", "text", "cuts")
