@@ -8,8 +8,8 @@ from flowloom.operators.detectors import lof, stats
 
 from .catalog import query
 from .profile import ATTRS, test_flows, tested, trained
-from .q_detect import FIT, RUN, own_visits, scored_sql
-from .q_machine import NEIGHBOURS, neighbour_sets
+from .q_detect import FIT, RUN, scored_sql
+from .q_machine import ASSIGNED, assigned_models
 
 TEST_SET, METHOD = "january", "baseline multivariate"
 PRED = RUN + "," + FIT + "," + scored_sql() + """,
@@ -24,60 +24,56 @@ CONF = """,
    coalesce(detailed_label, dst_ip, '') as key, count(*) filter (label = 1 and p = 1) as tp, count(*) filter (label <> 1 and p <> 1) as tn,
    count(*) filter (label <> 1 and p = 1) as fp, count(*) filter (label = 1 and p <> 1) as fn
   from lp_ group by grouping sets ((entity, model_id), (entity, model_id, detailed_label), (entity, model_id, dst_ip)))"""
-# hosts on several models: the same steps over the assigned pairs
-MANY = RUN.rsplit(" rv as (", 1)[0].rstrip().rstrip(",") + "," + NEIGHBOURS + """,
+# every host of the test period on the models of its test set: the same steps over the assigned pairs
+MANY = RUN.rsplit(" rv as (", 1)[0].rstrip().rstrip(",") + "," + ASSIGNED + """,
  rv as (select t.entity, t.trace_id, t.pos, t.row_idx, t.flow_id, t.src_bytes, t.dst_port, a.model_id, coalesce(s.state, 'sink') as state
   from test_v t join asg a using (entity) left join st s on s.model_id = a.model_id and s.state = t.state)"""
-MANY_CONF = PRED.replace(RUN, MANY) + CONF
+MANY_PRED = PRED.replace(RUN, MANY)
+MANY_CONF = MANY_PRED + CONF
 
 
-def merged(spark, sf):
-    _, v, test, states = own_visits(spark, sf)
-    scored = stats.score_stats(test, stats.fit_stats(v, 2))
-    return K.merge_predictions(scored, M.state_weights(states))
+def scored_visits(spark, sf):
+    """Scored visits of all hosts on the models of their test sets, with the model states."""
+    limits, v = trained(spark, sf)
+    states = M.learn_state_model(v, limits).states
+    test = tested(spark, sf, limits)
+    replayed = M.replay_context(test, states, assigned_models(v, test))
+    return stats.score_stats(replayed, stats.fit_stats(v, len(ATTRS))), states, v
 
 
-def own_confusion(spark, sf) -> DataFrame:
-    labelled = K.label_predictions(merged(spark, sf), E.index_flows(test_flows(spark, sf)))
-    return K.confusion(labelled, TEST_SET, METHOD)
+def merged(spark, sf):
+    scored, states, _ = scored_visits(spark, sf)
+    return K.merge_predictions(scored, M.state_weights(states))
 
 
 def many_confusion(spark, sf) -> DataFrame:
-    """Every host on its own model and on the next one."""
-    limits, v = trained(spark, sf)
-    states = M.learn_state_model(v, limits).states
-    test = tested(spark, sf, limits)
-    entities = test.select("entity", F.col("entity").alias("test_set")).distinct()
-    replayed = M.replay_context(test, states, M.assign_models(entities, neighbour_sets(v)))
-    scored = stats.score_stats(replayed, stats.fit_stats(v, len(ATTRS)))
-    labelled = K.label_predictions(
-        K.merge_predictions(scored, M.state_weights(states)), E.index_flows(test_flows(spark, sf)))
+    """Every host, benign or malicious, on the models of its test set."""
+    labelled = K.label_predictions(merged(spark, sf), E.index_flows(test_flows(spark, sf)))
     return K.confusion(labelled, TEST_SET, METHOD)
 
 
-@query("merge_predictions", PRED + " select model_id, entity, row_idx, round(pred, 6) as pred from mp")
+@query("merge_predictions", MANY_PRED + " select model_id, entity, row_idx, round(pred, 6) as pred from mp")
 def merge_predictions(spark, sf):
     return merged(spark, sf).withColumn("pred", F.round("pred", 6))
 
 
-@query("merge_predictions_median", RUN + "," + FIT + "," + scored_sql() + """
+@query("merge_predictions_median", MANY + "," + FIT + "," + scored_sql() + """
 select model_id, entity, row_idx, cast(median(pred) as double) as pred from sc group by 1, 2, 3""")
 def merge_predictions_median(spark, sf):
-    _, v, test, _ = own_visits(spark, sf)
-    return K.merge_predictions(stats.score_stats(test, stats.fit_stats(v, 2)))
+    return K.merge_predictions(scored_visits(spark, sf)[0])
 
 
-@query("label_predictions", PRED + CONF.split(" cf as")[0].rstrip().rstrip(",") + """
+@query("label_predictions", MANY_PRED + CONF.split(" cf as")[0].rstrip().rstrip(",") + """
 select model_id, entity, row_idx, label, detailed_label, dst_ip, p as pred from lp_""")
 def label_predictions(spark, sf):
     joined = K.label_predictions(merged(spark, sf), E.index_flows(test_flows(spark, sf)))
     return joined.select("model_id", "entity", "row_idx", "label", "detailed_label", "dst_ip", F.bround("pred").cast("int").alias("pred"))
 
 
-@query("confusion", PRED + CONF + f"""
+@query("confusion", MANY_CONF + f"""
 select '{TEST_SET}' as test_set, entity, model_id, '{METHOD}' as method, level, key, tp, tn, fp, fn from cf""")
 def confusion(spark, sf):
-    return own_confusion(spark, sf)
+    return many_confusion(spark, sf)
 
 
 _METRICS = """round((tp + tn) / (tp + tn + fp + fn), 6) as accuracy, round(case when tp + fp = 0 then -1 else tp / (tp + fp) end, 6) as "precision",
@@ -88,9 +84,9 @@ def rounded_metrics(df):
     return df.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall")})
 
 
-@query("metrics", PRED + CONF + f" select entity, model_id, level, key, tp, tn, fp, fn, {_METRICS} from cf")
+@query("metrics", MANY_CONF + f" select entity, model_id, level, key, tp, tn, fp, fn, {_METRICS} from cf")
 def metrics(spark, sf):
-    return rounded_metrics(K.with_metrics(own_confusion(spark, sf))).drop("test_set", "method")
+    return rounded_metrics(K.with_metrics(many_confusion(spark, sf))).drop("test_set", "method")
 
 
 @query("model_totals", MANY_CONF + f"""
@@ -108,8 +104,10 @@ _ORDER = """, o as (select model_id, row_number() over (order by model_id) as mo
 select entity, model_id, level, key, tp, tn, fp, fn, model_ord from cf join o using (model_id) left join stop using (entity)
 where stop is null or model_ord <= stop""")
 def first_match(spark, sf):
-    conf = many_confusion(spark, sf)
-    models = trained(spark, sf)[1].select("model_id").distinct()
+    scored, states, v = scored_visits(spark, sf)  # trained once
+    predicted = K.merge_predictions(scored, M.state_weights(states))
+    conf = K.confusion(K.label_predictions(predicted, E.index_flows(test_flows(spark, sf))), TEST_SET, METHOD)
+    models = v.select("model_id").distinct()
     order = OrderedScan(models, [], ["model_id"]).index("model_ord").result().withColumn("model_ord", F.col("model_ord") + 1)
     return K.first_match(conf, order).drop("test_set", "method")
 
@@ -159,12 +157,12 @@ def verdict_confusion(spark, sf):
 
 
 # scenarios: one per destination of the connection
-@query("dataset_totals", PRED + CONF + f""", s as (select key as scenario, sum(tp) as tp, sum(tn) as tn, sum(fp) as fp, sum(fn) as fn
+@query("dataset_totals", MANY_CONF + f""", s as (select key as scenario, sum(tp) as tp, sum(tn) as tn, sum(fp) as fp, sum(fn) as fn
   from cf where level = 'dst_ip' group by 1),
  t as (select * from s union all select 'total', sum(tp), sum(tn), sum(fp), sum(fn) from s)
 select scenario, '{METHOD}' as method, cast(tp as bigint) as tp, cast(tn as bigint) as tn, cast(fp as bigint) as fp, cast(fn as bigint) as fn, {_METRICS} from t""")
 def dataset_totals(spark, sf):
-    conf = own_confusion(spark, sf).filter("level = 'dst_ip'").select(F.col("key").alias("test_set"), "method", *K.COUNTS)
+    conf = many_confusion(spark, sf).filter("level = 'dst_ip'").select(F.col("key").alias("test_set"), "method", *K.COUNTS)
     return rounded_metrics(K.dataset_totals(conf, ["method"]))
 
 

@@ -78,29 +78,33 @@ def replay_visits(spark, sf):
         "model_id", "entity", "trace_id", "pos", "row_idx", "flow_id", "state")
 
 
-def neighbour_sets(v):
-    """Each host is tested on its own model and on the next one in the order of the models."""
-    from flowloom.functions.scan import OrderedScan
+def test_set(entity):
+    """Hosts of five neighbouring numbers are one test set: benign and malicious ones together."""
+    return F.floor(F.substring(entity, 2, 20).cast("long") / 5)
 
-    models = v.select("model_id").distinct()
-    own = models.select(F.col("model_id").alias("test_set"), "model_id")
-    following = OrderedScan(models, [], ["model_id"]).previous({"test_set": "model_id"}).result()
-    return own.unionByName(following.filter(F.col("test_set").isNotNull()).select("test_set", "model_id"))
 
+def set_models(v):
+    """The models of each test set: those learned from its own benign hosts."""
+    return v.select("model_id").distinct().select(test_set("model_id").alias("test_set"), "model_id")
 
-NEIGHBOURS = """ mo as (select model_id, lag(model_id) over (order by model_id) as before from (select distinct model_id from st)),
- asg as (select model_id as entity, model_id from mo union all select before, model_id from mo where before is not null)"""
 
+def assigned_models(v, test):
+    """Every host of the test period, with or without a model of its own, meets all models of its test set."""
+    entities = test.select("entity").distinct().select("entity", test_set("entity").alias("test_set"))
+    return M.assign_models(entities, set_models(v))
 
-@query("replay_assigned", BASE + "," + STATES + "," + NEIGHBOURS + """
+
+ASSIGNED = """ asg as (select e.entity, m.model_id from (select distinct entity from test_v) e join (select distinct model_id from st) m
+   on cast(substr(e.entity, 2) as bigint) // 5 = cast(substr(m.model_id, 2) as bigint) // 5)"""
+
+
+@query("replay_assigned", BASE + "," + STATES + "," + ASSIGNED + """
 select a.model_id, t.entity, t.trace_id, t.pos, t.row_idx, coalesce(s.state, 'sink') as state
 from test_v t join asg a using (entity) left join st s on s.model_id = a.model_id and s.state = t.state""")
 def replay_assigned(spark, sf):
     limits, v = trained(spark, sf)
     test = tested(spark, sf, limits)
-    entities = test.select("entity", F.col("entity").alias("test_set")).distinct()
-    assigned = M.assign_models(entities, neighbour_sets(v))
-    replayed = M.replay_context(test, M.learn_state_model(v, limits).states, assigned)
+    replayed = M.replay_context(test, M.learn_state_model(v, limits).states, assigned_models(v, test))
     return replayed.select("model_id", "entity", "trace_id", "pos", "row_idx", "state")
 
 

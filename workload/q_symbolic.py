@@ -7,24 +7,24 @@ from flowloom.operators.evaluate import entity_labels, symbolic_verdicts
 from flowloom.operators.entities import entity_flows
 
 from .catalog import query
-from .profile import BASE, test_flows, tested, trained
+from .profile import BASE, STATES, test_flows, tested, trained
+from .q_machine import ASSIGNED, assigned_models
 
 EDGES = """ ed as (select model_id, case when state = 'start' then '0' else 's' || state end as src, cast(symbol as varchar) as symbol,
   's' || next_state as dst, count(*) as cnt from train_v group by 1, 2, 3, 4)"""
-# test records on the own machine up to the first symbol the machine does not know
-STEPS = """ q as (select t.entity, t.trace_id, t.pos, cast(t.symbol as varchar) as symbol, 's' || t.next_state as after, e.cnt
-   from test_v t join (select distinct model_id from train_v) m on m.model_id = t.entity left join ed e on e.model_id = t.entity
+# test records on the machines of their test set up to the first symbol a machine does not know
+STEPS = STATES + "," + ASSIGNED + """, q as (select a.model_id, t.entity, t.trace_id, t.pos, cast(t.symbol as varchar) as symbol, 's' || t.next_state as after, e.cnt
+   from test_v t join asg a on a.entity = t.entity left join ed e on e.model_id = a.model_id
    and e.src = (case when t.state = 'start' then '0' else 's' || t.state end) and e.symbol = cast(t.symbol as varchar)),
- stop as (select entity, trace_id, coalesce(min(pos) filter (cnt is null), 1000000) as stop from q group by 1, 2)"""
+ stop as (select model_id, entity, trace_id, coalesce(min(pos) filter (cnt is null), 1000000) as stop from q group by 1, 2, 3)"""
 
 
 def machines(spark, sf):
     limits, v = trained(spark, sf)
     edges = Y.edges_from_context(M.learn_state_model(v, limits).transitions)
-    known = v.select(F.col("model_id").alias("entity")).distinct()
-    test = tested(spark, sf, limits).join(known, "entity", "left_semi")
-    own = lambda d: Y.pack_symbols(d).withColumn("model_id", F.col("entity"))
-    return edges, own(v), own(test)
+    test = tested(spark, sf, limits)
+    own = Y.pack_symbols(v).withColumn("model_id", F.col("entity"))
+    return edges, own, Y.pack_symbols(test).join(assigned_models(v, test), "entity")
 
 
 @query("laplace_probs", BASE + "," + EDGES + """
@@ -36,23 +36,24 @@ def laplace_probs(spark, sf):
 
 
 @query("acceptance", BASE + "," + EDGES + "," + STEPS + """
-select entity as model_id, entity, count(*) as n_traces, round(avg(case when stop = 1000000 then 1 else 0 end), 6) as accepted
-from stop group by entity""")
+select model_id, entity, count(*) as n_traces, round(avg(case when stop = 1000000 then 1 else 0 end), 6) as accepted
+from stop group by model_id, entity""")
 def acceptance(spark, sf):
     edges, _, test = machines(spark, sf)
     return Y.acceptance(test, edges).withColumn("accepted", F.round("accepted", 6))
 
 
 _ERROR = BASE + "," + EDGES + "," + STEPS + """,
- p0 as (select model_id as entity, 's' || next_state as state, cast(symbol as varchar) as symbol, count(*) as n from train_v group by 1, 2, 3),
- p as (select entity, state, symbol, n / sum(n) over (partition by entity) as p from p0),
- q0 as (select q.entity, after as state, symbol, count(*) as n from q join stop using (entity, trace_id) where pos < stop group by 1, 2, 3),
- q1 as (select entity, state, symbol, n / sum(n) over (partition by entity) as q from q0),
- er as (select entity, avg(abs(coalesce(p, 0) - coalesce(q, 0))) as error from (select * from p where entity in (select entity from stop)) full join q1
-   using (entity, state, symbol) group by 1)"""
+ p0 as (select model_id, 's' || next_state as state, cast(symbol as varchar) as symbol, count(*) as n from train_v group by 1, 2, 3),
+ p1 as (select model_id, state, symbol, n / sum(n) over (partition by model_id) as p from p0),
+ p as (select distinct p1.*, s.entity from p1 join (select distinct model_id, entity from stop) s using (model_id)),
+ q0 as (select q.model_id, q.entity, after as state, symbol, count(*) as n from q join stop using (model_id, entity, trace_id) where pos < stop group by 1, 2, 3, 4),
+ q1 as (select model_id, entity, state, symbol, n / sum(n) over (partition by model_id, entity) as q from q0),
+ er as (select model_id, entity, avg(abs(coalesce(p, 0) - coalesce(q, 0))) as error from p full join q1
+   using (model_id, entity, state, symbol) group by 1, 2)"""
 
 
-@query("pattern_error", _ERROR + " select entity as model_id, entity, round(error, 6) as error from er")
+@query("pattern_error", _ERROR + " select model_id, entity, round(error, 6) as error from er")
 def pattern_error(spark, sf):
     edges, train, test = machines(spark, sf)
     return Y.pattern_error(train, test, edges).withColumn("error", F.round("error", 6))
