@@ -8,13 +8,14 @@ from ..functions.scalar import stripped
 from ..operators.machine import CLAUSES
 from .traces import entity_from_path
 
-# Line shapes of the machine files.
-_NODE = r'(?s)^(\d+) \[\s*label="(.+)".*\];$'
-_EDGE = r'(?s)^(.+) -> (\d+)(?: \[label="(.*)".*\])*;$'
-_INFO = r"((?:fin|symb|attr)\(\d+\)):\[*([\d,]+)\]*"
-_CONDITION = r"(\d+) (<=|>=|==|<|>) (\d+(?:\.\d+(?:e\+\d+)?)?)"
-_SYMBOL_EDGE = r'^(.+) -> (.+) \[label="(.+)"[ style=dotted]*  \];$'
-_SYMBOL = r"(\d+):(\d+)"
+# A file is a list of statements, each a head and an optional attribute list in brackets, closed by a semicolon at the end
+# of a line. A head is a node number, or two nodes and an arrow. Of the attributes only the quoted label is read.
+_CLOSE = r";[ \t\r]*(?:\n|$)"
+# a label item of a node: name, number in parentheses, and one number or a bracketed list of numbers
+_ITEM = r"([a-z]+)\((\d+)\):(\[[^\]]*\]|\d+)"
+# a test on an edge: attribute, comparison, signed decimal number with optional exponent
+_NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+_TEST = rf"(?<![\w.+-])(\d+)\s*([<>]=?|==)\s*({_NUMBER})(?![\w.+-])"
 
 
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -24,11 +25,19 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return whole.select(name.alias("model_id"), entity_from_path(path).alias("entity"), "value")
 
 
-def _statements(texts: DataFrame, separator: str) -> DataFrame:
-    return texts.select("model_id", F.posexplode(F.split("value", separator)).alias("at", "line"))
+def _statements(texts: DataFrame) -> DataFrame:
+    """(model_id, at, src, dst, label) of each statement; ``dst`` is NULL for nodes, ``label`` where there is none."""
+    # the opening line of the graph and its closing brace belong to no statement
+    body = F.regexp_replace("value", r"^[^{\n]*\{", "")
+    split = texts.select("model_id", F.posexplode(F.split(body, _CLOSE)).alias("at", "line"))
+    head = stripped(F.substring_index("line", "[", 1))
+    label = F.substring_index(F.get(F.split("line", 'label="', 2), F.lit(1)), '"', 1)
+    ends = F.split(head, r"\s+->\s+", 2)
+    return split.select("model_id", "at", F.get(ends, F.lit(0)).alias("src"), F.get(ends, F.lit(1)).alias("dst"),
+                        label.alias("label"))
 
 
-def _edge_state(text: Column) -> Column:
+def _named(text: Column) -> Column:
     return F.when(text == "I", "root").otherwise(text)
 
 
@@ -44,18 +53,13 @@ def parse_state_models(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     per quantile. Repeated edges are alternatives of one guard. An edge names its
     own source, so lines need no order.
     """
-    lines = _statements(texts, r"\n\t+|\n\}")
-    label = F.regexp_extract("line", _NODE, 2)
-    nodes = lines.filter(F.col("line").rlike(_NODE)).select(
-        "model_id", F.when(label == "root", "root").otherwise(F.regexp_extract("line", _NODE, 1)).alias("state"),
-        F.regexp_extract_all(label, F.lit(_INFO), F.lit(1)).alias("ids"),
-        F.regexp_extract_all(label, F.lit(_INFO), F.lit(2)).alias("values"),
-    )
-    facts = nodes.select("model_id", "state", F.explode_outer(F.arrays_zip("ids", "values")).alias("f")).select(
-        "model_id", "state", F.regexp_extract("f.ids", r"^(\w+)", 1).alias("kind"),
-        F.regexp_extract("f.ids", r"(\d+)", 1).alias("attr"),
-        F.filter(F.split("f.values", ","), lambda v: v != "").alias("v"),
+    lines = _statements(texts)
+    nodes = lines.filter(F.col("dst").isNull() & F.col("src").rlike(r"^\d+$") & F.col("label").isNotNull()).select(
+        "model_id", F.when(F.col("label") == "root", "root").otherwise(F.col("src")).alias("state"),
+        F.arrays_zip(*(F.regexp_extract_all("label", F.lit(_ITEM), F.lit(i)).alias(n) for i, n in enumerate(("kind", "attr", "text"), 1))).alias("items"),
     )
+    facts = nodes.select("model_id", "state", F.explode_outer("items").alias("f")).select(
+        "model_id", "state", "f.kind", "f.attr", F.filter(F.split(F.translate("f.text", "[] ", ""), ","), lambda v: v != "").alias("v"))
 
     def last(kind: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("kind") == kind, F.get("v", F.lit(0)).cast("long"))), F.lit(0).cast("long"))
@@ -64,18 +68,12 @@ def parse_state_models(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     bins = facts.filter(F.col("kind") == "attr").select(
         "model_id", "state", "attr", F.transform("v", lambda x: x.cast("double")).alias("counts")
     )
-    edges = lines.filter(F.col("line").rlike(_EDGE)).select(
-        "model_id", "at", _edge_state(F.regexp_extract("line", _EDGE, 1)).alias("src"),
-        F.regexp_extract("line", _EDGE, 2).alias("dst"), F.regexp_extract("line", _EDGE, 3).alias("text"),
-    )
-    clause = F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all("text", F.lit(_CONDITION), F.lit(1)).alias("a"),
-            F.regexp_extract_all("text", F.lit(_CONDITION), F.lit(2)).alias("o"),
-            F.regexp_extract_all("text", F.lit(_CONDITION), F.lit(3)).alias("b"),
-        ),
-        lambda c: F.struct(c["a"].cast("int").alias("attr"), c["o"].alias("op"), c["b"].cast("double").alias("bound")),
-    )
+    edges = lines.filter(F.col("dst").isNotNull()).select("model_id", "at", _named(F.col("src")).alias("src"), "dst", F.coalesce("label", F.lit("")).alias("text"))
+    tests = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(_TEST), F.lit(i)).alias(n) for i, n in enumerate("aob", 1)))
+    clause = F.transform(tests, lambda c: F.struct(c["a"].cast("int").alias("attr"), c["o"].alias("op"), c["b"].cast("double").alias("bound")))
+    # a comparison left over after all tests are taken out would be a guard read wrongly
+    rest = F.regexp_replace("text", _TEST, "")
+    clause = F.when(rest.rlike("[<>]|=="), F.raise_error(F.concat(F.lit("unread condition: "), rest)).cast(CLAUSES.removeprefix("array<").removesuffix(">"))).otherwise(clause)
     ordered = F.sort_array(F.collect_list(F.struct("at", clause.alias("clause"))))
     transitions = edges.groupBy("model_id", "src", "dst").agg(ordered.alias("_c")).select(
         "model_id", "src", "dst", F.col("_c.clause").cast(CLAUSES).alias("clauses")
@@ -90,15 +88,10 @@ def read_symbolic_models(spark: SparkSession, paths: str | list[str]) -> DataFra
 
 def parse_symbolic_models(texts: DataFrame) -> DataFrame:
     """``edges(model_id, src, symbol, dst, cnt)``; of repeated edges the last one counts."""
-    lines = _statements(texts, "\n").withColumn("line", stripped("line"))
-    edges = lines.filter(F.col("line").rlike(_SYMBOL_EDGE)).select(
-        "model_id", "at", F.regexp_extract("line", _SYMBOL_EDGE, 1).alias("src"),
-        F.regexp_extract("line", _SYMBOL_EDGE, 2).alias("dst"), F.regexp_extract("line", _SYMBOL_EDGE, 3).alias("text"),
-    )
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("text", F.lit(_SYMBOL), F.lit(1)).alias("symbol"),
-        F.regexp_extract_all("text", F.lit(_SYMBOL), F.lit(2)).alias("cnt"),
-    )
+    edges = _statements(texts).filter(F.col("dst").isNotNull() & F.col("label").isNotNull())
+    # a label is a list of symbol:count
+    items = F.filter(F.split("label", r"\s+"), lambda x: x.contains(":"))
+    pairs = F.transform(items, lambda x: F.struct(F.substring_index(x, ":", 1).alias("symbol"), F.substring_index(x, ":", -1).alias("cnt")))
     rows = edges.select("model_id", "src", "dst", "at", F.posexplode(pairs).alias("k", "p"))
     newest = F.max_by(F.struct("dst", F.col("p.cnt").cast("long").alias("cnt")), F.struct("at", "k"))
     kept = rows.groupBy("model_id", "src", F.col("p.symbol").alias("symbol")).agg(newest.alias("_e"))

@@ -162,6 +162,16 @@ def test_state_machine_file(machine):
     assert edges["root", "0"] == [[]] and edges["1", "3"] == [[]]
 
 
+def test_numbers_and_unread_conditions(spark):
+    label = lambda text: spark.createDataFrame([("m", f'digraph G {{\n0 -> 1 [color="red" label="{text}"];\n}}\n')], "model_id string, value string")
+    read = lambda text: [tuple(c) for c in D.parse_state_models(label(text))[2].first().clauses[0]]
+    assert read("0 <= -1.5 1 > 1e-05 2 < 2E+06 3 == .5 4 >= 7") == [
+        (0, "<=", -1.5), (1, ">", 1e-05), (2, "<", 2e6), (3, "==", 0.5), (4, ">=", 7.0)]
+    for text in ("0 <= x", "0 < 1.2.3", "a > 4"):
+        with pytest.raises(Exception, match="unread condition"):
+            read(text)
+
+
 def test_replay_of_a_read_machine(spark, machine):
     traces = {
         0: [[5.0, 3.0], [1.0, 1.0], [0.0, 0.0]],  # 0 -> 1 -> 3 without further tests
