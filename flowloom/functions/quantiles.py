@@ -47,8 +47,10 @@ def _from_counts(df: DataFrame, keys: list[str], column: str, probs: list[float]
         picks += [
             F.min(F.when(F.col("_upto") > F.floor(rank), value)).alias(f"_lo{i}"),
             F.min(F.when(F.col("_upto") > F.ceil(rank), value)).alias(f"_hi{i}"),
-            F.max(rank - F.floor(rank)).alias(f"_w{i}"),
+            F.max(rank - F.floor(rank)).alias(f"_w{i}"), F.max(F.ceil(rank) - rank).alias(f"_v{i}"),
         ]
     picked = joined.groupBy(*keys).agg(*picks)
-    levels = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(probs))]
+    # the order of operations of ``percentile``, so that both ways agree to the last bit
+    levels = [F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}"))
+              .otherwise(F.col(f"_v{i}") * F.col(f"_lo{i}") + F.col(f"_w{i}") * F.col(f"_hi{i}")) for i in range(len(probs))]
     return picked.select(*keys, F.array(*levels).alias(f"q_{column}"))

@@ -15,6 +15,8 @@ from .stats import MIN_VISITS, STATE, spread_attrs, thin_state
 
 RIDGE = 1e-8  # variance of the 1e-4 noise the method adds to its training points
 
+FLOOR = 1e-12  # least eigenvalue of a covariance without inverse, as a share of the largest
+
 
 def fit_covariance(visits: DataFrame, width: int) -> DataFrame:
     """``(model_id, state, n, cov)``: row-major sample covariance with the ridge on its diagonal."""
@@ -29,9 +31,19 @@ def fit_covariance(visits: DataFrame, width: int) -> DataFrame:
 
 
 def kernel(n: float, cov: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Whitening matrix and normalisation of the kernel; bandwidth ``n ** (-1 / (width + 4))``."""
+    """Whitening matrix and normalisation of the kernel; bandwidth ``n ** (-1 / (width + 4))``.
+
+    Attributes that determine each other leave a covariance without inverse, beside whose variances the ridge is lost:
+    its smallest eigenvalues are raised to ``FLOOR`` of the largest.
+    """
     bandwidth = matrix(cov, width) * n ** (-2.0 / (width + 4))
-    root = np.linalg.cholesky(bandwidth)
+    try:
+        root = np.linalg.cholesky(bandwidth)
+    except np.linalg.LinAlgError:
+        values, axes = np.linalg.eigh(bandwidth)
+        deviation = np.sqrt(np.maximum(values, FLOOR * values[-1]))
+        norm = (2 * np.pi) ** (width / 2) * np.prod(deviation) * n
+        return axes.T / deviation[:, None], norm
     norm = (2 * np.pi) ** (width / 2) * np.prod(np.diag(root)) * n
     return np.linalg.inv(root), norm
 

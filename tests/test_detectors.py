@@ -136,3 +136,20 @@ def test_outcomes_add_up_and_undefined_metrics(spark):
     assert (counts.tp, counts.tn, counts.fp, counts.fn) == (1, 2, 1, 1) and counts.accuracy == 0.6
     none = K.with_metrics(spark.createDataFrame([(0, 3, 0, 0)], "tp long, tn long, fp long, fn long")).first()
     assert (none.precision, none.recall) == (-1.0, -1.0)
+
+
+def test_kernel_of_attributes_that_determine_each_other():
+    """A covariance without inverse still gives a density that falls with the distance."""
+    cov = np.array([[1e18, 1e18], [1e18, 1e18]])
+    whiten, norm = kde.kernel(50.0, cov.ravel(), 2)
+    assert np.isfinite(whiten).all() and np.isfinite(norm) and norm > 0
+    length = lambda *x: float(np.linalg.norm(whiten @ np.array(x)))
+    assert length(1e9, 1e9) < length(2e9, 2e9) < length(1e9, -1e9)
+
+
+@pytest.mark.parametrize("rule, want", [("any", [0, 1, 1, 1]), ("majority", [0, 0, 0, 1]), ("all", [0, 0, 0, 0])])
+def test_tied_majority_is_no_hit(spark, rule, want):
+    fit = spark.createDataFrame([("m", "s", 9, [0.0] * 4, [1.0] * 4)], "model_id string, state string, n long, mean array<double>, std array<double>")
+    rows = [("m", "s", i, [9.0 if j < k else 0.0 for j in range(4)]) for i, k in enumerate((0, 1, 2, 3))]
+    visits = spark.createDataFrame(rows, "model_id string, state string, pos int, attrs array<double>")
+    assert [r.pred for r in stats.score_stats(visits, fit, rule=rule).orderBy("pos").collect()] == want

@@ -53,3 +53,13 @@ def test_verdict_counts_and_entry(spark):
 
     assert S.entry(spark).count() == 2
     assert set(S.oracle_sql()) <= set(S.queries())
+
+
+def test_malicious_hosts_are_judged(spark, sf_small):
+    """Hosts without a model of their own are tried on the models of their test set, so both kinds of truth occur."""
+    import workload
+
+    queries = workload.all_queries()
+    totals = queries["verdict_confusion"](spark, sf_small).filter("level = 'host'").first()
+    assert totals.tp + totals.fn > 0 and totals.tn + totals.fp > 0
+    assert {r.truth for r in queries["symbolic_verdicts"](spark, sf_small).collect()} == {0, 1}

@@ -74,6 +74,6 @@ BASE = base_sql()
 STATES = """ st as (select model_id, state, count(*) as visits from train_v group by 1, 2),
  wt as (select *, (visits + 1) / (max(visits) over (partition by model_id) + 1) as weight from st)"""
 # test visits on the host's own model, unknown states become the sink
-OWN = """ rv as (select t.entity, t.trace_id, t.pos, t.row_idx, t.flow_id, t.src_bytes, t.dst_port, m.model_id,
+OWN = """ rv as (select t.entity, t.trace_id, t.pos, t.row_idx, t.flow_id, t.src_bytes, t.dst_port, t.dst_bytes, m.model_id,
    coalesce(s.state, 'sink') as state from test_v t join (select distinct model_id from st) m on m.model_id = t.entity
    left join st s on s.model_id = m.model_id and s.state = t.state)"""

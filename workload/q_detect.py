@@ -22,11 +22,11 @@ def own_visits(spark, sf, attrs=ATTRS):
 
 RUN = BASE + "," + STATES + "," + OWN
 FIT = """ ft as (select model_id, state, count(*) as n, avg(src_bytes) as m0, avg(dst_port) as m1, stddev_pop(src_bytes) as s0,
-  stddev_pop(dst_port) as s1 from train_v group by 1, 2 having count(*) > 2)"""
+  stddev_pop(dst_port) as s1, avg(dst_bytes) as m2, stddev_pop(dst_bytes) as s2 from train_v group by 1, 2 having count(*) > 2)"""
 HIT = {
     "any": "abs(src_bytes - m0) - 2 * s0 > 1e-9 or abs(dst_port - m1) - 2 * s1 > 1e-9",
     "all": "abs(src_bytes - m0) - 2 * s0 > 1e-9 and abs(dst_port - m1) - 2 * s1 > 1e-9",
-    "majority": "abs(src_bytes - m0) - 2 * s0 > 1e-9 and abs(dst_port - m1) - 2 * s1 > 1e-9",
+    "majority": " + ".join(f"case when abs({c} - m{i}) - 2 * s{i} > 1e-9 then 1 else 0 end" for i, c in enumerate(("src_bytes", "dst_port", "dst_bytes"))) + " > 1",
 }
 
 
@@ -47,8 +47,10 @@ def fit_stats(spark, sf):
 def _baseline(rule):
     @query(f"baseline_{rule}", RUN + "," + FIT + "," + scored_sql(rule) + " select model_id, entity, trace_id, pos, state, pred from sc")
     def run(spark, sf):
-        _, v, test, _ = own_visits(spark, sf)
-        return stats.score_stats(test, stats.fit_stats(v, 2), rule=rule).select(*KEYS, "pred")
+        # two attributes can't tell a majority from all
+        attrs = [*ATTRS, "dst_bytes"] if rule == "majority" else ATTRS
+        _, v, test, _ = own_visits(spark, sf, attrs)
+        return stats.score_stats(test, stats.fit_stats(v, len(attrs)), rule=rule).select(*KEYS, "pred")
 
     return run
 
