@@ -3,9 +3,10 @@
 *Passages* are runs of three blocks of ``BLOCK`` words, one for each block, so any run of two blocks' words lies in one.
 *TF-IDF*: words (ASCII case folded, outer ASCII punctuation kept) are hashed to ``FEATURES`` features; document frequencies are
 counted over the passages of all documents in Spark.
-*Randomised SVD*: with C the Gram matrix of all passages that do not overlap and R a fixed random matrix, tasks form parts of
+*Randomised SVD*: with C the Gram matrix of passages that do not overlap and R a fixed random matrix, tasks form parts of
 C R and Spark sums them by feature. The singular values and right vectors follow from C R and R (Nystroem), a matrix of fixed
-size. Passages and items are compared in the whitened latent space by cosine.
+size. The vectors are fitted on about ``FIT_PASSAGES`` passages of documents picked by hash (on all, if there are fewer); every
+passage of every document is then searched. Passages and items are compared in the whitened latent space by cosine.
 *Candidates* are checked in the text: the longest common subsequence of an item and the words around the passage must hold
 ``share`` of the item's words, and the item's answer, its last quarter of words, must be there by half. So paraphrases that
 change, drop or add some words are found as well as copies.
@@ -32,6 +33,7 @@ from .words import U, batch, mix, ragged, text_slices, words
 FEATURES, RANK, EXTRA = 1 << 13, 48, 8
 BLOCK, RUN = 8, 3  # words of a block, blocks of a passage
 ITEM_BLOCK = 4096
+FIT_PASSAGES = 500_000
 MIN_WORDS = 8
 SEED = 11
 
@@ -41,12 +43,25 @@ def _features(h: np.ndarray) -> np.ndarray:
 
 
 def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, number of blocks after it in the text and itself) of each block of words."""
+    """(text, first word, number of blocks from it to the end of the text) of each block of words."""
     count = -(-np.diff(first) // BLOCK)
     text, place = ragged(count)
     return text, first[:-1][text] + place * BLOCK, count[text] - place
 
 
+def _sums(vectors: np.ndarray, f: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of the word vectors of each block; ``vectors`` has a last row of zeros for places behind a text's end."""
+    padded = np.append(f.astype(np.int64), FEATURES)
+    total = vectors[padded[at]]
+    for j in range(1, BLOCK):
+        total += vectors[np.where(at + j < end, padded[np.minimum(at + j, len(f))], FEATURES)]
+    return total
+
+
+def _with_zero(vectors: np.ndarray) -> np.ndarray:
+    return np.vstack([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)])
+
+
 def _frequencies(batches):
     seen, total = np.zeros(FEATURES, np.int64), 0
     for b in batches:
@@ -70,7 +85,7 @@ def _random() -> np.ndarray:
 def _gram(idf: np.ndarray):
     """A task's part of C R, a row for each feature."""
     def run(batches):
-        weighed = _random() * idf[:, None]
+        weighed = _with_zero(_random() * idf[:, None])
         part = np.zeros((FEATURES, RANK + EXTRA), np.float64)
         for b in batches:
             for _, _, data, bounds in text_slices(b.column(0)):
@@ -78,13 +93,15 @@ def _gram(idf: np.ndarray):
                 if not len(h):
                     continue
                 f = _features(h)
-                text, place = ragged(np.diff(first))
-                new = np.append(True, (text[1:] != text[:-1]) | (place[1:] % (BLOCK * RUN) == 0))
-                at = np.flatnonzero(new)
-                y = np.add.reduceat(weighed[f], at, axis=0)
+                text, at, left = _blocks(first)
+                sums = _sums(weighed, f, at, first[text + 1])
+                place = (at - first[text]) // BLOCK
+                new = place % RUN == 0
+                y = np.add.reduceat(sums, np.flatnonzero(new), axis=0)
+                of = np.repeat(np.cumsum(new) - 1, np.minimum(BLOCK, first[text + 1] - at))
                 order = np.argsort(f, kind="stable")
-                edge = np.flatnonzero(np.append(True, np.diff(f[order]) != 0))
-                part[f[order][edge]] += np.add.reduceat(y[(np.cumsum(new) - 1)[order]], edge, axis=0)
+                edge = np.flatnonzero(np.append(True, np.diff(f[order].astype(np.int64)) != 0))
+                part[f[order][edge]] += np.add.reduceat(y[of[order]], edge, axis=0)
         part *= idf[:, None]
         for lo in range(0, FEATURES, 1024):
             yield batch(["feature", *(f"y{i}" for i in range(RANK + EXTRA))],
@@ -98,23 +115,33 @@ class Space:
 
     vectors: np.ndarray  # FEATURES x RANK, weights included
     centre: np.ndarray  # mean direction of a word
+    idf: np.ndarray
 
 
 def latent_space(docs: DataFrame) -> Space:
-    """Document frequencies and right singular vectors over all passages of ``docs(text)``."""
-    texts = docs.select("text")
-    counts = mapped(texts, _frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # FEATURES + 1 rows
+    """Document frequencies over all passages of ``docs(doc_id, text)``, and right singular vectors."""
+    counts = mapped(docs.select("text"), _frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # FEATURES + 1 rows
     df = np.zeros(FEATURES + 1, np.float64)
     for r in counts:
         df[r["feature"]] = r["n"]
-    total = df[-1]
-    idf = np.log((1 + total) / (1 + df[:-1])).astype(np.float32)
+    idf = _idf(df)
+    share = min(1.0, FIT_PASSAGES / max(df[-1], 1.0))
+    fitted = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * share)).select("text")
     names = [f"y{i}" for i in range(RANK + EXTRA)]
-    rows = mapped(texts, _gram(idf), "feature long, " + ", ".join(f"{n} double" for n in names))
+    rows = mapped(fitted, _gram(idf), "feature long, " + ", ".join(f"{n} double" for n in names))
     summed = rows.groupBy("feature").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # a matrix of fixed size
     y = np.zeros((FEATURES, RANK + EXTRA))
     if len(summed):
         y[summed["feature"].to_numpy()] = summed[names].to_numpy()
+    return _space(df, idf, y)
+
+
+def _idf(df: np.ndarray) -> np.ndarray:
+    """Cubed, so that not a few frequent words, of which every passage has the same share, span the latent space."""
+    return (np.log((1 + df[-1]) / (1 + df[:-1])) ** 3).astype(np.float32)
+
+
+def _space(df: np.ndarray, idf: np.ndarray, y: np.ndarray) -> Space:
     r = _random().astype(np.float64)
     core = r.T @ y
     core = (core + core.T) / 2
@@ -123,10 +150,10 @@ def latent_space(docs: DataFrame) -> Space:
     left, s, _ = np.linalg.svd(y @ (turn[:, keep] / np.sqrt(values[keep])), full_matrices=False)
     white = np.zeros((FEATURES, RANK), np.float32)
     good = s[:RANK] > 1e-6 * (s[0] if len(s) else 1)
-    white[:, :good.sum()] = left[:, :RANK][:, good] / s[:RANK][good] * np.sqrt(max(total, 1))
+    white[:, :good.sum()] = left[:, :RANK][:, good] * (s[0] if len(s) else 1) / s[:RANK][good]
     vectors = white * idf[:, None]
     weight = df[:-1] / max(df[:-1].sum(), 1)
-    return Space(vectors, (weight[:, None] * vectors).sum(0).astype(np.float32))
+    return Space(vectors, (weight[:, None] * vectors).sum(0).astype(np.float32), idf)
 
 
 @dataclass
@@ -135,6 +162,7 @@ class Items:
     words: list[list[int]]  # hashes
     query: np.ndarray  # parts x RANK
     of: np.ndarray  # item of each part
+    blocks: np.ndarray  # blocks of the passages that each part is compared with
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -143,7 +171,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _items(rows, space: Space) -> Items:
     """Word hashes and latent vectors; a long item is searched by parts of about a passage."""
-    ids, held, query, of = [], [], [], []
+    ids, held, query, of, blocks = [], [], [], [], []
     for item, text in rows:
         _, _, h, _ = words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), lower=True)
         if not len(h):
@@ -154,9 +182,10 @@ def _items(rows, space: Space) -> Items:
         for a, z in zip(cut, cut[1:]):
             query.append((space.vectors[f[a:z]] - space.centre).sum(0))
             of.append(len(ids))
+            blocks.append(min(RUN, max(1, round((z - a + 4) / BLOCK))))
         ids.append(item)
         held.append(h.tolist())
-    return Items(ids, held, _unit(np.array(query, np.float32).reshape(-1, RANK)), np.array(of, np.int64))
+    return Items(ids, held, _unit(np.array(query, np.float32).reshape(-1, RANK)), np.array(of, np.int64), np.array(blocks, np.int64))
 
 
 def common_subsequence(item: list[int], window: list[int]) -> int:
@@ -177,12 +206,14 @@ def check(item: list[int], near: list[int], share: float) -> tuple[int, int]:
     """(common words, offset) of the best run of ``near`` that passes, or (0, 0)."""
     size = len(item)
     need = size if size < MIN_WORDS else int(np.ceil(share * size))
-    own = set(item)
-    if sum(w in own for w in near) < need:
-        return 0, 0
-    answer = item[-max(1, size // 4):]
+    own, answer = set(item), item[-max(1, size // 4):]
     width, best = size if size < MIN_WORDS else int(np.ceil(1.3 * size)), (0, 0)
+    before = [0]  # words of the item among the first ones: a run can't have more in common
+    for w in near:
+        before.append(before[-1] + (w in own))
     for at in range(0, max(1, len(near) - size // 2), 1 if size < MIN_WORDS else max(1, size // 8)):
+        if before[min(at + width, len(near))] - before[at] < max(need, best[0] + 1):
+            continue
         run = near[at:at + width]
         found = common_subsequence(item, run)
         if found >= need and found > best[0] and (size >= MIN_WORDS or run == item) and 2 * common_subsequence(answer, run) >= len(answer):
@@ -194,7 +225,11 @@ def _search(space: Space, items: Items, cosine: float, share: float):
     has = np.zeros((len(items.ids), FEATURES), bool)
     for i, own in enumerate(items.words):
         has[i, _features(np.array(own, U))] = True
-    least = np.array([0.4 * min(len(w), BLOCK * RUN) for w in items.words])
+    # weight of the words that a passage must share with an item: four tenths of the item's, or of a passage's worth of it
+    weight = [space.idf[_features(np.array(w, U))] for w in items.words]
+    least = np.array([0.4 * min(w.sum(), w.mean() * BLOCK * RUN) for w in weight])
+
+    vectors = _with_zero(space.vectors - space.centre)
 
     def run(batches):
         for b in batches:
@@ -205,17 +240,24 @@ def _search(space: Space, items: Items, cosine: float, share: float):
                     continue
                 f = _features(h)
                 text, at, left = _blocks(first)
-                sums = np.add.reduceat(space.vectors[f] - space.centre, at, axis=0)
-                passage = sums.copy()
-                for i in range(1, RUN):
-                    passage[:-i] += np.where((left[:-i] > i)[:, None], sums[i:], 0)
-                found = np.argwhere(_unit(passage) @ items.query.T >= cosine)
+                sums = _sums(vectors, f, at, first[text + 1])
+                passage, met = sums.copy(), []
+                for run_ in range(1, RUN + 1):
+                    # also a block fewer: then no words beside the item blur the passage
+                    own = np.flatnonzero((items.blocks == run_) | (items.blocks == run_ + 1))
+                    if len(own):
+                        place, part = np.nonzero(_unit(passage) @ items.query[own].T >= cosine)
+                        met.append(np.column_stack([place, own[part]]))
+                    if run_ < RUN:
+                        passage[:-run_] += np.where((left[:-run_] > run_)[:, None], sums[run_:], 0)
+                found = np.concatenate(met)
                 if not len(found):
                     continue
                 block, item = found[:, 0], items.of[found[:, 1]]
                 reach = at[block][:, None] + np.arange(BLOCK * RUN)
                 inside = reach < first[text[block] + 1][:, None]
-                shared = (has[item[:, None], f[np.minimum(reach, len(f) - 1)]] & inside).sum(1)
+                near = f[np.minimum(reach, len(f) - 1)]
+                shared = np.where(has[item[:, None], near] & inside, space.idf[near], 0).sum(1)
                 keep = shared >= least[item]
                 out: dict[tuple[int, int], tuple[int, int]] = {}
                 for k, i in zip(block[keep].tolist(), item[keep].tolist()):
@@ -233,7 +275,7 @@ def _search(space: Space, items: Items, cosine: float, share: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, share: float = 0.6) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.55, share: float = 0.6) -> DataFrame:
     """(doc_id, item_id, start_word, common_words, item_words): where a document holds an item of ``benchmark(item_id, text)``."""
     schema = "doc_id long, item_id long, start_word long, common_words long, item_words long"
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
