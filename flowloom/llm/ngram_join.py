@@ -9,13 +9,16 @@ stand under one root. ``K`` and ``H`` depend on a band of set sizes; a class who
 band stands under roots of both. A class with so many empty slices that none of its equal slices need hold a shingle
 stands under its empty slices too, so no pair is lost.
 
-*First links.* Neighbours below a root, in size order, are compared first; their components merge what is alike.
+*First links.* Below a root, each class is compared with its neighbour in size order and with the class that meets most
+others; of all its roots' proposals the two that share most roots are taken. Components of these links merge what is alike.
 
-*Trees.* Roots that still hold more than one component get a tree: a leaf for each class with a token bitmap and its size,
+*Counts.* A linked pair shares most slices, so a class that shares too few of its roots with anybody is left out first.
+
+*Trees.* Roots that still hold more than one component get a tree: leaf nodes of some classes with their token bitmaps and sizes,
 nodes above with OR-combined bitmaps, size ranges and component ranges. Pairs of nodes descend together, level by
 level, through equi joins; a pair is pruned if it lies in one component, its sizes can't meet, or its largest
-possible overlap (common bits, plus the shingles of a leaf that share a bit) is too small. Leaf pairs are compared
-exactly.
+possible overlap (common bits, plus the shingles of a class that share a bit) is too small. The same bound is taken
+for each two classes of two leaf nodes, and what is left is compared exactly.
 
 Null or empty text: an empty set, no link. Fewer words than a shingle: the whole sequence as one shingle. Repeated
 rows: linked like any other equal texts. A row with null ``doc_id`` is returned with its size and, if nothing else is
@@ -33,8 +36,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import components, mapped, stored
 from .words import U, batch, mix, ragged, signed, text_slices, windows, words
 
-LONGS = 16  # 64-bit numbers of a bitmap
-FANOUT = 8
+LONGS = 32  # 64-bit numbers of a bitmap
+LEAF, FANOUT = 64, 8  # classes of a leaf node, nodes below a node
 GROWTH = 1.6  # of a band of sizes
 
 
@@ -92,50 +95,58 @@ def _describe(k: int):
     return run
 
 
+def _slots(row: np.ndarray, grams: np.ndarray, n: np.ndarray, percent: int):
+    """For a set's own band and the next: (sets that take part, band, slices, set of each slice in use, its number, its content,
+    fewest slices in use that a linked pair shares)."""
+    own = np.searchsorted(_EDGES, n, "right") - 1
+    content, place = mix(grams, 3), mix(grams, 4)
+    for up in (0, 1):
+        takes = 100 * n >= percent * (n + 1)  # sets too small to differ by one shingle link with equal sets only
+        if up:
+            takes &= 100 * n >= percent * _EDGES[own + 1]
+        level = np.where(takes, own + up, 0)
+        most, slices = _slices(level, percent)
+        mine = takes[row]
+        r, c = row[mine], content[mine]
+        part = (place[mine] % slices[r].astype(U)).astype(np.int64)
+        order = np.lexsort((part, r))
+        r, part, c = r[order], part[order], c[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
+        at = np.flatnonzero(new)
+        total = np.concatenate([np.zeros(1, U), np.cumsum(c, dtype=U)])
+        size = np.diff(np.append(at, len(r)))
+        held = total[at + size] - total[at] + size.astype(U)
+        r, part = r[at], part[at]
+        full = np.bincount(r, minlength=len(n))
+        differ = (100 - percent) * (n + np.minimum(_EDGES[level + 1] - 1, 100 * n // percent)) // (100 + percent)
+        need = np.where(full <= most, 1, np.maximum(1, full - differ))
+        yield takes, level, slices, r, part, held, takes & (full <= most), need
+
+
 def _root_keys(k: int, percent: int):
-    """(root, doc_id) for each root a document stands under."""
+    """(root, doc_id) for each root a document stands under; the lowest bit of a root is that of its band."""
     def run(batches):
         for b in batches:
-            known = b.column(0).is_valid()
+            known = np.asarray(b.column(0).is_valid())
             ids = np.asarray(b.column(0).fill_null(0))
-            known = np.asarray(known)
             for lo, hi, row, grams in shingle_sets(b.column(1), k):
+                mine = known[lo:hi][row]
+                row, grams = row[mine], grams[mine]
                 n = np.bincount(row, minlength=hi - lo)
-                own = np.searchsorted(_EDGES, n, "right") - 1
-                content, place = mix(grams, 3), mix(grams, 4)
-                for up in (0, 1):
-                    level = own + up
-                    # sets too small to differ by one shingle link with equal sets only
-                    takes = known[lo:hi] & (100 * n >= percent * (n + 1))
-                    if up:
-                        takes &= 100 * n >= percent * _EDGES[level]
-                    level = np.where(takes, level, 0)
-                    most, slices = _slices(level, percent)
-                    mine = takes[row]
-                    r, c = row[mine], content[mine]
-                    part = (place[mine] % slices[r].astype(U)).astype(np.int64)
-                    order = np.lexsort((part, r))
-                    r, part, c = r[order], part[order], c[order]
-                    new = np.ones(len(r), bool)
-                    new[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
-                    at = np.flatnonzero(new)
-                    total = np.concatenate([np.zeros(1, U), np.cumsum(c, dtype=U)])
-                    size = np.diff(np.append(at, len(r)))
-                    held = total[at + size] - total[at] + size.astype(U)
-                    r, part = r[at], part[at]
-                    full = np.bincount(r, minlength=hi - lo)
-                    lacks = np.flatnonzero(takes & (slices - full >= slices - most))
-                    for i in lacks:  # every equal slice may be an empty one
+                for _, level, slices, r, part, held, lacks, _ in _slots(row, grams, n, percent):
+                    for i in np.flatnonzero(lacks):  # every equal slice may be an empty one
                         empty = np.setdiff1d(np.arange(slices[i]), part[r == i])
                         r, part = np.append(r, np.full(len(empty), i)), np.append(part, empty)
                         held = np.append(held, np.zeros(len(empty), U))
-                    key = mix(held, 5) ^ mix(part.astype(U) * U(1 << 20) + level[r].astype(U), 6)
-                    yield batch(["root", "doc_id"], [signed(mix(key, 7)), ids[lo + r]])
+                    key = mix(mix(held, 5) ^ mix(part.astype(U) * U(1 << 20) + level[r].astype(U), 6), 7)
+                    yield batch(["root", "doc_id"], [signed(key & ~U(1) | (level[r] & 1).astype(U)), ids[lo + r]])
     return run
 
 
-def _with_sets(k: int):
-    """Shingles as bytes, the bitmap, and the number of shingles that share a bit with another."""
+def _with_sets(k: int, percent: int):
+    """Shingles as bytes, the bitmap, the number of shingles that share a bit with another, and for even and odd bands the
+    fewest roots that a link needs."""
     def run(batches):
         for b in batches:
             ids = b.column(0)
@@ -146,8 +157,12 @@ def _with_sets(k: int):
                 packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
                 edge = np.cumsum(n) - n
                 raw = [grams[edge[i]:edge[i] + n[i]].tobytes() for i in range(hi - lo)]
-                yield batch(["doc_id", "shingles", "excess", *(f"b{i}" for i in range(LONGS))],
-                            [ids.slice(lo, hi - lo), pa.array(raw, pa.binary()), n - bits.sum(1),
+                needs = np.ones((2, hi - lo), np.int64)
+                for takes, level, _, _, _, _, _, need in _slots(row, grams, n, percent):
+                    at = np.flatnonzero(takes)
+                    needs[level[at] & 1, at] = need[at]
+                yield batch(["doc_id", "shingles", "excess", "need0", "need1", *(f"b{i}" for i in range(LONGS))],
+                            [ids.slice(lo, hi - lo), pa.array(raw, pa.binary()), n - bits.sum(1), needs[0], needs[1],
                              *(np.ascontiguousarray(packed[:, i]) for i in range(LONGS))])
     return run
 
@@ -173,43 +188,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _linked(percent), "a long, b long"))
 
 
+def _leaf_pairs(percent: int):
+    """Pairs of classes of two leaf nodes, in different components, whose largest possible overlap suffices."""
+    def side(b, at, i):
+        ids, n, component, excess = (np.asarray(b.column(at + j)[i].values) for j in range(4))
+        return ids, n, component, excess, np.column_stack([np.asarray(b.column(at + 4 + j)[i].values) for j in range(LONGS)]).view(U)
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                xi, xn, xc, xe, xb = side(b, 0, i)
+                yi, yn, yc, ye, yb = side(b, 4 + LONGS, i)
+                met = (xc[:, None] != yc) & (xi[:, None] != yi) & (100 * xn[:, None] >= percent * yn) & (100 * yn >= percent * xn[:, None])
+                p, q = np.nonzero(met)
+                common = np.bitwise_count(xb[p] & yb[q]).sum(1).astype(np.int64)
+                most = np.minimum(common + np.minimum(xe[p], ye[q]), np.minimum(xn[p], yn[q]))
+                keep = (100 + percent) * most >= percent * (xn[p] + yn[q])
+                if keep.any():
+                    x, y = xi[p[keep]], yi[q[keep]]
+                    pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+                    yield batch(["a", "b"], [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])])
+    return run
+
+
 def _descend(leaves: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of leaves that no node above them rules out; ``leaves`` has root, doc_id, n, component, excess, bitmap."""
+    """Pairs (a, b) of classes that no node rules out; ``leaves`` has root, doc_id, n, component, excess and the bitmap.
+
+    A leaf node holds up to ``LEAF`` classes, neighbours by component and size; nodes above hold ``FANOUT`` nodes.
+    """
     bits = [f"b{i}" for i in range(LONGS)]
+    held = ["doc_id", "n", "component", "excess", *bits]
     rank = F.row_number().over(Window.partitionBy("root").orderBy("component", "n", "doc_id")) - 1
-    base = stored(leaves.select("root", "doc_id", rank.cast("long").alias("node"), F.col("n").alias("low"), F.col("n").alias("high"),
-                                F.col("component").alias("c_low"), F.col("component").alias("c_high"), "excess", *bits))
-    nodes = {0: base}
-    largest = base.agg(F.max("node")).first()[0]
-    level = 0
-    while largest is not None and largest > 0:
+    placed = leaves.select("root", F.floor(rank / LEAF).alias("node"), *held)
+    blocks = stored(placed.groupBy("root", "node").agg(
+        *(F.collect_list(c).alias(c) for c in held), F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c_low"),
+        F.max("component").alias("c_high"), F.max("excess").alias("e"), *(F.bit_or(c).alias("o" + c) for c in bits)))
+    about = ["low", "high", "c_low", "c_high", "e", *("o" + c for c in bits)]
+    nodes = {0: blocks.select("root", "node", *about)}
+    level, largest = 0, blocks.agg(F.max("node")).first()[0]
+    while largest:
         largest //= FANOUT
         level += 1
-        up = F.floor(F.col("node") / FANOUT).alias("node")
-        nodes[level] = nodes[level - 1].groupBy("root", up).agg(
+        nodes[level] = stored(nodes[level - 1].groupBy("root", F.floor(F.col("node") / FANOUT).alias("node")).agg(
             F.min("low").alias("low"), F.max("high").alias("high"), F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"),
-            F.max("excess").alias("excess"), *(F.bit_or(c).alias(c) for c in bits))
-        if level > 1:
-            nodes[level] = stored(nodes[level])
-    pairs = base.where("node = 0").select("root", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+            F.max("e").alias("e"), *(F.bit_or("o" + c).alias("o" + c) for c in bits)))
+    pairs = nodes[level].select("root", F.col("node").alias("x"), F.col("node").alias("y"))
     for at in range(level - 1, -1, -1):
         def side(mark):
-            n = nodes[at]
-            return n.select("root", F.floor(F.col("node") / FANOUT).alias(mark), F.col("node").alias(mark + "n"),
-                            *(F.col(c).alias(f"{mark}_{c}") for c in n.columns if c not in ("root", "node")))
-        met = pairs.join(side("x"), ["root", "x"]).join(side("y"), ["root", "y"])
-        met = met.where("xn <= yn" if at else "xn < yn")
+            return nodes[at].select("root", F.floor(F.col("node") / FANOUT).alias(mark), F.col("node").alias(mark + "n"),
+                                    *(F.col(c).alias(f"{mark}_{c}") for c in about))
+        met = pairs.join(side("x"), ["root", "x"]).join(side("y"), ["root", "y"]).where("xn <= yn")
         met = met.where("not (x_c_low = x_c_high and y_c_low = y_c_high and x_c_low = y_c_low)")
         met = met.where(f"100 * x_high >= {percent} * y_low and 100 * y_high >= {percent} * x_low")
-        common = sum((F.bit_count(F.col("x_" + c).bitwiseAND(F.col("y_" + c))) for c in bits[1:]),
-                     F.bit_count(F.col("x_b0").bitwiseAND(F.col("y_b0"))))
-        most = F.least(common + F.least("x_excess", "y_excess"), "x_high", "y_high")
+        common = sum((F.bit_count(F.col("x_o" + c).bitwiseAND(F.col("y_o" + c))) for c in bits[1:]),
+                     F.bit_count(F.col("x_ob0").bitwiseAND(F.col("y_ob0"))))
+        most = F.least(common + F.least("x_e", "y_e"), "x_high", "y_high")
         met = met.where((100 + percent) * most >= percent * (F.col("x_low") + F.col("y_low")))
-        if at:
-            pairs = stored(met.select("root", F.col("xn").alias("x"), F.col("yn").alias("y")))
-        else:
-            return met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
-    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).where("false")
+        pairs = stored(met.select("root", F.col("xn").alias("x"), F.col("yn").alias("y")))
+    left = blocks.select("root", F.col("node").alias("x"), *(F.col(c).alias("x_" + c) for c in held))
+    right = blocks.select("root", F.col("node").alias("y"), *(F.col(c).alias("y_" + c) for c in held))
+    met = pairs.join(left, ["root", "x"]).join(right, ["root", "y"]).select(*("x_" + c for c in held), *("y_" + c for c in held))
+    return mapped(met, _leaf_pairs(percent), "a long, b long").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = 80, words_in_shingle: int = 5) -> DataFrame:
@@ -229,23 +268,37 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, words_in_shingle: int
     shared = stored(rooted.select("root", "doc_id", F.lag("doc_id").over(order).alias("p"), F.lead("doc_id").over(order).alias("q"))
                     .where("p <> doc_id or q <> doc_id").select("root", "doc_id"))
     members = shared.join(to_rep, "doc_id").select("root", F.col("rep").alias("doc_id"), "n").distinct()
-    crowded = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("root")
+    crowded = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = stored(members.join(crowded, "root"))
     wanted = members.select("doc_id").distinct()
     bits = ", ".join(f"b{i} long" for i in range(LONGS))
-    sets = stored(mapped(docs.join(wanted, "doc_id"), _with_sets(k), f"doc_id long, shingles binary, excess long, {bits}")
+    sets = stored(mapped(docs.join(wanted, "doc_id"), _with_sets(k, percent), f"doc_id long, shingles binary, excess long, need0 long, need1 long, {bits}")
                   .dropDuplicates(["doc_id"]))
-
+    # equal slices of a linked pair are many: a class that shares too few of a band's roots links with nobody there
+    needs = sets.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("need0").alias("need")),
+                                                    F.struct(F.lit(1).alias("odd"), F.col("need1").alias("need")))).alias("x")).select("doc_id", "x.*")
+    for _ in range(2):
+        odd = F.col("root").bitwiseAND(F.lit(1)).cast("int").alias("odd")
+        enough = (members.groupBy("doc_id", odd).agg(F.count(F.lit(1)).alias("has")).join(needs, ["doc_id", "odd"])
+                  .where("has >= need").select("doc_id", "odd"))
+        members = members.drop("m").withColumn("odd", odd).join(enough, ["doc_id", "odd"]).drop("odd")
+        crowded = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        members = stored(members.join(crowded, "root"))
+
+    # first links: with the neighbour in size order, and with the class of the root that meets most others under its roots
+    weight = members.groupBy("doc_id").agg(F.sum("m").alias("weight"))
     line = Window.partitionBy("root").orderBy("n", "doc_id")
-    near = (members.select("doc_id", F.lag("doc_id").over(line).alias("other")).where("other is not null")
-            .groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("shared")))
-    best = near.groupBy("doc_id").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+    hub = F.max_by("doc_id", F.struct("weight", "doc_id")).over(Window.partitionBy("root"))
+    near = (members.join(weight, "doc_id").withColumn("before", F.lag("doc_id").over(line)).withColumn("hub", hub)
+            .select("doc_id", F.explode(F.array("before", "hub")).alias("other")).where("other <> doc_id").groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("shared")))
+    best = near.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "other")), False), 1, 2).alias("best"))
+    best = best.select("doc_id", F.explode("best.other").alias("other"))
     first = _verified(best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), sets, percent)
     merged = components(first)
 
     left = members.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = left.groupBy("root").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("root")
-    leaves = left.join(mixed, "root").join(sets.drop("shingles"), "doc_id")
+    leaves = left.join(mixed, "root").join(sets.drop("shingles", "need0", "need1"), "doc_id")
     second = _verified(_descend(leaves, percent), sets, percent)
     final = components(first.union(second)).select(F.col("node").alias("rep"), "component")
     named = classes.join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "n_copies")
