@@ -1,7 +1,7 @@
 """Postings of units (pre-tokens, n-grams) by block of documents, and sums over them.
 
 A block is a run of documents of one scan task with about ``BLOCK_BYTES`` of text. A unit has one row in each block that
-holds it: the documents that hold it and how often, packed as 16-bit numbers. So a unit that every document holds has as
+holds it: the documents that hold it as 16-bit numbers and, unless each holds it once, how often as bytes. So a unit that every document holds has as
 many rows as there are blocks, a join on the unit can be split at any row, and no row grows beyond its block. A block also
 has one row of its own, with a unit of its own and total 0: its documents' ids, bytes and numbers of units.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mapped
 from .words import batch, text_slices
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 40 << 20
 BLOCK_DOCS = 60_000
 ROWS = 4096  # of an Arrow batch
 HELD = 16 << 20  # sums that a task holds before it hands them on
@@ -34,7 +34,7 @@ class Block:
         pair, times = np.unique(back * len(ids) + doc, return_counts=True) if len(units) else (np.zeros(0, np.int64),) * 2
         self.units.append(u[pair // max(len(ids), 1)])
         self.docs.append((pair % max(len(ids), 1) + self.n_docs).astype(np.uint16))
-        self.times.append(times)
+        self.times.append(times.astype(np.int32))
         if name is not None:
             self.names.append((u, name(at)))
         self.about.append((ids, np.diff(bounds), np.diff(first)))
@@ -49,13 +49,13 @@ class Block:
         yield batch(["block", "unit", "total", "posting"],
                     [pa.array([block], pa.int64()), pa.array([own], kind), pa.array([0], pa.int64()), pa.array([about.tobytes()], pa.binary())])
         units, docs, times = np.concatenate(self.units), np.concatenate(self.docs), np.concatenate(self.times)
-        many = np.maximum(-(-times // 65535), 1)  # a document may hold a unit more often than 16 bits count
+        many = np.maximum(-(-times // 255), 1)  # a document may hold a unit more often than a byte counts
         if (many > 1).any():
             units, docs, left = np.repeat(units, many), np.repeat(docs, many), np.repeat(times, many)
             step = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-            times = np.minimum(left - step * 65535, 65535)
+            times = np.minimum(left - step * 255, 255)
         order = np.argsort(units, kind="stable")
-        units, docs, times = units[order], docs[order], times[order].astype(np.uint16)
+        units, docs, times = units[order], docs[order], times[order].astype(np.uint8)
         edge = np.append(np.flatnonzero(np.append(True, units[1:] != units[:-1])), len(units)) if len(units) else np.zeros(1, np.int64)
         own = units[edge[:-1]]
         if self.names:
@@ -68,11 +68,25 @@ class Block:
         total = np.add.reduceat(times.astype(np.int64), edge[:-1]) if len(own) else np.zeros(0, np.int64)
         for lo in range(0, len(own), ROWS):
             hi = min(lo + ROWS, len(own))
-            packed = [docs[edge[i]:edge[i + 1]].tobytes() + times[edge[i]:edge[i + 1]].tobytes() for i in range(lo, hi)]
+            once = total[lo:hi] == np.diff(edge[lo:hi + 1])
+            packed = [docs[edge[i]:edge[i + 1]].tobytes() if one else _with_times(docs[edge[i]:edge[i + 1]], times[edge[i]:edge[i + 1]])
+                      for i, one in zip(range(lo, hi), once)]
             yield batch(["block", "unit", "total", "posting"], [np.full(hi - lo, block, np.int64), pa.array(keys[lo:hi], kind), total[lo:hi],
                                                                 pa.array(packed, pa.binary())])
 
 
+def _with_times(docs: np.ndarray, times: np.ndarray) -> bytes:
+    """An odd number of bytes, so that it can be told from documents alone."""
+    return docs.tobytes() + times.tobytes() + (b"" if len(docs) % 2 else b"\0")
+
+
+def _posting(body) -> tuple[np.ndarray, np.ndarray | None]:
+    if len(body) % 2 == 0:
+        return np.frombuffer(body, np.uint16), None
+    n = len(body) // 3
+    return np.frombuffer(body, np.uint16, n), np.frombuffer(body, np.uint8, n, 2 * n)
+
+
 def _post(make, kind: pa.DataType):
     def run(batches):
         units_of = make()
@@ -129,8 +143,9 @@ def _weigh(batches):
     def out():
         for block, sums in held.items():
             at = np.flatnonzero(sums)
-            yield batch(["block", "about", "part"], [pa.array([block], pa.int64()), pa.array([False]),
-                                                     pa.array([at.astype(np.uint16).tobytes() + sums[at].tobytes()], pa.binary())])
+            kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if not len(at) or np.abs(sums).max() <= np.iinfo(t).max)
+            part = bytes([np.dtype(kind).itemsize]) + sums[at].astype(kind).tobytes() + at.astype(np.uint16).tobytes()
+            yield batch(["block", "about", "part"], [pa.array([block], pa.int64()), pa.array([False]), pa.array([part], pa.binary())])
         held.clear()
 
     size = 0
@@ -141,8 +156,7 @@ def _weigh(batches):
             if weight is None:
                 yield batch(["block", "about", "part"], [pa.array([block], pa.int64()), pa.array([True]), pa.array([body.to_pybytes()], pa.binary())])
                 continue
-            both = np.frombuffer(body, np.uint16)
-            docs, times = both[:len(both) // 2], both[len(both) // 2:]
+            docs, times = _posting(body)
             if block not in held:
                 held[block] = np.zeros(256, np.int64)
                 size += 256
@@ -151,10 +165,12 @@ def _weigh(batches):
                 bigger = min(1 << 16, max(top, 2 * len(held[block])))
                 size += bigger - len(held[block])
                 held[block] = np.concatenate([held[block], np.zeros(bigger - len(held[block]), np.int64)])
-            if len(docs) > 1:
+            if times is not None:
                 np.add.at(held[block], docs, times.astype(np.int64) * weight)
+            elif len(docs) > 1:
+                held[block][docs] += weight
             else:
-                held[block][docs[0]] += int(times[0]) * weight
+                held[block][docs[0]] += weight
         if size > HELD:
             yield from out()
             size = 0
@@ -169,8 +185,11 @@ def _unpack(rows: pa.Table) -> pa.Table:
         if own:
             about = np.frombuffer(body, "<i8").reshape(4, -1)
         else:
-            n = len(body) // 10
-            np.add.at(total, np.frombuffer(body, np.uint16, n), np.frombuffer(body[2 * n:].to_pybytes(), np.int64))
+            raw = body.to_pybytes()
+            width = raw[0]
+            n = len(raw) // (width + 2)
+            sums = np.frombuffer(raw[1:1 + n * width], f"i{width}")
+            np.add.at(total, np.frombuffer(raw[1 + n * width:], np.uint16), sums)
     return pa.Table.from_batches([batch(["doc_id", "n_bytes", "n_units", "total"],
                                         [pa.array(about[0], mask=about[1] == 0), about[2], about[3], total[:about.shape[1]]])])
 
