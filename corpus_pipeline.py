@@ -22,8 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines are deleted from the texts."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Later repeated runs of three lines, 50 words or 300 characters are deleted from the texts."""
+    return line_dedup.dedup_lines(docs, min_words=50, min_chars=300).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

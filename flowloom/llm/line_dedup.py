@@ -7,6 +7,9 @@ the earliest stays: smaller ``doc_id``, then earlier line. Later windows of one
 and runs are deleted. So a line goes if a run of ``min_lines`` or more lines that also starts earlier covers it; all runs
 are judged on the input.
 
+With ``min_words`` or ``min_chars`` a run of fewer lines counts as well if it has so many words or characters: windows of one
+line up to ``min_lines - 1`` lines that reach one of them are taken beside those of ``min_lines``, and each size is matched by itself.
+
 Groupings are partially aggregated before their shuffle and positions are joined, never collected by fingerprint, so a run
 that very many documents share stays spread.
 
@@ -22,36 +25,52 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import stored
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def _windows(w: int, least, weights: bool):
+    """Windows of ``w`` lines of the array ``h``; with ``weights`` only those that reach one of ``least`` (column, number)."""
+    starts = F.when(F.size("h") >= w, F.sequence(F.lit(1), F.size("h") - (w - 1))).otherwise(F.array().cast("array<int>"))
+    if weights:
+        def reaches(p):
+            sums = [F.aggregate(F.slice(c, p, w), F.lit(0), lambda s, x: s + x) >= n for c, n in least]
+            return sums[0] if len(sums) == 1 else sums[0] | sums[1]
+        starts = F.filter(starts, reaches)
+    return F.transform(starts, lambda p: F.struct(F.lit(w).alias("size"), p.alias("start"), F.array_min(F.slice("h", p, w)).alias("least"),
+                                                  F.xxhash64(F.slice("h", p, w)).alias("same")))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 3, min_words: int | None = None, min_chars: int | None = None) -> DataFrame:
     """(doc_id, tag, start, length, src_doc, src_start): runs of lines to delete, with the place where they start earlier."""
     w = min_lines
+    lines = F.split("text", "\n", -1)
+    least = [(c, n) for c, n in (("words", min_words), ("chars", min_chars)) if n is not None]
+    weigh = {"words": lambda x: F.regexp_count(x, F.lit(r"\S+")), "chars": F.length}
     known = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id"), F.xxhash64("text").alias("tag"), F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)).alias("h"))
-    known = known.where(F.size("h") >= w)
-    window = F.transform(F.sequence(F.lit(1), F.size("h") - (w - 1)), lambda p: F.struct(
-        p.alias("start"), F.array_min(F.slice("h", p, w)).alias("least"), F.xxhash64(F.slice("h", p, w)).alias("same")))
+        F.col("doc_id"), F.xxhash64("text").alias("tag"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"),
+        *[F.transform(lines, weigh[c]).alias(c) for c, _ in least])
+    window = F.concat(*[_windows(v, least, v < w) for v in range(1 if least else w, w + 1)])
     placed = known.select("doc_id", "tag", "h", F.explode(window).alias("x"))
-    spot = F.col("x.start") + F.array_position(F.slice("h", F.col("x.start"), w), F.col("x.least")) - 1
-    windows = stored(placed.select("doc_id", "tag", F.col("x.start").alias("start"), F.col("x.least").alias("mark"), spot.alias("spot"),
-                                   F.col("x.same").alias("same")))
+    spot = F.col("x.start") + F.array_position(F.slice("h", F.col("x.start"), F.col("x.size")), F.col("x.least")) - 1
+    windows = stored(placed.select("doc_id", "tag", F.col("x.size").alias("size"), F.col("x.start").alias("start"), F.col("x.least").alias("mark"),
+                                   spot.alias("spot"), F.col("x.same").alias("same")))
     prints = windows.select("mark", "doc_id", "tag", "spot").distinct()
     twice = prints.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
     met = windows.join(twice, "mark")
-    first = met.groupBy("mark", "same").agg(F.min(F.struct("doc_id", "tag", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = (met.join(first, ["mark", "same"]).where("f.doc_id <> doc_id or f.tag <> tag or f.start <> start")
-             .select("doc_id", "tag", "start", F.col("f.doc_id").alias("src_doc"), F.col("f.tag").alias("src_tag"), F.col("f.start").alias("src_start"))
+    keys = ["mark", "size", "same"]
+    first = met.groupBy(*keys).agg(F.min(F.struct("doc_id", "tag", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = (met.join(first, keys).where("f.doc_id <> doc_id or f.tag <> tag or f.start <> start")
+             .select("doc_id", "tag", "size", "start", F.col("f.doc_id").alias("src_doc"), F.col("f.tag").alias("src_tag"), F.col("f.start").alias("src_start"))
              .distinct())
-    along = Window.partitionBy("doc_id", "tag", "src_doc", "src_tag", F.col("src_start") - F.col("start")).orderBy("start")
+    shift = F.col("src_start") - F.col("start")
+    along = Window.partitionBy("doc_id", "tag", "size", "src_doc", "src_tag", shift).orderBy("start")
     gap = F.when(F.col("start") - F.lag("start").over(along) == 1, 0).otherwise(1)
     return (later.withColumn("gap", gap).withColumn("run", F.sum("gap").over(along))
-            .groupBy("doc_id", "tag", "src_doc", "src_tag", (F.col("src_start") - F.col("start")).alias("shift"), "run")
-            .agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + w).alias("length"))
+            .groupBy("doc_id", "tag", "size", "src_doc", "src_tag", shift.alias("shift"), "run")
+            .agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + F.col("size")).alias("length"))
             .select("doc_id", "tag", "start", "length", "src_doc", (F.col("start") + F.col("shift")).alias("src_start")))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None, min_chars: int | None = None) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted, and (n_lines, n_removed) before and by it."""
-    runs = repeated_runs(docs.select("doc_id", "text"), min_lines)
+    runs = repeated_runs(docs.select("doc_id", "text"), min_lines, min_words, min_chars)
     cuts = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "length")).alias("cuts"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(*own, F.xxhash64("text").alias("_tag"))

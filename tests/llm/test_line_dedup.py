@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import oracle
 from flowloom.llm import queries
 from flowloom.llm.line_dedup import dedup_lines
@@ -41,3 +42,29 @@ def test_edges(spark):
 def test_equals_sql(spark, sf_small):
     name = "op8_line_dedup"
     assert oracle.compare(queries.QUERIES[name](spark, sf_small), oracle.connect(sf_small), queries.SQL[name]) == ""
+
+
+def brute_wide(rows, w=3, words=50, chars=300):
+    first, out = {}, {}
+    for d, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        for v in range(1, w + 1):
+            for i in range(len(lines) - v + 1):
+                own = lines[i:i + v]
+                if v < w and sum(len(x.split()) for x in own) < words and sum(map(len, own)) < chars:
+                    continue
+                if first.setdefault(tuple(own), (d, i)) != (d, i):
+                    gone.update(range(i, i + v))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_stage_finds_long_runs_of_few_lines(spark, sf_small):
+    rng = random.Random(3)
+    pool = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (3, 5, 20, 25, 30, 30, 49, 50, 60, 80)] + ["z" * 299, "z" * 300, "y" * 160]
+    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.7 else str(rng.random()) for _ in range(rng.randrange(1, 8)))) for d in range(150)]
+    rows += [(200, pool[9]), (201, pool[9]), (202, pool[4] + "\n" + pool[5]), (203, pool[4] + "\n" + pool[5]), (204, "short"), (205, "short")]
+    out = corpus_pipeline.without_repeated_lines(spark, documents(spark, rows), sf_small)
+    found = {r.doc_id: r.text for r in out.collect()}
+    assert found == brute_wide(rows)
+    assert found[201] == found[203] == "" and found[205] == "short"
