@@ -5,8 +5,8 @@
 counted over the passages of all documents in Spark.
 *Randomised SVD*: with C the Gram matrix of passages that do not overlap and R a fixed random matrix, tasks form parts of
 C R and Spark sums them by feature. The singular values and right vectors follow from C R and R (Nystroem), a matrix of fixed
-size. The vectors are fitted on about ``FIT_PASSAGES`` passages of documents picked by hash (on all, if there are fewer); every
-passage of every document is then searched. Passages and items are compared in the whitened latent space by cosine.
+size. The vectors are fitted on all documents, and every passage of every document is then searched. Passages and items are compared
+in the whitened latent space by cosine.
 *Candidates* are checked in the text: the longest common subsequence of an item and the words around the passage must hold
 ``share`` of the item's words, and the item's answer, its last quarter of words, must be there by half. So paraphrases that
 change, drop or add some words are found as well as copies.
@@ -33,7 +33,6 @@ from .words import U, batch, mix, ragged, text_slices, words
 FEATURES, RANK, EXTRA = 1 << 13, 48, 8
 BLOCK, RUN = 8, 3  # words of a block, blocks of a passage
 ITEM_BLOCK = 4096
-FIT_PASSAGES = 500_000
 MIN_WORDS = 8
 SEED = 11
 
@@ -86,22 +85,20 @@ def _gram(idf: np.ndarray):
     """A task's part of C R, a row for each feature."""
     def run(batches):
         weighed = _with_zero(_random() * idf[:, None])
-        part = np.zeros((FEATURES, RANK + EXTRA), np.float64)
+        part = np.zeros((RANK + EXTRA, FEATURES), np.float64)
         for b in batches:
             for _, _, data, bounds in text_slices(b.column(0)):
                 _, _, h, first = words(data, bounds, lower=True)
                 if not len(h):
                     continue
-                f = _features(h)
+                f = _features(h).astype(np.int64)
                 text, at, left = _blocks(first)
-                sums = _sums(weighed, f, at, first[text + 1])
-                place = (at - first[text]) // BLOCK
-                new = place % RUN == 0
-                y = np.add.reduceat(sums, np.flatnonzero(new), axis=0)
+                new = (at - first[text]) // BLOCK % RUN == 0
+                y = np.add.reduceat(_sums(weighed, f, at, first[text + 1]), np.flatnonzero(new), axis=0)
                 of = np.repeat(np.cumsum(new) - 1, np.minimum(BLOCK, first[text + 1] - at))
-                order = np.argsort(f, kind="stable")
-                edge = np.flatnonzero(np.append(True, np.diff(f[order].astype(np.int64)) != 0))
-                part[f[order][edge]] += np.add.reduceat(y[of[order]], edge, axis=0)
+                for i, own in enumerate(np.ascontiguousarray(y.T, np.float64)):
+                    part[i] += np.bincount(f, weights=own[of], minlength=FEATURES)
+        part = part.T
         part *= idf[:, None]
         for lo in range(0, FEATURES, 1024):
             yield batch(["feature", *(f"y{i}" for i in range(RANK + EXTRA))],
@@ -125,10 +122,8 @@ def latent_space(docs: DataFrame) -> Space:
     for r in counts:
         df[r["feature"]] = r["n"]
     idf = _idf(df)
-    share = min(1.0, FIT_PASSAGES / max(df[-1], 1.0))
-    fitted = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * share)).select("text")
     names = [f"y{i}" for i in range(RANK + EXTRA)]
-    rows = mapped(fitted, _gram(idf), "feature long, " + ", ".join(f"{n} double" for n in names))
+    rows = mapped(docs.select("text"), _gram(idf), "feature long, " + ", ".join(f"{n} double" for n in names))
     summed = rows.groupBy("feature").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # a matrix of fixed size
     y = np.zeros((FEATURES, RANK + EXTRA))
     if len(summed):

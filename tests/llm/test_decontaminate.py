@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from flowloom.llm import decontaminate
 from flowloom.llm.decontaminate import check, common_subsequence, find_leaks
 from llm_cases import documents, edge_rows
 
@@ -65,3 +68,13 @@ def test_edges(spark):
     assert len(found) == len({(r.doc_id, r.item_id) for r in found})
     assert find_leaks(documents(spark, []), bench).count() == 0
     assert find_leaks(documents(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_vectors_are_fitted_on_all_passages(spark, monkeypatch):
+    """600,000 documents of one word: their Gram matrix is diagonal."""
+    monkeypatch.setattr(decontaminate, "_space", lambda df, idf, y: (df, idf, y))
+    docs = spark.range(600_000).selectExpr("id as doc_id", "concat('w', id % 50) as text")
+    df, idf, y = decontaminate.latent_space(docs)
+    assert df[-1] == df[:-1].sum() == 600_000
+    want = (df[:-1] * idf.astype(np.float64) ** 2)[:, None] * decontaminate._random()
+    assert np.allclose(y, want, rtol=1e-4, atol=1e-6 * np.abs(want).max())
