@@ -4,7 +4,8 @@ Vectors take part if they are not null, have the usual length (the most frequent
 zero. Equal vectors are one node; a node keeps its ``top + 1`` smallest ids, which is all that a result can show of it, so copies
 neither crowd lists nor get lost.
 
-*Codes.* Components are rounded to 16 bits for the graph and the search. Results are ranked by the exact product of the original vectors.
+*Codes.* Components are rounded to 16 bits of the vector's own largest one, which goes along as a double, so a long vector costs
+the others no precision. Codes serve the graph and the search. Results are ranked by the exact product of the original vectors.
 
 *Start.* Random hyperplanes cut the nodes into cells, several times; cells are cut on by order of one projection, so none is
 larger than ``cell`` whatever the data. Nodes of a cell propose each other.
@@ -32,19 +33,27 @@ from .words import batch
 SEED = 5
 
 
-def _code(vectors: DataFrame, dim: int, longest: float) -> DataFrame:
-    """(id, code): 16-bit numbers as bytes."""
+def _layout(dim: int) -> np.dtype:
+    return np.dtype([("scale", "<f8"), ("whole", "<i2", (dim,))])
+
+
+def _code(vectors: DataFrame, dim: int, largest: float) -> DataFrame:
+    """(id, code): a scale and 16-bit numbers as bytes; with ``largest``, the largest component of all, no length is above 1."""
     def run(batches):
         for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(-1, dim).astype(np.float64) / longest
-            whole = np.round(x * 32000).astype("<i2")
-            yield batch(["id", "code"], [b.column(0), pa.array([r.tobytes() for r in whole], pa.binary())])
+            x = b.column(1).flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+            own = np.abs(x).max(axis=1, initial=0)
+            code = np.zeros(len(x), _layout(dim))
+            code["scale"] = own / largest / np.sqrt(dim)
+            code["whole"] = np.round(x / own[:, None] * 32000)
+            yield batch(["id", "code"], [b.column(0), pa.array([r.tobytes() for r in code], pa.binary())])
     return mapped(vectors.select("id", "embedding"), run, "id long, code binary")
 
 
-def _floats(codes, dim: int) -> np.ndarray:
-    """Rows of codes as numbers of length about 1."""
-    return np.frombuffer(b"".join(codes), "<i2").reshape(-1, dim).astype(np.float32) / 32000
+def _floats(codes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of codes as numbers of at most 1, and the scale of each row."""
+    code = np.frombuffer(b"".join(codes), _layout(dim))
+    return code["whole"].astype(np.float32) / 32000, code["scale"]
 
 
 def _cells(dim: int, trees: int, bits: int):
@@ -55,12 +64,13 @@ def _cells(dim: int, trees: int, bits: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            side = _floats(b.column(1).to_pylist(), dim) @ planes
+            x, scale = _floats(b.column(1).to_pylist(), dim)
+            side = x @ planes
             for t in range(trees):
                 own = side[:, t * (bits + 1):(t + 1) * (bits + 1)]
                 cell = (own[:, :bits] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(own), np.int64)
                 yield batch(["tree", "cell", "side", "id", "code"], [np.full(len(own), t, np.int32), cell.astype(np.int64),
-                                                                     own[:, bits].astype(np.float64), b.column(0), b.column(1)])
+                                                                     own[:, bits] * scale, b.column(0), b.column(1)])
     return run
 
 
@@ -89,14 +99,14 @@ def _propose(dim: int, k: int):
                     continue
                 ids = items.field("id").to_numpy()
                 new, least = items.field("new").to_numpy(zero_copy_only=False), items.field("least").to_numpy()
-                x = _floats(items.field("code").to_pylist(), dim)
-                score = x @ x.T
+                x, scale = _floats(items.field("code").to_pylist(), dim)
+                score = x @ x.T * scale[:, None] * scale
                 ok = (score > least[:, None]) & (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
                 i, j = np.nonzero(ok)
                 held.append((ids[i], ids[j], score[i, j]))
             if held:
                 a, c, s = _best(*(np.concatenate(x) for x in zip(*held)), k)
-                yield batch(["a", "b", "score"], [a, c, s.astype(np.float32)])
+                yield batch(["a", "b", "score"], [a, c, s])
     return run
 
 
@@ -114,8 +124,8 @@ def neighbour_graph(nodes: DataFrame, n: int, dim: int, k: int = 24, trees: int
     place = F.row_number().over(Window.partitionBy("tree", "cell").orderBy("side", "id")) - 1
     cells = (mapped(nodes, _cells(dim, trees, bits), "tree int, cell long, side double, id long, code binary")
              .withColumn("part", F.floor(place / cell))
-             .groupBy("tree", "cell", "part").agg(F.collect_list(F.struct("id", "code", F.lit(True).alias("new"), F.lit(-2.0).cast("float").alias("least"))).alias("list")))
-    proposals = mapped(cells.select("list"), _propose(dim, k), "a long, b long, score float")
+             .groupBy("tree", "cell", "part").agg(F.collect_list(F.struct("id", "code", F.lit(True).alias("new"), F.lit(-2.0).alias("least"))).alias("list")))
+    proposals = mapped(cells.select("list"), _propose(dim, k), "a long, b long, score double")
     graph = stored(_top(proposals.withColumn("new", F.lit(1)), k))
     for _ in range(rounds):
         degree = graph.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
@@ -127,10 +137,10 @@ def neighbour_graph(nodes: DataFrame, n: int, dim: int, k: int = 24, trees: int
         busy = lists.where("new = 1").select("at", "part").distinct()
         least = graph.groupBy("a").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("have"))
         known = nodes.join(least.withColumnRenamed("a", "id"), "id", "left").select(
-            "id", "code", F.when(F.col("have") >= k, F.col("least")).otherwise(-2.0).cast("float").alias("least"))
+            "id", "code", F.when(F.col("have") >= k, F.col("least")).otherwise(-2.0).alias("least"))
         lists = lists.join(busy, ["at", "part"]).join(known, "id").groupBy("at", "part").agg(
             F.collect_list(F.struct("id", "code", (F.col("new") == 1).alias("new"), "least")).alias("list"))
-        proposals = mapped(lists.select("list"), _propose(dim, k), "a long, b long, score float")
+        proposals = mapped(lists.select("list"), _propose(dim, k), "a long, b long, score double")
         graph = stored(_top(proposals.withColumn("new", F.lit(1)).union(graph.withColumn("new", F.lit(0))), k))
         changed = graph.where("new = 1").count()
         if changed <= settled * n * k:
@@ -145,13 +155,14 @@ def _open(dim: int):
             q, ids, scores = [], [], []
             for i in range(b.num_rows):
                 own = b.column(2)[i].values
-                x = _floats(b.column(3)[i].as_py(), dim)
+                x, scale = _floats(b.column(3)[i].as_py(), dim)
+                y, own_scale = _floats([b.column(1)[i].as_py()], dim)
                 q.append(b.column(0)[i].as_py())
                 ids.append(own)
-                scores.append(x @ _floats([b.column(1)[i].as_py()], dim)[0])
+                scores.append(x @ y[0] * scale * own_scale)
             if q:
                 size = [len(x) for x in ids]
-                yield batch(["q", "id", "score"], [pa.array(np.repeat(q, size), pa.int64()), pa.concat_arrays(ids), np.concatenate(scores).astype(np.float32)])
+                yield batch(["q", "id", "score"], [pa.array(np.repeat(q, size), pa.int64()), pa.concat_arrays(ids), np.concatenate(scores)])
     return run
 
 
@@ -163,7 +174,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: i
     packed = stored(graph.join(nodes.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.collect_list(F.struct("b", "code")).alias("x"))
                     .select(F.col("a").alias("node"), F.transform("x", lambda y: y["b"]).alias("ids"), F.transform("x", lambda y: y["code"]).alias("codes")))
     queries = stored(queries)
-    pools = queries.select("q", F.col("entry").alias("id"), F.lit(9.0).cast("float").alias("score"), F.lit(0).alias("open"))
+    pools = queries.select("q", F.col("entry").alias("id"), F.lit(9.0).alias("score"), F.lit(0).alias("open"))
     for _ in range(rounds):
         order = Window.partitionBy("q").orderBy("open", F.desc("score"), "id")
         front = pools.where("open = 0").withColumn("n", F.row_number().over(order)).where(F.col("n") <= width).select("q", "id")
@@ -171,7 +182,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: i
         if not front.take(1):
             break
         asked = front.join(queries.select("q", "code"), "q").withColumnRenamed("id", "node").join(packed, "node").select("q", "code", "ids", "codes")
-        found = mapped(asked, _open(dim), "q long, id long, score float").withColumn("open", F.lit(0))
+        found = mapped(asked, _open(dim), "q long, id long, score double").withColumn("open", F.lit(0))
         was = pools.join(front.withColumn("now", F.lit(1)), ["q", "id"], "left").select("q", "id", "score", F.greatest("open", F.coalesce("now", F.lit(0))).alias("open"))
         one = was.union(found).groupBy("q", "id").agg(F.max("score").alias("score"), F.max("open").alias("open"))
         best = one.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "id", "open")), False), 1, pool).alias("list"))
@@ -202,12 +213,12 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = 24, poo
     # -0.0 and 0.0 are one number
     rows = rows.where(F.size("embedding") == dim).where(sound & nonzero).dropDuplicates(["vec_id"]).withColumn("embedding", F.transform("embedding", lambda x: x + 0.0))
     reps = rows.groupBy("embedding").agg(F.min("vec_id").alias("id"))
-    reps = stored(reps.select("id", "embedding", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("length")))
+    reps = stored(reps.select("id", "embedding", F.array_max(F.transform("embedding", F.abs)).alias("largest")))
     members = stored(rows.join(reps.select("id", "embedding"), "embedding").select("id", "vec_id"))
-    n, longest = reps.agg(F.count(F.lit(1)), F.max("length")).first()
+    n, largest = reps.agg(F.count(F.lit(1)), F.max("largest")).first()
     if not n:
         return spark.createDataFrame([], schema)
-    nodes = stored(_code(reps, dim, longest))
+    nodes = stored(_code(reps, dim, largest))
     graph = neighbour_graph(nodes, n, dim, k)
     asked = members.where(F.col("vec_id") % every == 0)
     queries = nodes.join(asked.select("id").distinct(), "id").select(F.col("id").alias("q"), F.col("id").alias("entry"), "code")

@@ -41,6 +41,18 @@ def test_recall(spark, scaled):
         assert found[q] == sorted(found[q], key=lambda z: (-z[1], z[0])) and q not in {i for i, _ in found[q]}
 
 
+def test_recall_beside_a_very_long_vector(spark):
+    """One vector 100,000 times longer: the others keep their neighbours."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 1e5
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found, want = got(spark, rows), brute(rows)
+    assert found.keys() == want.keys()
+    assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in want[q]}) / 20 for q in want]) > 0.95
+
+
 def test_copies_ties_and_unsound_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(0, 200)] + [(200 + i, rng.standard_normal(4).tolist()) for i in range(60)]
