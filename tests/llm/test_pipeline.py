@@ -20,7 +20,7 @@ def test_stages_take_effect(spark, sf_small):
 
 def test_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(queries.SQL) <= set(entry.oracle_sql())
 
 
