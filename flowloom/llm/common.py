@@ -22,6 +22,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_name(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, whatever its case."""
+    mark = "_own"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return mark
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote; all their readers must have written their own results."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     ship(df.sparkSession)
@@ -44,7 +61,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        star = stored(small)
+        rounds = stored(small)
+        discard(star)
+        star = rounds
         now = star.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
         if now == before:
             roots = star.select(F.col("v").alias("node")).distinct()

@@ -1,7 +1,8 @@
 """N-gram Jaccard self join of documents by a forest of signature trees.
 
 A document's set holds its distinct word shingles. Two documents link when ``100 * overlap >= percent * union``.
-Documents with equal sets form one class, so copies are never paired.
+Documents with equal sets form one class, named by a number of its own, so copies are never paired and rows that share a
+``doc_id`` may hold different texts. Only one text of each class goes on.
 
 *Roots.* Shingles are dealt to ``K`` slices by hash. A linked pair differs in at most ``H`` shingles, and ``K`` is
 greater than ``H``, so at least one slice holds the same shingles in both: classes that share a slice's content
@@ -12,13 +13,16 @@ stands under its empty slices too, so no pair is lost.
 *First links.* Below a root, each class is compared with its neighbour in size order and with the class that meets most
 others; of all its roots' proposals the two that share most roots are taken. Components of these links merge what is alike.
 
-*Counts.* A linked pair shares most slices, so a class that shares too few of its roots with anybody is left out first.
+*Counts.* A linked pair shares most slices, so a class that shares too few of its roots with anybody is left out first. Of roots
+with the same classes one is kept, with their number.
 
 *Trees.* Roots that still hold more than one component get a tree: leaf nodes of some classes with their token bitmaps and sizes,
 nodes above with OR-combined bitmaps, size ranges and component ranges. Pairs of nodes descend together, level by
 level, through equi joins; a pair is pruned if it lies in one component, its sizes can't meet, or its largest
 possible overlap (common bits, plus the shingles of a class that share a bit) is too small. The same bound is taken
-for each two classes of two leaf nodes, and what is left is compared exactly.
+for each two classes of two leaf nodes. What is left is compared by cells (each shingle changes one cell of a class, so the cells that
+differ are a lower bound of the shingles that differ), and then exactly. A root of one leaf node needs no join, and a root of
+very many classes is ordered in pieces of ``PIECE``.
 
 Null or empty text: an empty set, no link. Fewer words than a shingle: the whole sequence as one shingle. Repeated
 rows: linked like any other equal texts. A row with null ``doc_id`` is returned with its size and, if nothing else is
@@ -33,12 +37,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import components, mapped, stored
+from .common import components, discard, mapped, stored
 from .words import U, batch, mix, ragged, signed, text_slices, windows, words
 
-LONGS = 32  # 64-bit numbers of a bitmap
+LONGS = 16  # 64-bit numbers of a bitmap
 LEAF, FANOUT = 64, 8  # classes of a leaf node, nodes below a node
 GROWTH = 1.6  # of a band of sizes
+PIECE = 100_000  # classes that one task orders
 
 
 def _edges(top: int = 1 << 40) -> np.ndarray:
@@ -83,18 +88,39 @@ def _sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return total[edge[1:]] - total[edge[:-1]]
 
 
-def _describe(k: int):
+def _describe(k: int, percent: int):
+    """Size and two sums that tell sets apart, and for even and odd bands the fewest roots that a link needs."""
     def run(batches):
         for b in batches:
             ids = b.column(0)
             for lo, hi, row, grams in shingle_sets(b.column(1), k):
                 n = np.bincount(row, minlength=hi - lo)
-                yield batch(["doc_id", "n_shingles", "set_a", "set_b"],
-                            [ids.slice(lo, hi - lo), n.astype(np.int64), signed(_sums(row, mix(grams, 1), hi - lo)),
-                             signed(_sums(row, mix(grams, 2), hi - lo))])
+                needs = np.ones((2, hi - lo), np.int64)
+                for takes, level, _, _, _, _, _, need in _slots(row, grams, n, percent):
+                    at = np.flatnonzero(takes)
+                    needs[level[at] & 1, at] = need[at]
+                yield batch(["doc_id", "tag", "n_shingles", "set_a", "set_b", "need0", "need1"],
+                            [ids.slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), n.astype(np.int64), *_tags(row, grams, hi - lo), needs[0], needs[1]])
     return run
 
 
+def _tags(row: np.ndarray, grams: np.ndarray, rows: int) -> list[pa.Array]:
+    return [signed(_sums(row, mix(grams, salt), rows)) for salt in (1, 2)]
+
+
+def _own_sets(batches, k: int):
+    """(class, row of each shingle, shingle, sizes) of texts (doc_id, text, cls, n_shingles, set_a, set_b) that hold their class's set."""
+    for b in batches:
+        for lo, hi, row, grams in shingle_sets(b.column(1), k):
+            n = np.bincount(row, minlength=hi - lo)
+            found = [pa.array(n.astype(np.int64)), *_tags(row, grams, hi - lo)]
+            same = np.ones(hi - lo, bool)
+            for want, have in zip((b.column(c).slice(lo, hi - lo) for c in (3, 4, 5)), found):
+                same &= np.asarray(want) == np.asarray(have)
+            mine = same[row]
+            yield np.asarray(b.column(2).slice(lo, hi - lo))[same], (np.cumsum(same) - 1)[row[mine]], grams[mine], n[same]
+
+
 def _slots(row: np.ndarray, grams: np.ndarray, n: np.ndarray, percent: int):
     """For a set's own band and the next: (sets that take part, band, slices, set of each slice in use, its number, its content,
     fewest slices in use that a linked pair shares)."""
@@ -125,45 +151,31 @@ def _slots(row: np.ndarray, grams: np.ndarray, n: np.ndarray, percent: int):
 
 
 def _root_keys(k: int, percent: int):
-    """(root, doc_id) for each root a document stands under; the lowest bit of a root is that of its band."""
+    """(root, cls) for each root a class stands under; the lowest bit of a root is that of its band."""
     def run(batches):
-        for b in batches:
-            known = np.asarray(b.column(0).is_valid())
-            ids = np.asarray(b.column(0).fill_null(0))
-            for lo, hi, row, grams in shingle_sets(b.column(1), k):
-                mine = known[lo:hi][row]
-                row, grams = row[mine], grams[mine]
-                n = np.bincount(row, minlength=hi - lo)
-                for _, level, slices, r, part, held, lacks, _ in _slots(row, grams, n, percent):
-                    for i in np.flatnonzero(lacks):  # every equal slice may be an empty one
-                        empty = np.setdiff1d(np.arange(slices[i]), part[r == i])
-                        r, part = np.append(r, np.full(len(empty), i)), np.append(part, empty)
-                        held = np.append(held, np.zeros(len(empty), U))
-                    key = mix(mix(held, 5) ^ mix(part.astype(U) * U(1 << 20) + level[r].astype(U), 6), 7)
-                    yield batch(["root", "doc_id"], [signed(key & ~U(1) | (level[r] & 1).astype(U)), ids[lo + r]])
+        for ids, row, grams, n in _own_sets(batches, k):
+            for _, level, slices, r, part, held, lacks, _ in _slots(row, grams, n, percent):
+                for i in np.flatnonzero(lacks):  # every equal slice may be an empty one
+                    empty = np.setdiff1d(np.arange(slices[i]), part[r == i])
+                    r, part = np.append(r, np.full(len(empty), i)), np.append(part, empty)
+                    held = np.append(held, np.zeros(len(empty), U))
+                key = mix(mix(held, 5) ^ mix(part.astype(U) * U(1 << 20) + level[r].astype(U), 6), 7)
+                yield batch(["root", "cls"], [signed(key & ~U(1) | (level[r] & 1).astype(U)), ids[r]])
     return run
 
 
-def _with_sets(k: int, percent: int):
-    """Shingles as bytes, the bitmap, the number of shingles that share a bit with another, and for even and odd bands the
-    fewest roots that a link needs."""
+def _with_sets(k: int):
+    """Shingles as bytes, their cells, the bitmap, and the number of shingles that share a bit with another."""
     def run(batches):
-        for b in batches:
-            ids = b.column(0)
-            for lo, hi, row, grams in shingle_sets(b.column(1), k):
-                n = np.bincount(row, minlength=hi - lo)
-                bits = np.zeros((hi - lo, LONGS * 64), bool)
-                bits[row, (mix(grams, 8) % U(LONGS * 64)).astype(np.int64)] = True
-                packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                edge = np.cumsum(n) - n
-                raw = [grams[edge[i]:edge[i] + n[i]].tobytes() for i in range(hi - lo)]
-                needs = np.ones((2, hi - lo), np.int64)
-                for takes, level, _, _, _, _, _, need in _slots(row, grams, n, percent):
-                    at = np.flatnonzero(takes)
-                    needs[level[at] & 1, at] = need[at]
-                yield batch(["doc_id", "shingles", "excess", "need0", "need1", *(f"b{i}" for i in range(LONGS))],
-                            [ids.slice(lo, hi - lo), pa.array(raw, pa.binary()), n - bits.sum(1), needs[0], needs[1],
-                             *(np.ascontiguousarray(packed[:, i]) for i in range(LONGS))])
+        for ids, row, grams, n in _own_sets(batches, k):
+            bits = np.zeros((len(ids), LONGS * 64), bool)
+            bits[row, (mix(grams, 8) % U(LONGS * 64)).astype(np.int64)] = True
+            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            edge = np.cumsum(n) - n
+            raw = [grams[edge[i]:edge[i] + n[i]].tobytes() for i in range(len(ids))]
+            cells = [_cells(grams[edge[i]:edge[i] + n[i]]) for i in range(len(ids))]
+            yield batch(["cls", "shingles", "cells", "n", "excess", *(f"b{i}" for i in range(LONGS))],
+                        [ids, pa.array(raw, pa.binary()), pa.array(cells, pa.binary()), n.astype(np.int64), n - bits.sum(1), *(np.ascontiguousarray(packed[:, i]) for i in range(LONGS))])
     return run
 
 
@@ -183,22 +195,61 @@ def _linked(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return stored(mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), _linked(percent), "a long, b long"))
+    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")  # only sets of pairs are shuffled
+    right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    return stored(mapped(left.join(right, ["a", "b"]).select("a", "b", "x", "y"), _linked(percent), "a long, b long"))
+
+
+def _cells(grams: np.ndarray) -> bytes:
+    """Cells of 4 bits, a power of two of them (2 at least and less than the shingles if there are more): each holds the sum of its shingles modulo 2."""
+    size = 1 << max(1, (len(grams) - 1).bit_length() - 1)
+    h = mix(grams, 9)
+    place, value = (h % U(size)).astype(np.int64), (h >> U(60)).astype(np.int64)
+    bits = sum((np.bincount(place, value >> i & 1, size).astype(np.int64) & 1) << i for i in range(4))
+    return (bits[::2] | bits[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Cells that differ, after the larger side is folded to the smaller one's number."""
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    z = x ^ y
+    return int(np.count_nonzero(z & 15) + np.count_nonzero(z >> 4))
+
+
+def _near(percent: int):
+    def run(batches):
+        for b in batches:
+            sizes = np.asarray(b.column(4)) + np.asarray(b.column(5))
+            left, right = b.column(2), b.column(3)
+            least = np.array([_differing(np.frombuffer(left[i].as_buffer(), np.uint8), np.frombuffer(right[i].as_buffer(), np.uint8))
+                              for i in range(b.num_rows)], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array((100 + percent) * (sizes - least) >= 2 * percent * sizes))
+    return run
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose cells differ in no more places than a linked pair's shingles."""
+    left = sets.select(F.col("cls").alias("a"), F.col("cells").alias("x"), F.col("n").alias("x_n"))
+    right = sets.select(F.col("cls").alias("b"), F.col("cells").alias("y"), F.col("n").alias("y_n"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "x_n", "y_n")
+    return stored(mapped(met, _near(percent), "a long, b long"))
 
 
 def _leaf_pairs(percent: int):
-    """Pairs of classes of two leaf nodes, in different components, whose largest possible overlap suffices."""
+    """Pairs of classes of two leaf nodes (or of one, if a row has one), in different components, whose largest possible overlap suffices."""
     def side(b, at, i):
         ids, n, component, excess = (np.asarray(b.column(at + j)[i].values) for j in range(4))
         return ids, n, component, excess, np.column_stack([np.asarray(b.column(at + 4 + j)[i].values) for j in range(LONGS)]).view(U)
 
     def run(batches):
         for b in batches:
+            found = []
             for i in range(b.num_rows):
                 xi, xn, xc, xe, xb = side(b, 0, i)
-                yi, yn, yc, ye, yb = side(b, 4 + LONGS, i)
+                yi, yn, yc, ye, yb = side(b, 4 + LONGS, i) if b.num_columns > 4 + LONGS else (xi, xn, xc, xe, xb)
                 met = (xc[:, None] != yc) & (xi[:, None] != yi) & (100 * xn[:, None] >= percent * yn) & (100 * yn >= percent * xn[:, None])
                 p, q = np.nonzero(met)
                 common = np.bitwise_count(xb[p] & yb[q]).sum(1).astype(np.int64)
@@ -206,32 +257,39 @@ def _leaf_pairs(percent: int):
                 keep = (100 + percent) * most >= percent * (xn[p] + yn[q])
                 if keep.any():
                     x, y = xi[p[keep]], yi[q[keep]]
-                    pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
-                    yield batch(["a", "b"], [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])])
+                    found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield batch(["a", "b"], [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])])
     return run
 
 
 def _descend(leaves: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that no node rules out; ``leaves`` has root, doc_id, n, component, excess and the bitmap.
+    """Pairs (a, b) of classes that no node rules out; ``leaves`` has root, m, cls, n, component, excess and the bitmap.
 
     A leaf node holds up to ``LEAF`` classes, neighbours by component and size; nodes above hold ``FANOUT`` nodes.
     """
     bits = [f"b{i}" for i in range(LONGS)]
-    held = ["doc_id", "n", "component", "excess", *bits]
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("component", "n", "doc_id")) - 1
-    placed = leaves.select("root", F.floor(rank / LEAF).alias("node"), *held)
+    held = ["cls", "n", "component", "excess", *bits]
+    alone = mapped(leaves.where(F.col("m") <= LEAF).groupBy("root").agg(*(F.collect_list(c).alias(c) for c in held)).drop("root"),
+                   _leaf_pairs(percent), "a long, b long")
+    piece = _piece("cls")
+    rank = F.row_number().over(Window.partitionBy("root", "piece").orderBy("component", "n", "cls")) - 1
+    placed = leaves.where(F.col("m") > LEAF).withColumn("piece", piece).select(
+        "root", (F.col("piece") * PIECE * 4 + F.floor(rank / LEAF)).alias("node"), *held)
     blocks = stored(placed.groupBy("root", "node").agg(
         *(F.collect_list(c).alias(c) for c in held), F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c_low"),
         F.max("component").alias("c_high"), F.max("excess").alias("e"), *(F.bit_or(c).alias("o" + c) for c in bits)))
     about = ["low", "high", "c_low", "c_high", "e", *("o" + c for c in bits)]
     nodes = {0: blocks.select("root", "node", *about)}
-    level, largest = 0, blocks.agg(F.max("node")).first()[0]
+    level, largest, written = 0, blocks.agg(F.max("node")).first()[0], [blocks]
     while largest:
         largest //= FANOUT
         level += 1
         nodes[level] = stored(nodes[level - 1].groupBy("root", F.floor(F.col("node") / FANOUT).alias("node")).agg(
             F.min("low").alias("low"), F.max("high").alias("high"), F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"),
             F.max("e").alias("e"), *(F.bit_or("o" + c).alias("o" + c) for c in bits)))
+        written.append(nodes[level])
     pairs = nodes[level].select("root", F.col("node").alias("x"), F.col("node").alias("y"))
     for at in range(level - 1, -1, -1):
         def side(mark):
@@ -245,63 +303,105 @@ def _descend(leaves: DataFrame, percent: int) -> DataFrame:
         most = F.least(common + F.least("x_e", "y_e"), "x_high", "y_high")
         met = met.where((100 + percent) * most >= percent * (F.col("x_low") + F.col("y_low")))
         pairs = stored(met.select("root", F.col("xn").alias("x"), F.col("yn").alias("y")))
+        written.append(pairs)
     left = blocks.select("root", F.col("node").alias("x"), *(F.col(c).alias("x_" + c) for c in held))
     right = blocks.select("root", F.col("node").alias("y"), *(F.col(c).alias("y_" + c) for c in held))
     met = pairs.join(left, ["root", "x"]).join(right, ["root", "y"]).select(*("x_" + c for c in held), *("y_" + c for c in held))
-    return mapped(met, _leaf_pairs(percent), "a long, b long").distinct()
+    found = stored(mapped(met, _leaf_pairs(percent), "a long, b long").union(alone).distinct())
+    discard(*written)
+    return found
+
+
+def _piece(name: str):
+    """A number for the part of a root of ``m`` classes that one task orders."""
+    return F.pmod(F.xxhash64(name), F.ceil(F.col("m") / PIECE)).cast("long")
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    """(root, cls, m) of roots with ``m`` > 1 classes."""
+    crowded = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return members.join(crowded, "root")
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = 80, words_in_shingle: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_copies): one row for each row of ``docs(doc_id, text)``.
+    """(doc_id, n_shingles, component_id, n_copies, tag, component): one row for each row of ``docs(doc_id, text)``.
 
-    ``component_id`` is the smallest ``doc_id`` reachable by links, ``n_copies`` the rows with an equal set.
+    ``component_id`` is the smallest ``doc_id`` reachable by links, ``n_copies`` the rows with an equal set, ``tag`` the hash of the text.
+    ``component`` tells components apart whose smallest ``doc_id`` is the same; it is null for an empty set.
     """
     k = words_in_shingle
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = stored(mapped(docs, _describe(k), "doc_id long, n_shingles long, set_a long, set_b long"))
+    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    sizes = stored(mapped(tagged, _describe(k, percent), "doc_id long, tag long, n_shingles long, set_a long, set_b long, need0 long, need1 long"))
     same = ["n_shingles", "set_a", "set_b"]
-    classes = stored(sizes.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")))
-    to_rep = sizes.join(classes, same).select("doc_id", "rep", F.col("n_shingles").alias("n")).where("doc_id is not null").distinct()
-
-    order = Window.partitionBy("root").orderBy("doc_id")
-    rooted = mapped(docs, _root_keys(k, percent), "root long, doc_id long")
-    shared = stored(rooted.select("root", "doc_id", F.lag("doc_id").over(order).alias("p"), F.lead("doc_id").over(order).alias("q"))
-                    .where("p <> doc_id or q <> doc_id").select("root", "doc_id"))
-    members = shared.join(to_rep, "doc_id").select("root", F.col("rep").alias("doc_id"), "n").distinct()
-    crowded = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = stored(members.join(crowded, "root"))
-    wanted = members.select("doc_id").distinct()
-    bits = ", ".join(f"b{i} long" for i in range(LONGS))
-    sets = stored(mapped(docs.join(wanted, "doc_id"), _with_sets(k, percent), f"doc_id long, shingles binary, excess long, need0 long, need1 long, {bits}")
-                  .dropDuplicates(["doc_id"]))
+    rows = sizes.where("n_shingles > 0").groupBy(*same, "doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("need0").alias("need0"), F.min("need1").alias("need1"))
+    classes = rows.groupBy(*same).agg(F.min_by(F.struct("doc_id", "c"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("own"),
+                                      F.sum("c").alias("n_copies"), F.min("need0").alias("need0"), F.min("need1").alias("need1"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cls"), *same, F.col("own.doc_id").alias("rep"), F.col("own.c").alias("c"),
+                                    "n_copies", "need0", "need1"))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """A text for each class; rows that repeat id and text are told by their count, and only those may come twice."""
+        return docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "cls", *same, "c")
+
+    linkable = classes.where("rep is not null")  # a text without any id has no place in a component
+    dealt = texts(linkable)
+    rooted = mapped(dealt.where("c = 1"), _root_keys(k, percent), "root long, cls long").union(
+        mapped(dealt.where("c > 1"), _root_keys(k, percent), "root long, cls long").distinct())
+    order = Window.partitionBy("root").orderBy("cls")
+    beside = stored(rooted.select("root", "cls", F.lag("cls").over(order).alias("p"), F.lead("cls").over(order).alias("q"))
+                    .where("p <> cls or q <> cls").select("root", "cls").distinct())
+    members = stored(_crowded(beside))
+    discard(beside)
     # equal slices of a linked pair are many: a class that shares too few of a band's roots links with nobody there
-    needs = sets.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("need0").alias("need")),
-                                                    F.struct(F.lit(1).alias("odd"), F.col("need1").alias("need")))).alias("x")).select("doc_id", "x.*")
+    needs = classes.select("cls", F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("need0").alias("need")),
+                                                    F.struct(F.lit(1).alias("odd"), F.col("need1").alias("need")))).alias("x")).select("cls", "x.*")
     for _ in range(2):
         odd = F.col("root").bitwiseAND(F.lit(1)).cast("int").alias("odd")
-        enough = (members.groupBy("doc_id", odd).agg(F.count(F.lit(1)).alias("has")).join(needs, ["doc_id", "odd"])
-                  .where("has >= need").select("doc_id", "odd"))
-        members = members.drop("m").withColumn("odd", odd).join(enough, ["doc_id", "odd"]).drop("odd")
-        crowded = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        members = stored(members.join(crowded, "root"))
+        enough = (members.groupBy("cls", odd).agg(F.count(F.lit(1)).alias("has")).join(needs, ["cls", "odd"])
+                  .where("has >= need").select("cls", "odd"))
+        fewer = stored(_crowded(members.drop("m").withColumn("odd", odd).join(enough, ["cls", "odd"]).drop("odd")))
+        discard(members)
+        members = fewer
+    # of roots with the same classes one stays, with their number
+    alike = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls") % (1 << 40)).alias("s"), F.sum(F.xxhash64("cls", F.lit(7)) % (1 << 40)).alias("t"))
+    kept = alike.groupBy("m", "s", "t").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("times")).select("root", "times")
+    fewer = stored(members.join(kept, "root").join(classes.select("cls", F.col("n_shingles").alias("n")), "cls"))
+    discard(members)
+    members = fewer
+
+    bits = ", ".join(f"b{i} long" for i in range(LONGS))
+    wanted = texts(linkable.join(members.select("cls").distinct(), "cls", "left_semi"))
+    schema = f"cls long, shingles binary, cells binary, n long, excess long, {bits}"
+    sets = stored(mapped(wanted.where("c = 1"), _with_sets(k), schema).union(mapped(wanted.where("c > 1"), _with_sets(k), schema).dropDuplicates(["cls"])))
 
     # first links: with the neighbour in size order, and with the class of the root that meets most others under its roots
-    weight = members.groupBy("doc_id").agg(F.sum("m").alias("weight"))
-    line = Window.partitionBy("root").orderBy("n", "doc_id")
-    hub = F.max_by("doc_id", F.struct("weight", "doc_id")).over(Window.partitionBy("root"))
-    near = (members.join(weight, "doc_id").withColumn("before", F.lag("doc_id").over(line)).withColumn("hub", hub)
-            .select("doc_id", F.explode(F.array("before", "hub")).alias("other")).where("other <> doc_id").groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("shared")))
-    best = near.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "other")), False), 1, 2).alias("best"))
-    best = best.select("doc_id", F.explode("best.other").alias("other"))
-    first = _verified(best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), sets, percent)
+    weight = members.groupBy("cls").agg(F.sum(F.col("m") * F.col("times")).alias("weight"))
+    line = Window.partitionBy("root", "piece").orderBy("n", "cls")
+    weighed = members.join(weight, "cls")
+    hub = weighed.groupBy("root").agg(F.max_by("cls", F.struct("weight", "cls")).alias("hub"))
+    near = (weighed.join(hub, "root").withColumn("piece", _piece("cls")).withColumn("before", F.lag("cls").over(line))
+            .select("cls", "times", F.explode(F.array("before", "hub")).alias("other")).where("other <> cls")
+            .groupBy("cls", "other").agg(F.sum("times").alias("shared")))
+    best = near.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "other")), False), 1, 2).alias("best"))
+    best = best.select("cls", F.explode("best.other").alias("other"))
+    pairs = best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+    likely = _possible(pairs, sets, percent)
+    first = _verified(likely, sets, percent)
     merged = components(first)
 
-    left = members.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    left = members.drop("n", "times").join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = left.groupBy("root").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("root")
-    leaves = left.join(mixed, "root").join(sets.drop("shingles", "need0", "need1"), "doc_id")
-    second = _verified(_descend(leaves, percent), sets, percent)
-    final = components(first.union(second)).select(F.col("node").alias("rep"), "component")
-    named = classes.join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "n_copies")
+    leaves = left.join(mixed, "root").join(sets.drop("shingles", "cells"), "cls")
+    found = _descend(leaves, percent)
+    near = _possible(found, sets, percent)
+    second = _verified(near, sets, percent)
+    groups = components(first.union(second)).select(F.col("node").alias("cls"), "component")
+    named = classes.join(groups, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "rep")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))  # the smallest id of all classes of a component
+    final = stored(named.join(least, "component").select("cls", "component", "component_id"))
+    discard(members, sets, likely, found, near, first, second)
+    named = classes.join(final, "cls").select(*same, "component", "component_id", "n_copies")
     return (sizes.join(named, same, "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")))
+                    F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "tag", "component"))
