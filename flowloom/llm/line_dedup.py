@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import new_name, stored
 
 
 def _windows(w: int, least, weights: bool):
@@ -68,23 +68,23 @@ def repeated_runs(docs: DataFrame, min_lines: int = 3, min_words: int | None = N
             .select("doc_id", "tag", "start", "length", "src_doc", (F.col("start") + F.col("shift")).alias("src_start")))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None, min_chars: int | None = None) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted, and (n_lines, n_removed) before and by it."""
+def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None, min_chars: int | None = None, counts: bool = True) -> DataFrame:
+    """``docs`` with later repeated runs of lines deleted; with ``counts`` also (n_lines, n_removed) before and by it, in place of columns of these names."""
     runs = repeated_runs(docs.select("doc_id", "text"), min_lines, min_words, min_chars)
-    cuts = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "length")).alias("cuts"))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    base = docs.select(*own, F.xxhash64("text").alias("_tag"))
-    cuts = cuts.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_of"), "cuts").withColumnRenamed("cuts", "_cuts")
-    met = base.join(cuts, (F.col("doc_id") == F.col("_doc")) & (F.col("_tag") == F.col("_of")), "left")
-    lines = F.split("text", "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("_cuts", lambda c: F.sequence(c["start"].cast("long"), (c["start"] + c["length"] - 1).cast("long")))))
-    met = met.withColumn("_lines", lines).withColumn("_gone", gone)
-    keep = F.array_except(F.sequence(F.lit(1).cast("long"), F.size("_lines").cast("long")), F.col("_gone"))
-    kept = F.array_join(F.transform(keep, lambda i: F.element_at("_lines", i.cast("int"))), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    out = met.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).withColumn("text", text)
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*own, "n_lines", "n_removed")
+    mark = new_name(docs)
+    tag, of, doc, cut, line, gone = (mark + x for x in ("tag", "of", "doc", "cuts", "lines", "gone"))
+    cuts = runs.groupBy(F.col("doc_id").alias(doc), F.col("tag").alias(of)).agg(F.collect_set(F.struct("start", "length")).alias(cut))
+    base = docs.withColumn(tag, F.xxhash64("text"))
+    met = base.join(cuts, (F.col("doc_id") == F.col(doc)) & (F.col(tag) == F.col(of)), "left")
+    numbers = F.array_distinct(F.flatten(F.transform(cut, lambda c: F.sequence(c["start"].cast("long"), (c["start"] + c["length"] - 1).cast("long")))))
+    met = met.withColumn(line, F.split("text", "\n", -1)).withColumn(gone, numbers)
+    keep = F.array_except(F.sequence(F.lit(1).cast("long"), F.size(line).cast("long")), F.col(gone))
+    kept = F.array_join(F.transform(keep, lambda i: F.element_at(line, i.cast("int"))), "\n")
+    new = {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+    if counts:
+        n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(line)).cast("long")
+        new |= {"n_lines": n_lines, "n_removed": F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).cast("long")}
+    own = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    return met.select(*(new.get(c, F.col(c)).alias(c) for c in own), *(new[c].alias(c) for c in ("n_lines", "n_removed") if counts))

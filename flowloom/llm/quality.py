@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import new_name, stored
 
 ID_FOLDS, TEST_FOLD = 4, 2
 # fixed values: classes of characters that the statistics count
@@ -144,9 +144,9 @@ def score(stats: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """Rows whose text reaches the threshold, with their own columns only."""
-    stats = {f"_{n}": c.cast("double") for n, c in statistics(F.col("text")).items()}
-    named = Model(model.bias, [([(f"_{n}", a, x) for n, a, x in r], w) for r, w in model.rules])
-    own = [c for c in docs.columns if c not in stats and c != "_score"]
+    mark = new_name(docs)
+    stats = {mark + n: c.cast("double") for n, c in statistics(F.col("text")).items()}
+    named = Model(model.bias, [([(mark + n, a, x) for n, a, x in r], w) for r, w in model.rules])
     # a filter on a generated column is not pushed below the statistics, where each rule would compute them anew
-    scored = docs.select(*own).withColumns(stats).select(*own, F.explode(F.array(named.column())).alias("_score"))
-    return scored.where(F.col("_score") >= threshold).select(*own)
+    scored = docs.withColumns(stats).select(*docs.columns, F.explode(F.array(named.column())).alias(mark))
+    return scored.where(F.col(mark) >= threshold).select(*docs.columns)

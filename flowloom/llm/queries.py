@@ -68,15 +68,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=50, min_chars=300).select("doc_id", "n_lines", "n_removed", "text")
 
 
 SQL["op8_line_dedup"] = r"""
 with lines as (select doc_id, text, string_split(text, chr(10)) a from documents),
-w as (select doc_id, p, a[p:p + 2] k from (select doc_id, a, unnest(range(1, len(a) - 1)) p from lines where doc_id is not null)),
-f as (select k, min((doc_id, p)) first from w group by k),
+heavy as (select *, list_transform(a, lambda x: len(regexp_extract_all(x, '[^\x09-\x0D\x20]+'))) words, list_transform(a, lambda x: length(x)) chars from lines),
+w as (select doc_id, p, v, a[p:p + v - 1] k from (select *, unnest(range(1, len(a) - v + 2)) p from heavy, (select unnest([1, 2, 3]) v) where doc_id is not null)
+  where v = 3 or list_sum(words[p:p + v - 1]) >= 50 or list_sum(chars[p:p + v - 1]) >= 300),
+f as (select k, v, min((doc_id, p)) first from w group by k, v),
 gone as (select doc_id, list(distinct q) g from (
-  select doc_id, unnest([p, p + 1, p + 2]) q from w join f using (k) where first <> (doc_id, p)) group by doc_id)
+  select doc_id, unnest(range(p, p + v)) q from w join f using (k, v) where first <> (doc_id, p)) group by doc_id)
 select doc_id, cast(coalesce(len(a), 0) as bigint) n_lines, cast(coalesce(len(g), 0) as bigint) n_removed,
  case when g is null then text else array_to_string([a[i] for i in range(1, len(a) + 1) if not list_contains(g, i)], chr(10)) end as text
 from lines left join gone using (doc_id)

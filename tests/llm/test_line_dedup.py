@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import oracle
 from flowloom.llm import queries
@@ -39,6 +41,19 @@ def test_edges(spark):
     assert dedup_lines(documents(spark, [])).collect() == []
 
 
+def test_long_line_is_found_and_names_do_not_clash(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    docs = documents(spark, [(1, "a\n" + long), (2, long + "\nb"), (3, "b")])
+    for name in ("_tag", "_of", "_doc", "_lines", "_cuts", "_gone", "_ownTag"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs = docs.withColumn("n_lines", F.lit("own")).withColumn("n_removed", F.lit("own"))
+    out = dedup_lines(docs, min_words=50, min_chars=300, counts=False)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r._tag, r._lines, r.n_lines, r.n_chars) for r in out.collect()) == [
+        (1, "a\n" + long, "_tag", "_lines", "own", len(long) + 2), (2, "b", "_tag", "_lines", "own", 1), (3, "b", "_tag", "_lines", "own", 1)]
+    assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in dedup_lines(docs, min_words=50).collect()) == [(1, 2, 0), (2, 2, 1), (3, 1, 0)]
+
+
 def test_equals_sql(spark, sf_small):
     name = "op8_line_dedup"
     assert oracle.compare(queries.QUERIES[name](spark, sf_small), oracle.connect(sf_small), queries.SQL[name]) == ""
