@@ -1,12 +1,10 @@
 """Distance work in blocks.
 
-Local outlier factors and kernel densities compare every query point with every
-reference point of its group. Points are first counted by distinct value, then
-packed into blocks of bounded size, and blocks of queries meet blocks of
-references in an equi join on (group, query block). What leaves a block pair is one number
-per query, never a pair of points. A group of any size is spread over as many
-tasks as it has query blocks, and a task holds one query block while reference
-blocks stream past it.
+Local outlier factors and kernel densities compare query points with reference
+points of their group. Points are first counted by distinct value, then packed
+into blocks of bounded size; a group that needs more than one block is cut by
+``boxes``. What leaves a pair of blocks is one number per query, never a pair of
+points, and a task holds one query block while reference blocks stream past it.
 """
 
 from __future__ import annotations
@@ -44,17 +42,6 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def pair_blocks(queries: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
-    """Reference blocks copied to each query block of their group, joined on (group, block).
-
-    The copies are spread by the block number, so a hot group does not land in
-    one task, and a following grouping by the same columns needs no shuffle.
-    """
-    counts = queries.groupBy(*keys).agg(F.max("block").alias("_last"))
-    copies = refs.join(counts, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
-    return queries.join(copies, [*keys, "block"])
-
-
 def matrix(flat: np.ndarray, rows: int) -> np.ndarray:
     return np.asarray(flat, dtype=float).reshape(rows, -1)
 

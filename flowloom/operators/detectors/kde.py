@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ...session import largest_group
-from .blocks import BLOCK_ROWS, distinct_points, matrix, pack_blocks, pair_blocks, spread
+from ...session import freeze
+from .blocks import BLOCK_ROWS, distinct_points, matrix, pack_blocks, spread
+from .boxes import descend, most_square, near_pairs, pack_cut, tree
+from .lof import _by_size
 from .stats import MIN_VISITS, STATE, spread_attrs, thin_state
 
 RIDGE = 1e-8  # variance of the 1e-4 noise the method adds to its training points
@@ -48,8 +50,8 @@ def kernel(n: float, cov: np.ndarray, width: int) -> tuple[np.ndarray, float]:
     return np.linalg.inv(root), norm
 
 
-def _partial(q: np.ndarray, x: np.ndarray, w: np.ndarray, whiten: np.ndarray) -> np.ndarray:
-    a, b = q @ whiten.T, x @ whiten.T
+def _kernels(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum of the kernels of whitened references at each whitened query."""
     total = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
         total += (a[:, j, None] - b[None, :, j]) ** 2
@@ -58,10 +60,11 @@ def _partial(q: np.ndarray, x: np.ndarray, w: np.ndarray, whiten: np.ndarray) ->
 
 def densities(queries: DataFrame, refs: DataFrame, cov: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """``(model_id, state, attrs, density)`` of the distinct query points."""
-    ask = pack_blocks(distinct_points(queries, STATE), STATE, rows)
+    asked = distinct_points(queries, STATE)
+    small, large = _by_size(distinct_points(refs, STATE), STATE, rows)
+    ask = pack_blocks(asked, STATE, rows)
     ask = ask.select(*STATE, "block", F.col("xs").alias("q_xs"), F.size("ws").alias("q_rows"), "points")
-    known = pack_blocks(distinct_points(refs, STATE), STATE, rows).select(*STATE, "n_blocks", "xs", "ws")
-    known = known.join(cov, STATE)
+    known = pack_blocks(small, STATE, rows).select(*STATE, "xs", "ws").join(cov, STATE)
 
     @F.pandas_udf("array<double>")
     def one(q: pd.Series, r: pd.Series, x: pd.Series, w: pd.Series, n: pd.Series, c: pd.Series) -> pd.Series:
@@ -69,33 +72,66 @@ def densities(queries: DataFrame, refs: DataFrame, cov: DataFrame, rows: int = B
         for q_, r_, x_, w_, n_, c_ in zip(q, r, x, w, n, c):
             points = matrix(x_, len(w_))
             whiten, norm = kernel(float(n_), c_, points.shape[1])
-            out.append(_partial(matrix(q_, r_), points, np.asarray(w_), whiten) / norm)
+            out.append(_kernels(matrix(q_, r_) @ whiten.T, points @ whiten.T, np.asarray(w_)) / norm)
         return pd.Series(out)
 
-    single = spread(ask.join(known.filter(F.col("n_blocks") == 1), STATE), *STATE, "block")
+    single = spread(ask.join(known, STATE), *STATE, "block")
     found = single.select(*STATE, "points", one("q_xs", "q_rows", "xs", "ws", "n", "cov").alias("density"))
-    if largest_group(refs, STATE) > rows:
-        found = found.unionByName(_streamed(ask, known.filter(F.col("n_blocks") > 1)))
+    if large is not None:
+        found = found.unionByName(_streamed(asked.join(large.select(*STATE).distinct(), STATE, "left_semi"), large, cov, rows))
     flat = found.select(*STATE, F.explode(F.arrays_zip("points", "density")).alias("_s"))
     return flat.select(*STATE, F.col("_s.points").alias("attrs"), F.col("_s.density").alias("density"))
 
 
-def _streamed(ask: DataFrame, large: DataFrame) -> DataFrame:
+def _whitened(points: DataFrame, cov: DataFrame) -> DataFrame:
+    """Adds ``at``: the point in units of the kernel's deviations."""
+    @F.pandas_udf("array<double>")
+    def at(x: pd.Series, n: pd.Series, c: pd.Series) -> pd.Series:
+        out, known = [], {}
+        for x_, n_, c_ in zip(x, n, c):
+            name = (n_, bytes(memoryview(np.asarray(c_, float))))
+            if name not in known:
+                known[name] = kernel(float(n_), c_, len(x_))[0]
+            out.append(known[name] @ np.asarray(x_, float))
+        return pd.Series(out)
+
+    return points.join(cov, STATE).withColumn("at", at("attrs", "n", "cov")).drop("n", "cov")
+
+
+LOST = 54 * float(np.log(2))  # a sum's last bit, as a logarithm
+
+
+def _streamed(asked: DataFrame, refs: DataFrame, cov: DataFrame, rows: int) -> DataFrame:
+    """Densities of groups of many references, over pairs of blocks that count.
+
+    The nearest boxes give a lower bound of a query block's sums. Blocks so far away that all references together, each with
+    the largest kernel their distance allows, stay below the last bit of that bound are left out.
+    """
+    known = freeze(pack_cut(_whitened(refs, cov), STATE, rows, "at").drop("points"))
+    queries = freeze(pack_cut(_whitened(asked, cov), STATE, rows, "at").drop("n"))
+    nodes = tree(known, STATE)
+    value = F.log("weight") - most_square() / 2
+    most = known.groupBy(*STATE).agg(F.max("n").alias("n"))
+    bound = descend(queries.select(*STATE, "block", "lo", "hi"), nodes, STATE, value, F.lit(True))
+    reached = queries.join(bound, [*STATE, "block"]).join(most, STATE).withColumn("reach2", 2 * (LOST + F.log("n") - F.col("best")))
+    pairs = near_pairs(reached, nodes, STATE)
+    right = known.select(*STATE, F.col("block").alias("r_block"), "xs", "ws")
+    left = queries.select(*STATE, "block", F.col("xs").alias("q_xs"), F.size("ws").alias("q_rows"), "points").join(cov, STATE)
+
     def run(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, head, norm = 0.0, None, 1.0
+        total, head = 0.0, None
         for batch in batches:
             for r in batch.to_dict("records"):
-                points = matrix(r["xs"], len(r["ws"]))
                 if head is None:
-                    head = r
-                    whiten, norm = kernel(float(r["n"]), r["cov"], points.shape[1])
-                    q = matrix(r["q_xs"], int(r["q_rows"]))
-                total = total + _partial(q, points, np.asarray(r["ws"]), whiten)
+                    head, q = r, matrix(r["q_xs"], int(r["q_rows"]))
+                total = total + _kernels(q, matrix(r["xs"], len(r["ws"])), np.asarray(r["ws"]))
+        norm = kernel(float(head["n"]), head["cov"], q.shape[1])[1]
         yield pd.DataFrame({"model_id": [head["model_id"]], "state": [head["state"]], "points": [head["points"]],
                             "density": [total / norm]})
 
     schema = "model_id string, state string, points array<array<double>>, density array<double>"
-    return pair_blocks(ask, large, STATE).groupBy(*STATE, "block").applyInPandas(run, schema)
+    paired = left.join(pairs.join(right, [*STATE, "r_block"]), [*STATE, "block"])
+    return paired.groupBy(*STATE, "block").applyInPandas(run, schema)
 
 
 def fit_kde(visits: DataFrame, width: int, rows: int = BLOCK_ROWS) -> DataFrame:

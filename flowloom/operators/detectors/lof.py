@@ -8,17 +8,16 @@ from typing import Any, Tuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ...session import freeze, largest_group
-from .blocks import (
-    BLOCK_ROWS, distances, distinct_points, kth_distance, matrix, mean_of_k, nearest_sum, pack_blocks, pair_blocks,
-    spread,
-)
+from ...session import freeze, group_sizes
+from .blocks import BLOCK_ROWS, distances, distinct_points, kth_distance, matrix, mean_of_k, nearest_sum, pack_blocks, spread
+from .boxes import near_pairs, pack_cut, reach, tree
 from .stats import MIN_VISITS, STATE, thin_state
 
 THRESHOLD = 1.5
 _TINY = 1e-10
+FEW = 256  # neighbours that a task keeps for each query instead of counting bytes
 
 
 def neighbours(n: int, share: float | None, k: int | None) -> int:
@@ -38,16 +37,31 @@ def fit_lof(
     visits: DataFrame, keys: list[str] = STATE, share: float | None = 0.1, k: int | None = None,
     min_visits: int = MIN_VISITS, rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Reference blocks with the k-distance ``kd`` and local density ``lrd`` of each point."""
-    blocks = pack_blocks(distinct_points(visits, keys), keys, rows).drop("points").filter(F.col("n") > min_visits)
-    fitted = blocks.filter(F.col("n_blocks") == 1).withColumn("_fit", _fit_one(share, k)("xs", "ws", "n"))
-    fitted = fitted.select(*blocks.columns, "_fit.kd", "_fit.lrd")
-    if largest_group(visits, keys) <= rows:
+    """Reference blocks with the k-distance ``kd`` and local density ``lrd`` of each point.
+
+    Groups of more than ``rows`` distinct points are cut into blocks of near points; a block meets only blocks that its
+    points' k-distances can reach.
+    """
+    points = distinct_points(visits, keys)
+    small, large = _by_size(points, keys, rows)
+    blocks = pack_blocks(small, keys, rows).drop("points").filter(F.col("n") > min_visits)
+    fitted = blocks.withColumn("_fit", _fit_one(share, k)("xs", "ws", "n")).select(*blocks.columns, "_fit.kd", "_fit.lrd")
+    empty = F.array().cast("array<double>")
+    fitted = fitted.withColumns({"lo": empty, "hi": empty})
+    if large is None:
         return fitted
-    large = freeze(blocks.filter(F.col("n_blocks") > 1))  # read by every pass
-    with_kd = _select_kd(large, large, keys, share, k, True)
-    with_lrd = _stream(with_kd, with_kd, keys, ["lrd"], _lrd_pass(share, k), ["kd"])
-    return fitted.unionByName(freeze(with_lrd.select(*fitted.columns)))
+    cut = freeze(pack_cut(large, keys, rows).drop("points"))  # read by every pass
+    with_kd, pairs = _pruned_kd(cut, cut, keys, share, k, True)
+    with_lrd = _stream(with_kd, with_kd, pairs, keys, ["lrd"], _lrd_pass(share, k), ["kd"])
+    return fitted.unionByName(freeze(with_lrd.withColumn("n_blocks", F.lit(2)).select(*fitted.columns)))
+
+
+def _by_size(points: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Points of groups of at most ``rows`` points, and those of the others if there are any."""
+    over = freeze(group_sizes(points, keys).filter(F.col("_rows") > rows).select(*keys))
+    if over.isEmpty():
+        return points, None
+    return points.join(over, keys, "left_anti"), points.join(over, keys, "left_semi")
 
 
 def score_lof(
@@ -55,7 +69,8 @@ def score_lof(
     rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Adds ``score`` (the factor) and ``pred`` (factor above 1.5, or a state without a fit)."""
-    queries = pack_blocks(distinct_points(visits, keys), keys, rows)
+    asked = distinct_points(visits, keys)
+    queries = pack_blocks(asked, keys, rows)
     queries = queries.select(*keys, F.col("block").alias("q_block"), F.col("xs").alias("q_xs"), "points",
                              F.size("ws").alias("q_rows"))
     single = spread(queries.join(fit.filter(F.col("n_blocks") == 1), keys), *keys, "q_block")
@@ -64,11 +79,11 @@ def score_lof(
     large = fit.filter(F.col("n_blocks") > 1)
     if not large.isEmpty():
         large = freeze(large)
-        ask = queries.join(large.groupBy(*keys).agg(F.max("n").alias("n")), keys)
-        ask = ask.withColumnsRenamed({"q_block": "block", "q_xs": "xs"}).withColumn(
-            "ws", F.array_repeat(F.lit(1.0), F.col("q_rows"))).drop("q_rows")
-        with_kd = _select_kd(ask, large, keys, share, k, False)
-        with_lof = _stream(with_kd, large, keys, ["lof"], _lof_pass(share, k), ["kd", "lrd"])
+        sizes = large.groupBy(*keys).agg(F.max("n").alias("n"))
+        ask = pack_cut(asked.join(sizes.select(*keys), keys, "left_semi"), keys, rows).drop("n").join(sizes, keys)
+        ask = freeze(ask.withColumn("ws", F.transform("ws", lambda w: F.lit(1.0))))
+        with_kd, pairs = _pruned_kd(ask, large, keys, share, k, False)
+        with_lof = _stream(with_kd, large, pairs, keys, ["lof"], _lof_pass(share, k), ["kd", "lrd"])
         scored = scored.unionByName(with_lof.select(*keys, "points", "lof"))
     flat = scored.select(*keys, F.explode(F.arrays_zip("points", "lof")).alias("_s"))
     flat = flat.select(*keys, F.col("_s.points").alias("attrs"), F.col("_s.lof").alias("score"))
@@ -121,18 +136,20 @@ def _score_one(share, k):
     return score
 
 
-# ---- larger groups: reference blocks stream past one query block ----
+# ---- larger groups: the reference blocks in reach stream past one query block ----
 
-def _stream(queries: DataFrame, refs: DataFrame, keys: list[str], out: list[str], start, ref_columns: list[str]) -> DataFrame:
-    """One pass. ``start(query row)`` gives an object with ``take(block)`` and ``finish()``;
-    the arrays of ``finish`` replace or extend the columns ``out``."""
+def _stream(
+    queries: DataFrame, refs: DataFrame, pairs: DataFrame, keys: list[str], out: list[str], start, ref_columns: list[str],
+) -> DataFrame:
+    """One pass over ``pairs(keys, block, r_block)``. ``start(query row)`` gives an object with ``take(block)`` and
+    ``finish()``; the arrays of ``finish`` replace or extend the columns ``out``."""
     right = refs.select(
         *keys, F.col("block").alias("r_block"), F.col("xs").alias("r_xs"), F.col("ws").alias("r_ws"),
         *[F.col(c).alias(f"r_{c}") for c in ref_columns],
     )
     kept = queries.columns
     schema = queries.withColumns({c: F.lit(None).cast("array<double>") for c in out}).schema
-    paired = pair_blocks(queries, right, keys)
+    paired = queries.join(pairs.join(right, [*keys, "r_block"]), [*keys, "block"])
 
     def run(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, row = None, None
@@ -148,7 +165,33 @@ def _stream(queries: DataFrame, refs: DataFrame, keys: list[str], out: list[str]
     return paired.groupBy(*keys, "block").applyInPandas(run, schema)
 
 
-def _select_kd(queries, refs, keys, share, k, fitting) -> DataFrame:
+def _need(share, k) -> Column:
+    """``neighbours`` as an expression over ``n``."""
+    wanted = F.ceil(F.lit(float(share)) * F.col("n")) if share is not None else F.lit(k)
+    return F.greatest(F.lit(1), F.least(wanted, F.col("n") - 1)).cast("double")
+
+
+def _pruned_kd(queries, refs, keys, share, k, fitting) -> tuple[DataFrame, DataFrame]:
+    """Queries with their k-distance ``kd``, and the pairs of blocks within it.
+
+    A bound on the k-distances of a block comes from the boxes alone and drops most pairs before any distance is taken; the
+    exact k-distances then drop the pairs that the sums do not need.
+    """
+    nodes = tree(refs, keys)
+    asked = queries.withColumn("_need", _need(share, k) + (1.0 if fitting else 0.0))  # a reference is no neighbour of itself
+    bound = queries.join(reach(asked, nodes, keys, "_need"), [*keys, "block"])
+    pairs = near_pairs(bound, nodes, keys)
+    found = _few_kd(queries, refs, pairs, keys, k, fitting) if share is None and k <= FEW else _select_kd(queries, refs, pairs, keys, share, k, fitting)
+    exact = found.withColumn("reach2", F.pow(F.array_max("kd"), 2))
+    return found, near_pairs(exact, nodes, keys)
+
+
+def _few_kd(queries, refs, pairs, keys, k, fitting) -> DataFrame:
+    """k-distance of each query for a small fixed ``k``: one pass that keeps the nearest ``k`` + 1 references."""
+    return freeze(_stream(queries, refs, pairs, keys, ["kd"], _nearest_pass(k, fitting), []))
+
+
+def _select_kd(queries, refs, pairs, keys, share, k, fitting) -> DataFrame:
     """k-distance of each query among references of any number.
 
     Non-negative doubles sort like their bit patterns, so the k-th smallest
@@ -157,10 +200,30 @@ def _select_kd(queries, refs, keys, share, k, fitting) -> DataFrame:
     """
     found = queries.withColumns({c: F.transform("ws", lambda w: F.lit(0.0)) for c in ("kd", "left")})
     for shift in range(56, -1, -8):
-        found = freeze(_stream(found, refs, keys, ["kd", "left"], _digit_pass(share, k, shift, fitting), []))
+        found = freeze(_stream(found, refs, pairs, keys, ["kd", "left"], _digit_pass(share, k, shift, fitting), []))
     return found.drop("left")
 
 
+class _Nearest:
+    """The nearest references of each query so far, with their weights."""
+
+    def __init__(self, q, k, own_block):
+        self.q, self.k, self.own = q, k, own_block
+        self.d, self.w = np.zeros((len(q), 0)), np.zeros((len(q), 0))
+
+    def take(self, r) -> None:
+        d = distances(self.q, matrix(r["r_xs"], len(r["r_ws"])))
+        w = _without_self(np.broadcast_to(np.asarray(r["r_ws"]), d.shape), r["r_block"] == self.own)
+        d, w = np.concatenate([self.d, d], axis=1), np.concatenate([self.w, w], axis=1)
+        if d.shape[1] > self.k + 1:  # weights are 1 or more, but for the point itself
+            nearest = np.argpartition(d, self.k, axis=1)[:, :self.k + 1]
+            d, w = np.take_along_axis(d, nearest, axis=1), np.take_along_axis(w, nearest, axis=1)
+        self.d, self.w = d, w
+
+    def finish(self):
+        return [kth_distance(self.d, self.w, self.k)]
+
+
 class _Digit:
     """Counts references by the next byte of their distance, inside the bytes already known."""
 
@@ -215,6 +278,14 @@ def _digit_pass(share, k, shift, fitting):
     return start
 
 
+def _nearest_pass(k, fitting):
+    def start(r):
+        size = neighbours(int(r["n"]), None, k)
+        return _Nearest(matrix(r["xs"], len(r["ws"])), size, r["block"] if fitting else None)
+
+    return start
+
+
 def _lrd_pass(share, k):
     def start(r):
         size = neighbours(int(r["n"]), share, k)

@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions.quantiles import exact_quantiles
 from flowloom.functions.scan import OrderedScan
-from flowloom.operators.detectors import kde, lof
+from flowloom.operators.detectors import boxes, kde, lof
+from flowloom.operators.detectors.blocks import distinct_points
 from flowloom.session import MAX_GROUP_ROWS
 
 
@@ -120,3 +122,72 @@ def test_queries_under_tight_limit(spark, tight):
     con = oracle.connect(sf)
     for name in ("index_flows", "first_n_per_class", "sessionize", "window_params", "state_quantiles", "summary", "bin_limits"):
         assert oracle.compare(workload.all_queries()[name](spark, sf), con, workload.all_sql()[name]) == "", name
+
+
+def _cloud(spark, n, seed=3):
+    """Points in a few dense places of a wide plane, with repeats and equal coordinates."""
+    rng = np.random.default_rng(seed)
+    centre = rng.integers(0, 400, size=(12, 2)) * 25.0
+    xy = np.round(centre[rng.integers(12, size=n)] + rng.normal(size=(n, 2)) * [40, 3], 1)
+    xy[::7, 1] = 50.0
+    xy[::11] = xy[0]
+    rows = [("m", "s", i, [float(a), float(b)]) for i, (a, b) in enumerate(xy)]
+    return spark.createDataFrame(rows, "model_id string, state string, id long, attrs array<double>")
+
+
+def test_blocks_hold_near_points(spark):
+    points = distinct_points(_cloud(spark, 3000), ["model_id", "state"])
+    cut = boxes.cut_blocks(points, ["model_id", "state"], 50)
+    sizes = [r["count"] for r in cut.groupBy("block").count().collect()]
+    assert max(sizes) <= 50 and sum(sizes) == points.count()
+    same = spark.createDataFrame([("m", [1.0, 2.0], i) for i in range(40)], "model_id string, attrs array<double>, w long")
+    assert boxes.cut_blocks(same, ["model_id"], 8).select("block").distinct().count() == 1  # equal points cannot be cut
+    assert boxes.cut_blocks(same.where("false"), ["model_id"], 8).collect() == []
+
+
+def _by_point(df):
+    return {tuple(r.attrs): (r.pred, r.score) for r in df.collect()}
+
+
+@pytest.mark.parametrize("share, k", [(None, 20), (0.05, None)])
+def test_pruned_lof_equals_whole(spark, share, k):
+    train, test = _cloud(spark, 1500), _cloud(spark, 400, 5)
+    whole = _by_point(lof.score_lof(test, lof.fit_lof(train, share=share, k=k, rows=5000), share=share, k=k, rows=5000))
+    cut = _by_point(lof.score_lof(test, lof.fit_lof(train, share=share, k=k, rows=200), share=share, k=k, rows=200))
+    assert whole.keys() == cut.keys()
+    for i, (pred, score) in whole.items():
+        assert cut[i][1] == pytest.approx(score, rel=1e-9) and cut[i][0] == pred
+
+
+def test_block_pairs_stay_bounded(spark):
+    """For a fixed number of neighbours a query block meets itself and the blocks around it, of hundreds."""
+    keys = ["model_id", "state"]
+    blocks = boxes.pack_cut(distinct_points(_cloud(spark, 16_000), keys), keys, 64).drop("points").cache()
+    _, pairs = lof._pruned_kd(blocks, blocks, keys, None, 20, True)
+    assert blocks.count() > 200 and pairs.count() < 12 * blocks.count()
+
+
+def test_pruned_kde_equals_whole(spark):
+    train, test = _cloud(spark, 1500), _cloud(spark, 400, 5)
+    whole = _by_point(kde.score_kde(test, train, kde.fit_kde(train, 2, rows=5000), rows=5000))
+    cut = _by_point(kde.score_kde(test, train, kde.fit_kde(train, 2, rows=200), rows=200))
+    assert whole.keys() == cut.keys()
+    for i, (pred, score) in whole.items():
+        assert cut[i][1] == pytest.approx(score, rel=1e-12) and cut[i][0] == pred
+
+
+def test_kernels_out_of_reach_are_skipped(spark):
+    """Far places of a group do not meet, and the density is the one of all pairs."""
+    train = _cloud(spark, 2000).union(_cloud(spark, 2000, 8).selectExpr("model_id", "state", "id + 5000", "transform(attrs, x -> x + 1e6 * (id % 9))"))
+    cov = kde.fit_covariance(train, 2)
+    narrow = cov.withColumn("cov", F.transform("cov", lambda c: c * 1e-6))
+    found = {tuple(r.attrs): r.density for r in kde.densities(train, train, narrow, 64).collect()}
+    want = {tuple(r.attrs): r.density for r in kde.densities(train, train, narrow, 10_000).collect()}
+    assert found.keys() == want.keys()
+    for x, value in want.items():
+        assert found[x] == pytest.approx(value, rel=1e-12)
+    known = boxes.pack_cut(kde._whitened(distinct_points(train, kde.STATE), narrow), kde.STATE, 64, "at").cache()
+    nodes = boxes.tree(known, kde.STATE)
+    bound = boxes.descend(known.select(*kde.STATE, "block", "lo", "hi"), nodes, kde.STATE, F.log("weight") - boxes.most_square() / 2, F.lit(True))
+    reached = known.join(bound, [*kde.STATE, "block"]).withColumn("reach2", 2 * (kde.LOST + F.log("n") - F.col("best")))
+    assert boxes.near_pairs(reached, nodes, kde.STATE).count() < known.count() ** 2 / 4

@@ -73,7 +73,27 @@ BASE = base_sql()
 # learned states with their training visits
 STATES = """ st as (select model_id, state, count(*) as visits from train_v group by 1, 2),
  wt as (select *, (visits + 1) / (max(visits) over (partition by model_id) + 1) as weight from st)"""
-# test visits on the host's own model, unknown states become the sink
-OWN = """ rv as (select t.entity, t.trace_id, t.pos, t.row_idx, t.flow_id, t.src_bytes, t.dst_port, t.dst_bytes, m.model_id,
-   coalesce(s.state, 'sink') as state from test_v t join (select distinct model_id from st) m on m.model_id = t.entity
-   left join st s on s.model_id = m.model_id and s.state = t.state)"""
+# every host of the test period, benign or malicious, meets all models of its test set
+ASSIGNED = """ asg as (select e.entity, m.model_id from (select distinct entity from test_v) e join (select distinct model_id from st) m
+   on cast(substr(e.entity, 2) as bigint) // 5 = cast(substr(m.model_id, 2) as bigint) // 5)"""
+# test visits on these models, unknown states become the sink
+ON_MODELS = ASSIGNED + """,
+ rv as (select t.entity, t.trace_id, t.pos, t.row_idx, t.flow_id, t.src_bytes, t.dst_port, t.dst_bytes, a.model_id,
+   coalesce(s.state, 'sink') as state from test_v t join asg a using (entity)
+   left join st s on s.model_id = a.model_id and s.state = t.state)"""
+
+
+def test_set(entity):
+    """Hosts of five neighbouring numbers are one test set: benign and malicious ones together."""
+    return F.floor(F.substring(entity, 2, 20).cast("long") / 5)
+
+
+def set_models(v):
+    """The models of each test set: those learned from its own benign hosts."""
+    return v.select("model_id").distinct().select(test_set("model_id").alias("test_set"), "model_id")
+
+
+def assigned_models(v, test):
+    """Every host of the test period, with or without a model of its own, meets all models of its test set."""
+    entities = test.select("entity").distinct().select("entity", test_set("entity").alias("test_set"))
+    return M.assign_models(entities, set_models(v))

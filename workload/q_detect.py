@@ -1,4 +1,4 @@
-"""Detectors on the host's own model."""
+"""Detectors on the models of each host's test set."""
 
 from pyspark.sql import functions as F
 
@@ -6,21 +6,19 @@ from flowloom.operators import discretise, machine as M
 from flowloom.operators.detectors import forest, kde, lof, stats
 
 from .catalog import flows, query
-from .profile import ATTRS, BASE, OWN, STATES, tested, trained
+from .profile import ATTRS, BASE, ON_MODELS, STATES, assigned_models, tested, trained
 
 KEYS = ["model_id", "entity", "trace_id", "pos", "state"]
 
 
-def own_visits(spark, sf, attrs=ATTRS):
-    """Limits, training visits, test visits on the own model, states."""
+def visits_on_models(spark, sf, attrs=ATTRS):
+    """Training visits, and the test visits of every host on all models of its test set."""
     limits, v = trained(spark, sf, attrs)
-    states = M.learn_state_model(v, limits).states
-    known = v.select("model_id").distinct()
-    replayed = M.replay_context(tested(spark, sf, limits, attrs), states).join(known, "model_id", "left_semi")
-    return limits, v, replayed, states
+    test = tested(spark, sf, limits, attrs)
+    return limits, v, M.replay_context(test, M.learn_state_model(v, limits).states, assigned_models(v, test))
 
 
-RUN = BASE + "," + STATES + "," + OWN
+RUN = BASE + "," + STATES + "," + ON_MODELS
 FIT = """ ft as (select model_id, state, count(*) as n, avg(src_bytes) as m0, avg(dst_port) as m1, stddev_pop(src_bytes) as s0,
   stddev_pop(dst_port) as s1, avg(dst_bytes) as m2, stddev_pop(dst_bytes) as s2 from train_v group by 1, 2 having count(*) > 2)"""
 HIT = {
@@ -49,7 +47,7 @@ def _baseline(rule):
     def run(spark, sf):
         # two attributes can't tell a majority from all
         attrs = [*ATTRS, "dst_bytes"] if rule == "majority" else ATTRS
-        _, v, test, _ = own_visits(spark, sf, attrs)
+        _, v, test = visits_on_models(spark, sf, attrs)
         return stats.score_stats(test, stats.fit_stats(v, len(attrs)), rule=rule).select(*KEYS, "pred")
 
     return run
@@ -93,7 +91,7 @@ select model_id, entity, trace_id, pos, state, round(score, 9) as score,
  case when score is null then 1 when score < low + (high - low) / 1000000 then 1 else 0 end as pred from z""")
 def quantile_detector(spark, sf):
     attrs = ["src_bytes", "dst_bytes"]
-    limits, v, test, _ = own_visits(spark, sf, attrs)
+    limits, v, test = visits_on_models(spark, sf, attrs)
     priors = stats.pack_priors(M.bin_priors(M.state_bins(v, limits)), attrs)
     scored = stats.score_quantiles(test, stats.fit_state_quantiles(v, 2), priors)
     return scored.select(*KEYS, F.round("score", 9).alias("score"), "pred")
@@ -105,7 +103,7 @@ select model_id, entity, trace_id, pos, r.state,
  round(case when n is null then dst_port else (dst_port - q1[2]) / (case when q1[3] = q1[1] then 1 else q1[3] - q1[1] end) end, 6) as x1
 from rv r left join qf using (model_id, state)""")
 def robust_scaling(spark, sf):
-    _, v, test, _ = own_visits(spark, sf)
+    _, v, test = visits_on_models(spark, sf)
     scaled = stats.robust_scale(test, stats.fit_scaler(v, 2))
     return scaled.select(*KEYS, *[F.round(F.col("attrs")[i], 6).alias(f"x{i}") for i in range(2)])
 
@@ -150,7 +148,7 @@ select model_id, entity, trace_id, pos, r.state, case when lof is null then 1 wh
  case when lof > 1e6 then 1e6 else round(lof, 6) end as score
 from rv r left join lf using (model_id, state, src_bytes, dst_port)""")
 def state_lof(spark, sf):
-    _, v, test, _ = own_visits(spark, sf)
+    _, v, test = visits_on_models(spark, sf)
     scored = lof.score_lof(test, lof.fit_lof(v))
     # duplicates make densities of 1e10, whose last digits differ by summation order
     score = F.when(F.col("score") > 1e6, 1e6).otherwise(F.round("score", 6))
@@ -176,14 +174,14 @@ select model_id, entity, trace_id, pos, r.state, round(dens, 9) as score,
  case when dens is null then 1 when dens < lim then 1 else 0 end as pred
 from rv r left join kq using (model_id, state, src_bytes, dst_port) left join kl using (model_id, state)""")
 def state_kde(spark, sf):
-    _, v, test, _ = own_visits(spark, sf)
+    _, v, test = visits_on_models(spark, sf)
     scored = kde.score_kde(test, v, kde.fit_kde(v, 2))
     return scored.select(*KEYS, F.round("score", 9).alias("score"), "pred")
 
 
 @query("state_forest")
 def state_forest(spark, sf):
-    _, v, test, _ = own_visits(spark, sf)
+    _, v, test = visits_on_models(spark, sf)
     nodes = forest.fit_forest(v, 2, ["entity", "trace_id", "pos"])
     return forest.score_forest(test, nodes).select(*KEYS, F.round("score", 6).alias("score"), "pred")
 

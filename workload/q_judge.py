@@ -7,9 +7,8 @@ from flowloom.operators import entities as E, evaluate as K, explore as X, machi
 from flowloom.operators.detectors import lof, stats
 
 from .catalog import query
-from .profile import ATTRS, test_flows, tested, trained
+from .profile import ASSIGNED, ATTRS, assigned_models, test_flows, tested, trained
 from .q_detect import FIT, RUN, scored_sql
-from .q_machine import ASSIGNED, assigned_models
 
 TEST_SET, METHOD = "january", "baseline multivariate"
 PRED = RUN + "," + FIT + "," + scored_sql() + """,
@@ -24,14 +23,6 @@ CONF = """,
    coalesce(detailed_label, dst_ip, '') as key, count(*) filter (label = 1 and p = 1) as tp, count(*) filter (label <> 1 and p <> 1) as tn,
    count(*) filter (label <> 1 and p = 1) as fp, count(*) filter (label = 1 and p <> 1) as fn
   from lp_ group by grouping sets ((entity, model_id), (entity, model_id, detailed_label), (entity, model_id, dst_ip)))"""
-# every host of the test period on the models of its test set: the same steps over the assigned pairs
-MANY = RUN.rsplit(" rv as (", 1)[0].rstrip().rstrip(",") + "," + ASSIGNED + """,
- rv as (select t.entity, t.trace_id, t.pos, t.row_idx, t.flow_id, t.src_bytes, t.dst_port, a.model_id, coalesce(s.state, 'sink') as state
-  from test_v t join asg a using (entity) left join st s on s.model_id = a.model_id and s.state = t.state)"""
-MANY_PRED = PRED.replace(RUN, MANY)
-MANY_CONF = MANY_PRED + CONF
-
-
 def scored_visits(spark, sf):
     """Scored visits of all hosts on the models of their test sets, with the model states."""
     limits, v = trained(spark, sf)
@@ -52,25 +43,25 @@ def many_confusion(spark, sf) -> DataFrame:
     return K.confusion(labelled, TEST_SET, METHOD)
 
 
-@query("merge_predictions", MANY_PRED + " select model_id, entity, row_idx, round(pred, 6) as pred from mp")
+@query("merge_predictions", PRED + " select model_id, entity, row_idx, round(pred, 6) as pred from mp")
 def merge_predictions(spark, sf):
     return merged(spark, sf).withColumn("pred", F.round("pred", 6))
 
 
-@query("merge_predictions_median", MANY + "," + FIT + "," + scored_sql() + """
+@query("merge_predictions_median", RUN + "," + FIT + "," + scored_sql() + """
 select model_id, entity, row_idx, cast(median(pred) as double) as pred from sc group by 1, 2, 3""")
 def merge_predictions_median(spark, sf):
     return K.merge_predictions(scored_visits(spark, sf)[0])
 
 
-@query("label_predictions", MANY_PRED + CONF.split(" cf as")[0].rstrip().rstrip(",") + """
+@query("label_predictions", PRED + CONF.split(" cf as")[0].rstrip().rstrip(",") + """
 select model_id, entity, row_idx, label, detailed_label, dst_ip, p as pred from lp_""")
 def label_predictions(spark, sf):
     joined = K.label_predictions(merged(spark, sf), E.index_flows(test_flows(spark, sf)))
     return joined.select("model_id", "entity", "row_idx", "label", "detailed_label", "dst_ip", F.bround("pred").cast("int").alias("pred"))
 
 
-@query("confusion", MANY_CONF + f"""
+@query("confusion", PRED + CONF + f"""
 select '{TEST_SET}' as test_set, entity, model_id, '{METHOD}' as method, level, key, tp, tn, fp, fn from cf""")
 def confusion(spark, sf):
     return many_confusion(spark, sf)
@@ -84,12 +75,12 @@ def rounded_metrics(df):
     return df.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall")})
 
 
-@query("metrics", MANY_CONF + f" select entity, model_id, level, key, tp, tn, fp, fn, {_METRICS} from cf")
+@query("metrics", PRED + CONF + f" select entity, model_id, level, key, tp, tn, fp, fn, {_METRICS} from cf")
 def metrics(spark, sf):
     return rounded_metrics(K.with_metrics(many_confusion(spark, sf))).drop("test_set", "method")
 
 
-@query("model_totals", MANY_CONF + f"""
+@query("model_totals", PRED + CONF + f"""
 select '{TEST_SET}' as test_set, model_id, '{METHOD}' as method, cast(sum(tp) as bigint) as tp, cast(sum(tn) as bigint) as tn,
  cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from cf where level = 'total' group by model_id""")
 def model_totals(spark, sf):
@@ -100,7 +91,7 @@ _ORDER = """, o as (select model_id, row_number() over (order by model_id) as mo
  stop as (select entity, min(model_ord) as stop from cf join o using (model_id) where level = 'total' and (tn + fn) / (tp + tn + fp + fn) > 0.15 group by 1)"""
 
 
-@query("first_match", MANY_CONF + _ORDER + """
+@query("first_match", PRED + CONF + _ORDER + """
 select entity, model_id, level, key, tp, tn, fp, fn, model_ord from cf join o using (model_id) left join stop using (entity)
 where stop is null or model_ord <= stop""")
 def first_match(spark, sf):
@@ -118,12 +109,12 @@ _SCORES = """, ph as (select entity, model_id, tp, tn, fp, fn from cf where leve
   where c.level = 'dst_ip' and c.tp + c.tn + c.fp + c.fn >= 2 group by 2, 3)"""
 
 
-@query("validation_scores", MANY_CONF + _SCORES + f" select level, '{METHOD}' as method, entity, key, round(threshold, 6) as threshold from vs")
+@query("validation_scores", PRED + CONF + _SCORES + f" select level, '{METHOD}' as method, entity, key, round(threshold, 6) as threshold from vs")
 def validation_scores(spark, sf):
     return K.validation_scores(many_confusion(spark, sf), 10, 2).withColumn("threshold", F.round("threshold", 6))
 
 
-@query("validation_thresholds", MANY_CONF + _SCORES + f"""
+@query("validation_thresholds", PRED + CONF + _SCORES + f"""
 select level, '{METHOD}' as method, round(quantile_cont(threshold, 0.1), 6) as threshold from vs group by 1""")
 def validation_thresholds(spark, sf):
     picked = K.pick_thresholds(K.validation_scores(many_confusion(spark, sf), 10, 2))
@@ -142,7 +133,7 @@ def judged(spark, sf):
     return K.verdicts(many_confusion(spark, sf), fixed)
 
 
-@query("verdicts", MANY_CONF + _VERDICTS + f" select '{TEST_SET}' as test_set, level, '{METHOD}' as method, entity, key, truth, verdict from jd")
+@query("verdicts", PRED + CONF + _VERDICTS + f" select '{TEST_SET}' as test_set, level, '{METHOD}' as method, entity, key, truth, verdict from jd")
 def verdicts(spark, sf):
     return judged(spark, sf)
 
@@ -151,13 +142,13 @@ _JUDGED = """, jc as (select level, count(*) filter (truth = 1 and verdict = 1)
   count(*) filter (truth <> 1 and verdict = 1) as fp, count(*) filter (truth = 1 and verdict <> 1) as fn from jd group by 1)"""
 
 
-@query("verdict_confusion", MANY_CONF + _VERDICTS + _JUDGED + f" select '{TEST_SET}' as test_set, level, '{METHOD}' as method, tp, tn, fp, fn from jc")
+@query("verdict_confusion", PRED + CONF + _VERDICTS + _JUDGED + f" select '{TEST_SET}' as test_set, level, '{METHOD}' as method, tp, tn, fp, fn from jc")
 def verdict_confusion(spark, sf):
     return K.verdict_confusion(judged(spark, sf), ["test_set", "level", "method"])
 
 
 # scenarios: one per destination of the connection
-@query("dataset_totals", MANY_CONF + f""", s as (select key as scenario, sum(tp) as tp, sum(tn) as tn, sum(fp) as fp, sum(fn) as fn
+@query("dataset_totals", PRED + CONF + f""", s as (select key as scenario, sum(tp) as tp, sum(tn) as tn, sum(fp) as fp, sum(fn) as fn
   from cf where level = 'dst_ip' group by 1),
  t as (select * from s union all select 'total', sum(tp), sum(tn), sum(fp), sum(fn) from s)
 select scenario, '{METHOD}' as method, cast(tp as bigint) as tp, cast(tn as bigint) as tn, cast(fp as bigint) as fp, cast(fn as bigint) as fn, {_METRICS} from t""")

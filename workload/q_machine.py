@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import machine as M
 
 from .catalog import query
-from .profile import BASE, OWN, STATES, base_sql, tested, train_flows, trained, visits
+from .profile import ASSIGNED, BASE, ON_MODELS, STATES, assigned_models, base_sql, tested, train_flows, trained, visits
 from .q_scalar import limits_of
 
 
@@ -69,35 +69,14 @@ def state_weights(spark, sf):
     return weights.select("model_id", "state", "visits", F.round("weight", 6).alias("weight"))
 
 
-@query("replay_visits", BASE + "," + STATES + "," + OWN + " select model_id, entity, trace_id, pos, row_idx, flow_id, state from rv")
+@query("replay_visits", BASE + "," + STATES + "," + ON_MODELS + " select model_id, entity, trace_id, pos, row_idx, flow_id, state from rv")
 def replay_visits(spark, sf):
     limits, v = trained(spark, sf)
-    replayed = M.replay_context(tested(spark, sf, limits), M.learn_state_model(v, limits).states)
-    known = v.select("model_id").distinct()
-    return replayed.join(known, "model_id", "left_semi").select(
+    test = tested(spark, sf, limits)
+    return M.replay_context(test, M.learn_state_model(v, limits).states, assigned_models(v, test)).select(
         "model_id", "entity", "trace_id", "pos", "row_idx", "flow_id", "state")
 
 
-def test_set(entity):
-    """Hosts of five neighbouring numbers are one test set: benign and malicious ones together."""
-    return F.floor(F.substring(entity, 2, 20).cast("long") / 5)
-
-
-def set_models(v):
-    """The models of each test set: those learned from its own benign hosts."""
-    return v.select("model_id").distinct().select(test_set("model_id").alias("test_set"), "model_id")
-
-
-def assigned_models(v, test):
-    """Every host of the test period, with or without a model of its own, meets all models of its test set."""
-    entities = test.select("entity").distinct().select("entity", test_set("entity").alias("test_set"))
-    return M.assign_models(entities, set_models(v))
-
-
-ASSIGNED = """ asg as (select e.entity, m.model_id from (select distinct entity from test_v) e join (select distinct model_id from st) m
-   on cast(substr(e.entity, 2) as bigint) // 5 = cast(substr(m.model_id, 2) as bigint) // 5)"""
-
-
 @query("replay_assigned", BASE + "," + STATES + "," + ASSIGNED + """
 select a.model_id, t.entity, t.trace_id, t.pos, t.row_idx, coalesce(s.state, 'sink') as state
 from test_v t join asg a using (entity) left join st s on s.model_id = a.model_id and s.state = t.state""")

@@ -7,8 +7,7 @@ from flowloom.operators.evaluate import entity_labels, symbolic_verdicts
 from flowloom.operators.entities import entity_flows
 
 from .catalog import query
-from .profile import BASE, STATES, test_flows, tested, trained
-from .q_machine import ASSIGNED, assigned_models
+from .profile import ASSIGNED, BASE, STATES, assigned_models, test_flows, tested, trained
 
 EDGES = """ ed as (select model_id, case when state = 'start' then '0' else 's' || state end as src, cast(symbol as varchar) as symbol,
   's' || next_state as dst, count(*) as cnt from train_v group by 1, 2, 3, 4)"""
