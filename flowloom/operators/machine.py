@@ -8,12 +8,16 @@ windows multiply the rows, and replay is an equi join on the state.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalar import mixed_radix_code
+from . import walks
 from .traces import TRACE
 
 START, SINK = "start", "sink"
@@ -222,46 +226,51 @@ def replay_context(trace_visits: DataFrame, states: DataFrame, assignments: Data
     return joined.withColumn("state", F.when(F.col("_known"), F.col("state")).otherwise(F.lit(SINK))).drop("_known")
 
 
-def pack_machines(transitions: DataFrame) -> DataFrame:
-    """One row per imported machine: map from state to its edges."""
-    edges = F.sort_array(F.collect_list(F.struct("dst", "clauses")))
-    per_state = transitions.groupBy("model_id", "src").agg(edges.alias("edges"))
-    machine = F.map_from_entries(F.collect_list(F.struct("src", "edges")))
-    return per_state.groupBy("model_id").agg(machine.alias("machine"))
+ROOT = "root"
 
 
-def fire(machine: Column, state: Column, attrs: Column) -> Column:
-    """Next state: the only successor without a test, the state itself in a sink, else the
-    one edge whose guard holds; NULL if none or several hold."""
-    edges = F.coalesce(F.try_element_at(machine, state), F.array().cast(f"array<struct<dst:string,clauses:{CLAUSES}>>"))
-    open_edges = F.filter(edges, lambda e: guard_holds(e["clauses"], attrs))
-    return (
-        F.when(F.size(edges) == 0, state)
-        .when(F.size(edges) == 1, F.get(edges, F.lit(0))["dst"])
-        .when(F.size(open_edges) == 1, F.get(open_edges, F.lit(0))["dst"])
-    )
+def _guarded(edges: pd.DataFrame, records: pd.DataFrame):
+    """Next states of a machine with guards: the only successor without a test, the state itself in a sink, else the one
+    edge whose guard holds; none if no or several guards hold. The start is the root's first successor."""
+    names = np.array(sorted({*edges["src"], *edges["dst"]}))
+    number = {name: i for i, name in enumerate(names.tolist())}
+    edges = edges.sort_values(["src", "dst"], kind="stable")
+    following = np.tile(np.arange(len(names)), (len(records), 1))
+    attrs = np.stack([np.asarray(a, dtype=float) for a in records["attrs"]])
+    for src, own in edges.groupby("src", sort=False):
+        if len(own) == 1:
+            following[:, number[src]] = number[own["dst"].iloc[0]]
+            continue
+        held = np.zeros(len(records), np.int64)
+        after = np.full(len(records), walks.NONE)
+        for dst, clauses in zip(own["dst"], own["clauses"]):
+            holds = np.zeros(len(records), bool)
+            for clause in json.loads(clauses or "[]"):
+                met = np.ones(len(records), bool)
+                for c in clause:
+                    met &= _COMPARE[c["op"]](attrs[:, c["attr"]], c["bound"]) if 0 <= c["attr"] < attrs.shape[1] else False
+                holds |= met
+            after[holds] = number[dst]
+            held += holds
+        following[:, number[src]] = np.where(held == 1, after, walks.NONE)
+    starts = edges.loc[edges["src"] == ROOT, "dst"]
+    return names, number[starts.iloc[0]] if len(starts) else walks.NONE, following
+
+
+_COMPARE = {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal, "==": np.equal, "=": np.equal}
 
 
-def replay_machines(traces: DataFrame, transitions: DataFrame) -> DataFrame:
-    """Visits of packed traces ``(entity, trace_id, model_id, records)`` on imported machines.
+def replay_machines(records: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Visits of ``records(model_id, entity, trace_id, pos, attrs, ...)`` on imported machines, in chunks of any trace.
 
     A record is credited to the state in which it is read. ``state`` is NULL from
     the record on at which no single transition was possible; those rows are the
-    replay errors. Records are structs with ``pos`` and ``attrs``.
+    replay errors. Traces packed into arrays ``records`` are taken apart first.
     """
-    joined = traces.join(pack_machines(transitions), "model_id")
-    root = F.get(F.try_element_at("machine", F.lit("root")), F.lit(0))["dst"]
-
-    def step(seen, record):
-        here = F.element_at(seen, -1)
-        after = F.when(here.isNotNull(), fire(F.col("machine"), here, record["attrs"]))
-        return F.concat(seen, F.array(after))
-
-    path = F.aggregate("records", F.array(root).cast("array<string>"), step)
-    walked = joined.withColumn("_path", path)
-    zipped = F.arrays_zip(F.col("records").alias("record"), F.slice("_path", 1, F.size("records")).alias("state"))
-    rows = walked.select("model_id", *TRACE, F.explode(zipped).alias("_v"))
-    return rows.select("model_id", *TRACE, "_v.record.*", "_v.state")
+    if "records" in records.columns:
+        records = records.select("model_id", *TRACE, F.explode("records").alias("_r")).select("model_id", *TRACE, "_r.*")
+    # nested arrays of different lengths travel as text
+    return walks.run(records, transitions.select("model_id", "src", "dst", F.to_json("clauses").alias("clauses")), _guarded, False)
 
 
 def replay_errors(visits: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import walks
 from .traces import TRACE
 
 START = "0"
@@ -31,47 +34,47 @@ def edges_from_context(transitions: DataFrame) -> DataFrame:
     )
 
 
-def pack_symbols(trace_flows: DataFrame) -> DataFrame:
-    record = F.struct("pos", F.col("symbol").cast("string").alias("symbol"))
-    packed = trace_flows.groupBy(*TRACE).agg(F.sort_array(F.collect_list(record)).alias("_r"))
-    return packed.select(*TRACE, F.col("_r.symbol").alias("symbols"))
+def symbol_records(traces: DataFrame) -> DataFrame:
+    """``(model_id, entity, trace_id, pos, symbol)``; arrays ``symbols`` are taken apart, an empty trace is one row without ``pos``."""
+    if "symbols" in traces.columns:
+        return traces.select("model_id", *TRACE, F.posexplode_outer("symbols").alias("pos", "symbol")).withColumn("pos", F.col("pos").cast("long"))
+    return traces.select("model_id", *TRACE, F.col("pos").cast("long").alias("pos"), F.col("symbol").cast("string").alias("symbol"))
 
 
-def walk(traces: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds ``path``: the states after each symbol, ending at the first missing symbol.
+def _by_symbol(edges: pd.DataFrame, records: pd.DataFrame):
+    """Next states of a machine whose edges are symbols."""
+    names = np.array(sorted({START, *edges["src"], *edges["dst"]}))
+    symbols = np.array(sorted({*edges["symbol"]}))
+    table = np.full((len(symbols) + 1, len(names)), walks.NONE)
+    at = [np.searchsorted(list_, edges[c].to_numpy(dtype=str)) for list_, c in ((symbols, "symbol"), (names, "src"), (names, "dst"))]
+    table[at[0], at[1]] = at[2]
+    given = records["symbol"].fillna("").to_numpy(dtype=str)
+    place = np.minimum(np.searchsorted(symbols, given), len(symbols) - 1)
+    known = (symbols[place] == given) & records["symbol"].notna().to_numpy()
+    return names, int(np.searchsorted(names, START)), table[np.where(known, place, len(symbols))]
 
-    ``traces`` holds ``model_id`` and ``symbols``. A state without edges rejects.
-    """
-    step = F.struct(F.struct("src", "symbol"), F.col("dst"))
-    packed = edges.groupBy("model_id").agg(F.map_from_entries(F.collect_list(step)).alias("_machine"))
-    joined = traces.join(packed, "model_id")
 
-    def follow(acc, symbol):
-        last = F.try_element_at(acc, F.lit(-1))
-        at = F.coalesce(last, F.lit(START))
-        after = F.try_element_at(F.col("_machine"), F.struct(at.alias("src"), symbol.alias("symbol")))
-        stopped = (F.size(acc) > 0) & last.isNull()
-        return F.when(stopped, acc).otherwise(F.concat(acc, F.array(after)))
+def walk(traces: DataFrame, edges: DataFrame) -> DataFrame:
+    """The records of ``traces`` with ``state``: the one behind each symbol, null from the first missing symbol on.
 
-    path = F.aggregate("symbols", F.array().cast("array<string>"), follow)
-    return joined.withColumn("path", path).drop("_machine")
+    A state without edges rejects. Traces run in chunks, so they may have any length.
+    """
+    return walks.run(symbol_records(traces), edges.select("model_id", "src", "symbol", "dst"), _by_symbol, True)
 
 
 def acceptance(traces: DataFrame, edges: DataFrame) -> DataFrame:
     """Share of accepted traces per entity and model."""
-    walked = walk(traces, edges)
-    accepted = ~F.exists("path", lambda s: s.isNull())
-    return walked.groupBy("model_id", "entity").agg(
+    walked = walk(traces, edges).groupBy("model_id", *TRACE).agg(F.count_if(F.col("state").isNull()).alias("_missed"))
+    every = symbol_records(traces).select("model_id", *TRACE).distinct().join(edges.select("model_id").distinct(), "model_id", "left_semi")
+    accepted = F.coalesce("_missed", F.lit(0)) == 0
+    return every.join(walked, ["model_id", *TRACE], "left").groupBy("model_id", "entity").agg(
         F.count(F.lit(1)).alias("n_traces"), F.avg(accepted.cast("int")).alias("accepted")
     )
 
 
 def pattern_counts(traces: DataFrame, edges: DataFrame) -> DataFrame:
     """Occurrences of each (state after the step, symbol), up to the first missing symbol."""
-    walked = walk(traces, edges)
-    steps = F.arrays_zip(F.col("path").alias("state"), F.slice("symbols", 1, F.size("path")).alias("symbol"))
-    rows = walked.select("model_id", "entity", F.explode(steps).alias("_s")).select("model_id", "entity", "_s.*")
-    return rows.filter(F.col("state").isNotNull()).groupBy("model_id", "entity", "state", "symbol").agg(
+    return walk(traces, edges).filter(F.col("state").isNotNull()).groupBy("model_id", "entity", "state", "symbol").agg(
         F.count(F.lit(1)).alias("n")
     )
 

@@ -102,13 +102,11 @@ def guard_holds(spark, sf):
 @query("replay_machines", BASE + """
 select model_id, entity, trace_id, pos, row_idx, state from train_v""")
 def replay_machines(spark, sf):
-    """Training traces folded over the learned machine in its guarded form."""
-    from flowloom.operators.traces import pack_traces
-
+    """Training traces run over the learned machine in its guarded form."""
     limits, v = trained(spark, sf, ["protocol_num", "src_bytes", "dst_bytes"])
     edges = M.with_guards(M.learn_state_model(v, limits).transitions, limits).select("model_id", "src", "dst", "clauses")
     root = v.select("model_id").distinct().select(
         "model_id", F.lit("root").alias("src"), F.lit("start").alias("dst"), F.array().cast(M.CLAUSES).alias("clauses"))
-    packed = pack_traces(v, ["row_idx", "attrs"]).withColumn("model_id", F.col("entity"))
-    replayed = M.replay_machines(packed, edges.unionByName(root))
+    records = v.select("model_id", "entity", "trace_id", "pos", "row_idx", "attrs")
+    replayed = M.replay_machines(records, edges.unionByName(root))
     return replayed.select("model_id", "entity", "trace_id", "pos", "row_idx", "state")

@@ -22,8 +22,7 @@ def machines(spark, sf):
     limits, v = trained(spark, sf)
     edges = Y.edges_from_context(M.learn_state_model(v, limits).transitions)
     test = tested(spark, sf, limits)
-    own = Y.pack_symbols(v).withColumn("model_id", F.col("entity"))
-    return edges, own, Y.pack_symbols(test).join(assigned_models(v, test), "entity")
+    return edges, v, test.join(assigned_models(v, test).select("entity", "model_id"), "entity")
 
 
 @query("laplace_probs", BASE + "," + EDGES + """
