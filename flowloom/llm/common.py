@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.session import ship, scratch_folder
@@ -39,10 +41,22 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _tidy(fn):
+    """A task that hands free memory back at its end: the worker process goes on to other tasks, whose needs are other ones."""
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # the system's library has no such call
+            pass
+    return run
+
+
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_tidy(fn), schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
