@@ -306,7 +306,9 @@ def _descend(leaves: DataFrame, percent: int) -> DataFrame:
         written.append(pairs)
     left = blocks.select("root", F.col("node").alias("x"), *(F.col(c).alias("x_" + c) for c in held))
     right = blocks.select("root", F.col("node").alias("y"), *(F.col(c).alias("y_" + c) for c in held))
-    met = pairs.join(left, ["root", "x"]).join(right, ["root", "y"]).select(*("x_" + c for c in held), *("y_" + c for c in held))
+    # both sides meet by the pair of nodes, so the nodes of a crowded root are dealt to all tasks
+    met = pairs.join(left, ["root", "x"]).join(pairs.join(right, ["root", "y"]), ["root", "x", "y"])
+    met = met.select(*("x_" + c for c in held), *("y_" + c for c in held))
     found = stored(mapped(met, _leaf_pairs(percent), "a long, b long").union(alone).distinct())
     discard(*written)
     return found
