@@ -1,7 +1,7 @@
 """Target-distribution importance resampling with an Aho-Corasick dictionary of words.
 
-*Dictionary.* Words of documents and target texts are counted in Spark. The ``dictionary_words`` most frequent ones of at most
-``MAX_BYTES`` bytes go into an automaton, each between two delimiters and with its CRC-32 and length as payload, so the dictionary's
+*Dictionary.* Words of documents and target texts are counted in Spark. The most frequent ones, at most ``dictionary_words`` of at most
+``MAX_BYTES`` bytes, go into an automaton, each between two delimiters and with its CRC-32 and length as payload, so the dictionary's
 size has a fixed bound. Texts are folded first: ASCII letters to lower case, every other ASCII sign that isn't a digit to one delimiter.
 A scan then gives the payload of each whole word; words the dictionary lacks get theirs from their own bytes, so every word counts.
 
@@ -146,9 +146,21 @@ def _words(batches):
 
 
 def frequent_words(texts: DataFrame, most: int) -> list[bytes]:
-    """The ``most`` frequent words of ``texts(text)``, at most ``MAX_BYTES`` bytes each: a bounded list."""
-    counted = mapped(texts, _words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    """The frequent words of ``texts(text)``, at most ``most`` of at most ``MAX_BYTES`` bytes each.
+
+    Words are counted by steps of their count; the lowest step down to which no more than ``most`` words lie sets the least count, so
+    only the words that are kept reach the driver.
+    """
+    counted = stored(mapped(texts, _words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    step = F.floor(8 * F.log2("n")).cast("int")
+    steps = counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()  # at most 8 rows for each doubling
+    least, held = None, 0
+    for s, words_of in sorted(((r["step"], r["words"]) for r in steps), reverse=True):
+        held += words_of
+        if held > most:
+            break
+        least = s
+    return [] if least is None else [bytes(r["word"]) for r in counted.where(step >= least).select("word").collect()]
 
 
 def _counts(known, buckets: int):
