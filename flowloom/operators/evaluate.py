@@ -7,9 +7,12 @@ tn, fp, fn)`` is the one result format; ``level`` is ``total``, ``label`` or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..session import freeze
 
 PAIR = ["test_set", "entity", "model_id", "method"]
 COUNTS = ["tp", "tn", "fp", "fn"]
@@ -107,6 +110,34 @@ def first_match(conf: DataFrame, model_order: DataFrame, share: float = 0.15) ->
     return joined.filter(F.col("_stop").isNull() | (F.col("model_ord") <= F.col("_stop"))).drop("_stop")
 
 
+def match_in_batches(
+    assignments: DataFrame, model_order: DataFrame, judge: Callable[[DataFrame], DataFrame], share: float = 0.15,
+    first: int = 1,
+) -> DataFrame:
+    """The rows of ``first_match``, without replaying and scoring the models behind a match.
+
+    ``assignments`` is ``(entity, model_id)``; ``judge`` gives the confusion table of some of its rows. Each entity's
+    models are tried in ``model_order``, ``first`` of them at first and twice as many in each next round; entities that
+    have matched leave the next rounds. An entity that matches at place r is judged on fewer than ``first + 2 * r`` models,
+    and n models take about log2(n) rounds. Without assignments the result is the empty table of ``judge``.
+    """
+    place = F.row_number().over(Window.partitionBy("entity").orderBy("model_ord", "model_id"))
+    ranked = assignments.select("entity", "model_id").distinct().join(model_order, "model_id")
+    waiting = freeze(ranked.select("entity", "model_id", place.alias("_place")))
+    last = waiting.agg(F.max("_place")).first()[0] or 0
+    done, width, found = 0, first, None
+    while found is None or done < last:
+        batch = waiting.filter(F.col("_place") <= done + width).select("entity", "model_id")
+        judged = freeze(judge(batch))  # read by the result and by the next rounds
+        found = judged if found is None else found.unionByName(judged)
+        matched = judged.filter((F.col("level") == "total") & (benign_share() > share)).select("entity").distinct()
+        done, width = done + width, 2 * width
+        waiting = freeze(waiting.filter(F.col("_place") > done).join(matched, "entity", "left_anti"))
+        if waiting.isEmpty():
+            break
+    return first_match(found, model_order, share)
+
+
 def _big_enough(conf: DataFrame, level: str, min_flows: int | None) -> DataFrame:
     rows = conf.filter(F.col("level") == level)
     return rows if min_flows is None else rows.filter(_flows() >= min_flows)

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scan import OrderedScan
 from ..operators import dynamic, evaluate as K, machine as M, traces as T
 from ..operators.detectors import forest, kde, lof, stats
 from ..operators.entities import LEVEL_KEYS, index_flows, keep_entities, select_connections, select_hosts
@@ -141,13 +142,27 @@ def score(profiles: Profiles, replayed: DataFrame) -> DataFrame:
 
 
 def test(
-    spark: SparkSession, profiles: Profiles, flows: DataFrame, assignments: DataFrame, path: str, test_set: str
+    spark: SparkSession, profiles: Profiles, flows: DataFrame, assignments: DataFrame, path: str, test_set: str,
+    stop_share: float | None = None,
 ) -> DataFrame:
-    """Confusion table of the ``flows`` on the models of ``assignments(entity, model_id)``."""
+    """Confusion table of the ``flows`` on the models of ``assignments(entity, model_id)``.
+
+    With ``stop_share`` the models of an entity are tried in order of their ids, until one finds a larger benign share;
+    those behind it are neither replayed nor scored, and ``model_ord`` tells the order.
+    """
     settings = profiles.settings
     records = trace_records(flows, M.read_limits(profiles.limits), settings)
     records = _kept(spark, records, f"{path}/records")
-    replayed = M.replay_context(records, profiles.states, assignments)
-    merged = K.merge_predictions(score(profiles, replayed), profiles.states)
-    labelled = K.label_predictions(merged, index_flows(flows, settings.level, settings.both_directions))
-    return K.confusion(labelled, test_set, settings.method, settings.level == "host")
+    truth = index_flows(flows, settings.level, settings.both_directions)
+
+    def judge(tried: DataFrame) -> DataFrame:
+        replayed = M.replay_context(records, profiles.states, tried)
+        merged = K.merge_predictions(score(profiles, replayed), profiles.states)
+        return K.confusion(K.label_predictions(merged, truth), test_set, settings.method, settings.level == "host")
+
+    if stop_share is None:
+        return judge(assignments)
+    truth = _kept(spark, truth.select("entity", "row_idx", "label", "detailed_label", "dst_ip"), f"{path}/truth")
+    models = OrderedScan(assignments.select("model_id").distinct(), [], ["model_id"]).index("model_ord").result()
+    models = models.withColumn("model_ord", F.col("model_ord") + 1)
+    return K.match_in_batches(assignments, freeze(models), judge, stop_share)

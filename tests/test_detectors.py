@@ -121,15 +121,6 @@ def test_dissimilarity_modes(spark):
     assert abs(score(multivariate=False) - 0.25) < 1e-12
 
 
-def test_elbow(spark):
-    rows = [(float(c + d),) for c in (0, 100, 200) for d in range(10)]
-    df = spark.createDataFrame(rows, "v double")
-    costs = discretise.elbow(df, "v", 6)
-    got = {r.k: r.cost for r in costs.collect()}
-    assert abs(got[1] - np.var([r[0] for r in rows]) * 30) < 1e-6 and got[3] < got[2] < got[1]
-    assert discretise.knee(costs) in (2, 3)
-
-
 def test_outcomes_add_up_and_undefined_metrics(spark):
     rows = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 1), (0, 0)], "truth int, verdict int")
     counts = K.with_metrics(K.verdict_confusion(rows, [])).first()

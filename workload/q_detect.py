@@ -1,6 +1,6 @@
 """Detectors on the models of each host's test set."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from flowloom.operators import discretise, machine as M
 from flowloom.operators.detectors import forest, kde, lof, stats
@@ -188,9 +188,37 @@ def state_forest(spark, sf):
 
 # ---- bins ----
 
-@query("elbow_costs")
+_NEXT = """d{k} as materialized (select p.j, p.w, p.l, p.q,
+  min(d.c + greatest(p.q - d.q - (p.l - d.l) * (p.l - d.l) / (p.w - d.w), 0)) as c
+  from p join d{j} d on d.j < p.j group by p.j, p.w, p.l, p.q union all select j, w, l, q, 0 from p where j = 0)"""
+_ELBOW = """with h as materialized (select cast(src_bytes as double) as v, count(*) as n from flows group by 1),
+ m as materialized (select sum(v * n) / sum(n) as mean from h),
+ p as materialized (select row_number() over (order by v) - 1 as j, sum(n) over (order by v) as w, sum(n * (v - mean)) over (order by v) as l,
+  sum(n * (v - mean) * (v - mean)) over (order by v) as q from h, m),
+ d1 as materialized (select *, q - l * l / w as c from p), """ + ", ".join(_NEXT.format(k=k, j=k - 1) for k in range(2, 11)) + """,
+ ec as materialized (""" + " union all ".join(f"select {k} as k, c from d{k} where j = (select max(j) from p)" for k in range(1, 11)) + """),
+ es as materialized (select k, c / (select c from ec where k = 1) as share from ec)"""
+
+
+@query("elbow_costs", _ELBOW + " select k, round(share, 9) as cost_share from es")
 def elbow_costs(spark, sf):
-    return discretise.elbow(flows(spark, sf), "src_bytes")
+    """Costs as shares of the cost of one cluster."""
+    costs = discretise.elbow(flows(spark, sf), "src_bytes")
+    one = F.max("cost").over(Window.partitionBy(F.lit(0)))  # ten rows; a single cluster costs most
+    return costs.select("k", F.round(F.col("cost") / one, 9).alias("cost_share"))
+
+
+@query("elbow_limits", _ELBOW + """,
+ kn as materialized (select arg_max(k, gap) as k from (select k, 1 + ((select share from es where k = 10) - 1) * (k - 1) / 9 - share as gap from es)),
+ ranked as materialized (select src_bytes as v, row_number() over (order by src_bytes) - 1 as j, count(*) over () as n from flows),
+ asked as (select unnest(range(1, k)) as i, k from kn),
+ spot as (select i, (n - 1) * (i / k) as x from asked, (select max(n) as n from ranked))
+select 'src_bytes' as feature, i as place, round(lo.v + (hi.v - lo.v) * (x - floor(x)), 6) as bound
+from spot join ranked lo on lo.j = cast(floor(x) as bigint) join ranked hi on hi.j = cast(ceil(x) as bigint)""")
+def elbow_limits(spark, sf):
+    """As many bins as the knee of the costs says."""
+    rows = discretise.elbow_limits(flows(spark, sf), "src_bytes").select("feature", F.posexplode("limits").alias("at", "v"))
+    return rows.select("feature", (F.col("at") + 1).cast("long").alias("place"), F.round("v", 6).alias("bound"))
 
 
 @query("percentile_limits", """

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from flowloom.functions.scan import OrderedScan
 from flowloom.operators import entities as E, evaluate as K, explore as X, machine as M
 from flowloom.operators.detectors import lof, stats
+from flowloom.session import freeze
 
 from .catalog import query
 from .profile import ASSIGNED, ATTRS, assigned_models, test_flows, tested, trained
@@ -91,16 +92,28 @@ _ORDER = """, o as (select model_id, row_number() over (order by model_id) as mo
  stop as (select entity, min(model_ord) as stop from cf join o using (model_id) where level = 'total' and (tn + fn) / (tp + tn + fp + fn) > 0.15 group by 1)"""
 
 
-@query("first_match", PRED + CONF + _ORDER + """
+# what several parts read is computed once
+_ONCE = (PRED + CONF).replace(" st as (", " st as materialized (").replace(" cf as (", " cf as materialized (").replace(" mp as (", " mp as materialized (")
+
+
+@query("first_match", _ONCE + _ORDER + """
 select entity, model_id, level, key, tp, tn, fp, fn, model_ord from cf join o using (model_id) left join stop using (entity)
 where stop is null or model_ord <= stop""")
 def first_match(spark, sf):
-    scored, states, v = scored_visits(spark, sf)  # trained once
-    predicted = K.merge_predictions(scored, M.state_weights(states))
-    conf = K.confusion(K.label_predictions(predicted, E.index_flows(test_flows(spark, sf))), TEST_SET, METHOD)
+    """Hosts leave as soon as a model of their test set matches; the models behind it aren't replayed."""
+    limits, v = trained(spark, sf)
+    states = freeze(M.state_weights(M.learn_state_model(v, limits).states))
+    fit = freeze(stats.fit_stats(v, len(ATTRS)))
+    test = tested(spark, sf, limits)
+    truth = freeze(E.index_flows(test_flows(spark, sf)))
+
+    def judge(batch):
+        scored = stats.score_stats(M.replay_context(test, states, batch), fit)
+        return K.confusion(K.label_predictions(K.merge_predictions(scored, states), truth), TEST_SET, METHOD)
+
     models = v.select("model_id").distinct()
     order = OrderedScan(models, [], ["model_id"]).index("model_ord").result().withColumn("model_ord", F.col("model_ord") + 1)
-    return K.first_match(conf, order).drop("test_set", "method")
+    return K.match_in_batches(assigned_models(v, test), freeze(order), judge).drop("test_set", "method")
 
 
 _SCORES = """, ph as (select entity, model_id, tp, tn, fp, fn from cf where level = 'total' and tp + tn + fp + fn >= 10 and tp + fn < tn + fp),
