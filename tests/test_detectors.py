@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import discretise, evaluate as K, machine as M
+from flowloom.operators import evaluate as K, machine as M
 from flowloom.operators.detectors import forest, kde, lof, stats
 from flowloom.operators.similarity import trace_dissimilarity, warping_distance
 

@@ -6,7 +6,7 @@ from flowloom.functions.scan import OrderedScan
 from flowloom.operators import dynamic, features as R, traces as T
 from flowloom.operators.entities import entity_flows, index_flows
 from flowloom.session import freeze
-from flowloom.operators.similarity import trace_dissimilarity
+from flowloom.operators.similarity import similar_traces, trace_dissimilarity
 from flowloom.sources import traces as text
 
 from .catalog import DAY_US, LINEITEM_ORDER, flows, lineitem_flows, query
@@ -254,12 +254,36 @@ def symbolic_round_trip(spark, sf):
     return text.parse_lines(text.trace_lines(count_traces(spark, sf), ["dst_port"], symbolic=True), symbolic=True)
 
 
-@query("trace_dissimilarity")
-def dissimilarity(spark, sf):
-    """Each trace against the one before it of the same host."""
+_SPAN = "case when hi[{k}] = lo[{k}] then 1 else hi[{k}] - lo[{k}] end"
+_APART = " + ".join(f"power((u[{k}] - v[{k}]) / sp[{k}], 2)" for k in (1, 2, 3))
+WARPED = f"""with {IDX},{CW},
+ tr as materialized (select entity, trace_id, list([{", ".join(f"cast({c} as double)" for c in _COLUMNS)}] order by pos) as r from cw group by 1, 2),
+ pr as (select a.entity, a.trace_id, a.r as x, b.r as y, list_concat(a.r, b.r) as xy from tr a join tr b on b.entity = a.entity and b.trace_id = a.trace_id - 1),
+ lh as (select *, [{", ".join(f"list_min(list_transform(xy, lambda v: v[{k}]))" for k in (1, 2, 3))}] as lo,
+   [{", ".join(f"list_max(list_transform(xy, lambda v: v[{k}]))" for k in (1, 2, 3))}] as hi from pr),
+ sc as (select entity, trace_id, x, y, [{", ".join(_SPAN.format(k=k) for k in (1, 2, 3))}] as sp from lh),
+ wp as materialized (select entity, trace_id, sqrt(list_reduce(list_transform(x, lambda u: list_transform(y, lambda v: {_APART})),
+   lambda best, c: list_reduce(list_transform(range(1, len(c) + 1), lambda j: [c[j], least(best[j], best[j + 1])]),
+     lambda acc, z: list_append(acc, z[1] + least(z[2], acc[len(acc)])), [cast('inf' as double)]),
+   list_concat([cast(0 as double)], list_transform(y, lambda v: cast('inf' as double))))[len(y) + 1]) as d from sc)"""
+
+
+def neighbour_pairs(spark, sf):
+    """Each trace beside the one before it of the same host."""
     attrs = F.array(*[F.col(c).cast("double") for c in _COLUMNS])
     packed = T.pack_traces(count_traces(spark, sf).withColumn("attrs", attrs), ["attrs"])
     now = packed.select("entity", "trace_id", F.col("records.attrs").alias("left"))
     before = packed.select("entity", (F.col("trace_id") + 1).alias("trace_id"), F.col("records.attrs").alias("right"))
-    scored = trace_dissimilarity(now.join(before, ["entity", "trace_id"]))
+    return now.join(before, ["entity", "trace_id"])
+
+
+@query("trace_dissimilarity", WARPED + " select entity, trace_id, round(d, 6) as dissimilarity from wp")
+def dissimilarity(spark, sf):
+    scored = trace_dissimilarity(neighbour_pairs(spark, sf))
+    return scored.select("entity", "trace_id", F.round("dissimilarity", 6).alias("dissimilarity"))
+
+
+@query("similar_traces", WARPED + " select entity, trace_id, round(d, 6) as dissimilarity from wp where d <= 2.0")
+def near_traces(spark, sf):
+    scored = similar_traces(neighbour_pairs(spark, sf), 2.0)
     return scored.select("entity", "trace_id", F.round("dissimilarity", 6).alias("dissimilarity"))
