@@ -46,7 +46,7 @@ def _maker(path: str):
 
 def lm_scores(docs: DataFrame, path: str, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score) for each row of ``docs(doc_id, text)``."""
-    postings = stored(post(docs, _maker(path), "long"))
+    postings = stored(post(docs, _maker(path)))
     bigrams = (postings.where("total > 0").groupBy("unit").agg(F.sum("total").alias("n"))
                .select("unit", F.shiftright("unit", SHIFT).alias("p"), F.col("unit").bitwiseAND(F.lit(START)).alias("t"), "n"))
     bigrams = stored(bigrams)

@@ -3,7 +3,10 @@
 A block is a run of documents of one scan task with about ``BLOCK_BYTES`` of text. A unit has one row in each block that
 holds it: the documents that hold it as 16-bit numbers and, unless each holds it once, how often as bytes. So a unit that every document holds has as
 many rows as there are blocks, a join on the unit can be split at any row, and no row grows beyond its block. A block also
-has one row of its own, with a unit of its own and total 0: its documents' ids, bytes and numbers of units.
+has one row of its own, with a unit of its own and total 0: its documents' ids, bytes and numbers of units, and their
+sums over units whose weight was known at the scan (a broadcast of bounded size), which have no rows.
+
+Units are 64-bit numbers, those of texts hashes; ``dictionary`` gives their texts.
 """
 
 from __future__ import annotations
@@ -20,34 +23,40 @@ BLOCK_BYTES = 40 << 20
 BLOCK_DOCS = 60_000
 ROWS = 4096  # of an Arrow batch
 HELD = 16 << 20  # sums that a task holds before it hands them on
+HELD_NAMES = 500_000  # distinct units that a task counts before it hands them on
 
 
 class Block:
     """Collects units of documents; ``rows`` gives the packed rows."""
 
     def __init__(self):
-        self.units, self.names, self.docs, self.times, self.about, self.n_bytes, self.n_docs = [], [], [], [], [], 0, 0
-
-    def add(self, ids: pa.Array, data: np.ndarray, bounds: np.ndarray, units: np.ndarray, first: np.ndarray, name):
-        u, at, back = np.unique(units, return_index=True, return_inverse=True)
-        doc = np.repeat(np.arange(len(ids)), np.diff(first))
-        pair, times = np.unique(back * len(ids) + doc, return_counts=True) if len(units) else (np.zeros(0, np.int64),) * 2
+        self.units, self.docs, self.times, self.about, self.n_bytes, self.n_docs = [], [], [], [], 0, 0
+
+    def add(self, ids: pa.Array, bounds: np.ndarray, units: np.ndarray, first: np.ndarray, known):
+        doc, size, sums = np.repeat(np.arange(len(ids)), np.diff(first)), np.diff(first), np.zeros(len(ids), np.int64)
+        u, back = np.unique(units, return_inverse=True)
+        if known is not None and len(known[0]) and len(u):
+            place = np.minimum(np.searchsorted(known[0], u), len(known[0]) - 1)
+            hit = known[0][place] == u
+            total = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(hit, known[1][place], 0)[back])])
+            sums = total[first[1:]] - total[first[:-1]]
+            rest = ~hit[back]
+            doc, back = doc[rest], back[rest]
+        pair, times = np.unique(back * len(ids) + doc, return_counts=True) if len(back) else (np.zeros(0, np.int64),) * 2
         self.units.append(u[pair // max(len(ids), 1)])
         self.docs.append((pair % max(len(ids), 1) + self.n_docs).astype(np.uint16))
         self.times.append(times.astype(np.int32))
-        if name is not None:
-            self.names.append((u, name(at)))
-        self.about.append((ids, np.diff(bounds), np.diff(first)))
+        self.about.append((ids, np.diff(bounds), size, sums))
         self.n_docs += len(ids)
         self.n_bytes += int(bounds[-1])
 
-    def rows(self, block: int, kind: pa.DataType):
+    def rows(self, block: int):
         ids = pa.concat_arrays([x[0] for x in self.about])
         about = np.concatenate([np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()).astype(np.int64),
-                                *(np.concatenate([x[i] for x in self.about]) for i in (1, 2))]).astype("<i8")
-        own = f"\0{block}" if pa.types.is_string(kind) else -1 - block  # no pre-token and no n-gram
-        yield batch(["block", "unit", "total", "posting"],
-                    [pa.array([block], pa.int64()), pa.array([own], kind), pa.array([0], pa.int64()), pa.array([about.tobytes()], pa.binary())])
+                                *(np.concatenate([x[i] for x in self.about]) for i in (1, 2, 3))]).astype("<i8")
+        # a negative number is no unit
+        yield batch(["block", "unit", "total", "posting"], [pa.array([block], pa.int64()), pa.array([-1 - block], pa.int64()), pa.array([0], pa.int64()),
+                                                            pa.array([about.tobytes()], pa.binary())])
         units, docs, times = np.concatenate(self.units), np.concatenate(self.docs), np.concatenate(self.times)
         many = np.maximum(-(-times // 255), 1)  # a document may hold a unit more often than a byte counts
         if (many > 1).any():
@@ -58,20 +67,14 @@ class Block:
         units, docs, times = units[order], docs[order], times[order].astype(np.uint8)
         edge = np.append(np.flatnonzero(np.append(True, units[1:] != units[:-1])), len(units)) if len(units) else np.zeros(1, np.int64)
         own = units[edge[:-1]]
-        if self.names:
-            all_units = np.concatenate([u for u, _ in self.names])
-            texts = [x for _, names in self.names for x in names]
-            _, at = np.unique(all_units, return_index=True)
-            keys = [texts[i] for i in at]
-        else:
-            keys = own.astype(np.int64)
+        keys = own.astype(np.int64)
         total = np.add.reduceat(times.astype(np.int64), edge[:-1]) if len(own) else np.zeros(0, np.int64)
         for lo in range(0, len(own), ROWS):
             hi = min(lo + ROWS, len(own))
             once = total[lo:hi] == np.diff(edge[lo:hi + 1])
             packed = [docs[edge[i]:edge[i + 1]].tobytes() if one else _with_times(docs[edge[i]:edge[i + 1]], times[edge[i]:edge[i + 1]])
                       for i, one in zip(range(lo, hi), once)]
-            yield batch(["block", "unit", "total", "posting"], [np.full(hi - lo, block, np.int64), pa.array(keys[lo:hi], kind), total[lo:hi],
+            yield batch(["block", "unit", "total", "posting"], [np.full(hi - lo, block, np.int64), keys[lo:hi], total[lo:hi],
                                                                 pa.array(packed, pa.binary())])
 
 
@@ -87,53 +90,82 @@ def _posting(body) -> tuple[np.ndarray, np.ndarray | None]:
     return np.frombuffer(body, np.uint16, n), np.frombuffer(body, np.uint8, n, 2 * n)
 
 
-def _post(make, kind: pa.DataType):
+def _post(make, known):
     def run(batches):
-        units_of = make()
+        units_of, weights = make(), known.value if known is not None else None
         block, number = Block(), TaskContext.get().partitionId() << 32
         for b in batches:
             for lo, hi, data, bounds in text_slices(b.column(1)):
                 for i in range(lo, hi, BLOCK_DOCS):  # a slice of empty texts may have any number of rows
                     j = min(hi, i + BLOCK_DOCS)
                     if block.n_docs and (block.n_bytes >= BLOCK_BYTES or block.n_docs + j - i > BLOCK_DOCS):
-                        yield from block.rows(number, kind)
+                        yield from block.rows(number)
                         block, number = Block(), number + 1
                     a, z = bounds[i - lo], bounds[j - lo]
                     cut, edges = data[a:z], bounds[i - lo:j - lo + 1] - a
-                    block.add(b.column(0).slice(i, j - i), cut, edges, *units_of(cut, edges))
+                    units, first, _ = units_of(cut, edges)
+                    block.add(b.column(0).slice(i, j - i), edges, units, first, weights)
         if block.n_docs:
-            yield from block.rows(number, kind)
+            yield from block.rows(number)
     return run
 
 
-def post(docs: DataFrame, make, kind: str) -> DataFrame:
+def post(docs: DataFrame, make, known=None) -> DataFrame:
     """(block, unit, total, posting) of ``docs(doc_id, text)``.
 
     ``make()`` gives, in the worker, a function from (bytes, offsets) to (unit of each occurrence, first occurrence of each
-    text, names or None); ``names(at)`` gives the unit's text for places of occurrences.
+    text, names or None); units are numbers from 0, ``names(at)`` gives the units' texts for places of occurrences.
+    ``known`` may broadcast (ascending units, their weights): these are summed here and not posted.
     """
-    arrow = {"string": pa.string(), "long": pa.int64()}[kind]
-    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), _post(make, arrow),
-                  f"block long, unit {kind}, total long, posting binary")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), _post(make, known),
+                  "block long, unit long, total long, posting binary")
 
 
-def distinct_units(docs: DataFrame, make) -> DataFrame:
-    """(unit) with the text of each unit at least once for each slice of a scan task: to be grouped."""
+def dictionary(docs: DataFrame, make, held: int = HELD_NAMES) -> DataFrame:
+    """(unit, name, n): each unit of ``docs(text)``, its text and how often it occurs."""
+    schema = ["unit", "name", "n"]
+
     def run(batches):
         units_of = make()
+        order, at, n, names = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def out():
+            by_arrival = np.empty(len(order), np.int64)
+            by_arrival[at] = order
+            for lo in range(0, len(names), 10 * ROWS):
+                yield batch(schema, [by_arrival[lo:lo + 10 * ROWS], pa.array(names[lo:lo + 10 * ROWS], pa.string()), n[lo:lo + 10 * ROWS]])
+
         for b in batches:
-            seen = np.zeros(0, np.uint64)
             for _, _, data, bounds in text_slices(b.column(1)):
-                units, _, names = units_of(data, bounds)
-                u, at = np.unique(units, return_index=True)
-                new = ~np.isin(u, seen)
-                seen = np.union1d(seen, u[new])
-                if len(seen) > 2_000_000:
-                    seen = np.zeros(0, np.uint64)
-                texts = names(at[new])
-                for lo in range(0, len(texts), 10 * ROWS):
-                    yield batch(["unit"], [pa.array(texts[lo:lo + 10 * ROWS], pa.string())])
-    return mapped(docs.select("doc_id", "text"), run, "unit string")
+                units, _, texts = units_of(data, bounds)
+                u, where, times = np.unique(units.astype(np.int64), return_index=True, return_counts=True)
+                place = np.searchsorted(order, u)
+                old = order[np.minimum(place, len(order) - 1)] == u if len(order) else np.zeros(len(u), bool)
+                n[at[place[old]]] += times[old]
+                order, at = np.insert(order, place[~old], u[~old]), np.insert(at, place[~old], len(n) + np.arange(int((~old).sum())))
+                n = np.concatenate([n, times[~old]])
+                names += texts(where[~old])
+                if len(names) > held:
+                    yield from out()
+                    order, at, n, names = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        yield from out()
+    found = mapped(docs.select("doc_id", "text"), run, "unit long, name string, n long")
+    return found.groupBy("unit").agg(F.min("name").alias("name"), F.sum("n").alias("n"))
+
+
+def frequent(counted: DataFrame, most: int) -> DataFrame:
+    """Rows of ``counted(n)`` with the largest ``n``, ``most`` at the most, for a broadcast.
+
+    Counted by steps of ``n``: the lowest step down to which no more than ``most`` rows lie sets the least ``n``, so no task sorts and none sends more.
+    """
+    step = F.floor(8 * F.log2("n")).cast("int")
+    total, least = 0, None
+    for s, rows in sorted(((r["step"], r["count"]) for r in counted.groupBy(step.alias("step")).count().collect()), reverse=True):
+        total += rows
+        if total > most:
+            break
+        least = s
+    return counted.where(F.lit(False) if least is None else step >= least)
 
 
 def _weigh(batches):
@@ -179,11 +211,11 @@ def _weigh(batches):
 
 def _unpack(rows: pa.Table) -> pa.Table:
     """The rows of one block, a part for each task of the join at most, as a row for each document."""
-    about, total = None, np.zeros(1 << 16, np.int64)
+    about, total = None, np.zeros(1 << 16, np.int64)  # a block has fewer documents
     for own, part in zip(rows["about"].to_pylist(), rows["part"]):
         body = part.as_buffer()
         if own:
-            about = np.frombuffer(body, "<i8").reshape(4, -1)
+            about = np.frombuffer(body, "<i8").reshape(5, -1)
         else:
             raw = body.to_pybytes()
             width = raw[0]
@@ -191,7 +223,7 @@ def _unpack(rows: pa.Table) -> pa.Table:
             sums = np.frombuffer(raw[1:1 + n * width], f"i{width}")
             np.add.at(total, np.frombuffer(raw[1 + n * width:], np.uint16), sums)
     return pa.Table.from_batches([batch(["doc_id", "n_bytes", "n_units", "total"],
-                                        [pa.array(about[0], mask=about[1] == 0), about[2], about[3], total[:about.shape[1]]])])
+                                        [pa.array(about[0], mask=about[1] == 0), about[2], about[3], about[4] + total[:about.shape[1]]])])
 
 
 def weighted_sums(postings: DataFrame, weights: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,10 +12,10 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from flowloom.llm import pretokens
+from flowloom.llm import postings, pretokens
 from flowloom.llm.lm_score import lm_scores
 from flowloom.llm.packing import pack, shortest_pack_first
-from flowloom.llm.token_counts import token_counts
+from flowloom.llm.token_counts import _maker as token_maker, token_counts
 from flowloom.llm.words import text_slices
 from llm_cases import documents, edge_rows
 
@@ -54,11 +55,24 @@ def test_split_of_every_sign(library):
 def test_token_counts(spark, library):
     rows = edge_rows() + [(20, "the " * 70_000)]
     want = sorted((d is None, d or 0, len((t or "").encode()), len(i), len(i) > 512) for (d, t), i in zip(rows, ids_of(library, [t for _, t in rows])))
-    found = token_counts(documents(spark, rows), PATH).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in found) == want
+    for most in (0, 5, 60, 1 << 17):  # all pre-tokens by the join, some, all by the broadcast
+        found = token_counts(documents(spark, rows), PATH, most_frequent=most).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in found) == want
     assert token_counts(documents(spark, []), PATH).collect() == []
 
 
+def test_dictionary_and_frequent_units(spark):
+    texts = ["a b a", "b\n c", None, "", "a" * 40 + " é"] * 3
+    docs, make = documents(spark, list(enumerate(texts))).repartition(2), token_maker(PATH)
+    want = Counter(w for t in texts for w in re.findall(r" ?[^\s]+|\s", t or ""))
+    for held in (1, 500_000):
+        rows = postings.dictionary(docs, make, held).collect()
+        assert Counter({r.name: r.n for r in rows}) == want and len({r.unit for r in rows}) == len(rows)
+    counted = spark.createDataFrame([(i, n) for i, n in enumerate([100] * 3 + [40] * 5 + [1] * 20)], "unit long, n long")
+    assert [postings.frequent(counted, most).count() for most in (0, 2, 3, 7, 8, 27, 28, 99)] == [0, 0, 3, 3, 8, 8, 28, 28]
+    assert postings.frequent(counted.limit(0), 5).count() == 0
+
+
 def test_lm_scores(spark, library):
     rows = edge_rows()
     ids = ids_of(library, [t for _, t in rows])
