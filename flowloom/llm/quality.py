@@ -13,6 +13,7 @@ every score is the share of label 1 (1.0 without any label). Repeated rows are s
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -84,6 +85,16 @@ def condition(rule: list[tuple[str, bool, float]]) -> Column:
     return found
 
 
+def memberships(values: Column, names: list[str], rules: list[list[tuple[str, bool, float]]]) -> Column:
+    """1.0 or 0.0 for each rule, in their order, from the array ``values`` of the statistics ``names``.
+
+    The rules are one constant that a short expression reads, so the code generated for it does not grow with them.
+    """
+    tests = json.dumps([[{"at": names.index(name), "above": above, "limit": limit} for name, above, limit in rule] for rule in rules])
+    held = F.from_json(F.lit(tests), "array<array<struct<at: int, above: boolean, limit: double>>>")
+    return F.transform(held, lambda rule: F.forall(rule, lambda t: (F.get(values, t["at"]) > t["limit"]) == t["above"]).cast("double"))
+
+
 def tree_rules(text: str, names: list[str]) -> list[list[tuple[str, bool, float]]]:
     """The path to each node below a root, from the printed form of a forest; a rule is kept once."""
     path: list[tuple[int, tuple[str, bool, float]]] = []
@@ -118,10 +129,11 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4, pe
     """Grow trees on labelled rows, turn their paths into rules, and weigh the rules."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
     names = [c for c in stats.columns if c != "doc_id"]
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    rows = stored(stats.where(~held_out(F.col("doc_id"))).join(marked, "doc_id"))
+    rows = stored(stats.where(~held_out(F.col("doc_id"))).join(marked, "doc_id").select("label", *names, F.array(*names).alias("_values")))
     share = rows.agg(F.avg("label")).first()[0]
     if share is None or share in (0.0, 1.0):
         return Model(math.inf if share is None else math.log(max(share, 1e-9) / max(1 - share, 1e-9)), [])
@@ -130,8 +142,8 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4, pe
     rules = tree_rules(forest.toDebugString, names)
     if not rules:
         return Model(math.log(share / (1 - share)), [])
-    held = rows.select("label", *(condition(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)))
-    held = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(held).select("label", "features")
+    held = rows.select("label", array_to_vector(memberships(F.col("_values"), names, rules)).alias("_member"))
+    held = VectorAssembler(inputCols=["_member"], outputCol="features").transform(held).select("label", "features")  # sparse where that is smaller
     lasso = LogisticRegression(regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=60).fit(stored(held))
     return Model(float(lasso.intercept), [(rules[i], float(w)) for i, w in enumerate(lasso.coefficients) if abs(w) > 1e-6])
 

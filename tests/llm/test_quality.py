@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 from flowloom.llm import quality
@@ -58,3 +60,23 @@ def test_rules_of_a_printed_forest():
 """
     assert quality.tree_rules(text, ["a", "b"]) == [
         [("a", False, 0.5)], [("a", False, 0.5), ("b", False, -2e-4)], [("a", False, 0.5), ("b", True, -2e-4)], [("a", True, 0.5)]]
+
+
+def test_rules_row_by_row(spark):
+    """Memberships and the compiled score against the paths and weights worked out in Python."""
+    rng = random.Random(3)
+    names = ["x", "y", "z"]
+    limits = [-1.5, 0.0, 0.25, 1e-7, 3e10]
+    rules = [[(n, rng.random() < 0.5, rng.choice(limits)) for n in rng.sample(names, rng.randrange(1, 4))] for _ in range(40)]
+    weights = [rng.uniform(-2, 2) for _ in rules]
+    rows = [(i, *(rng.choice([*limits, rng.uniform(-2, 2)]) for _ in names)) for i in range(200)]
+    stats = spark.createDataFrame(rows, "doc_id long, x double, y double, z double")
+    member = quality.memberships(F.array(*names), names, rules)
+    found = {r.doc_id: r for r in quality.score(stats, quality.Model(-0.3, list(zip(rules, weights)))).collect()}
+    held = {r.doc_id: r.m for r in stats.select("doc_id", member.alias("m")).collect()}
+    for doc_id, *values in rows:
+        at = dict(zip(names, values))
+        want = [float(all((at[n] > x) == above for n, above, x in rule)) for rule in rules]
+        assert held[doc_id] == want
+        score = 1 / (1 + math.exp(0.3 - sum(w for w, m in zip(weights, want) if m)))
+        assert abs(found[doc_id].score - score) < 1e-12 and found[doc_id].predicted == int(score >= 0.7)
