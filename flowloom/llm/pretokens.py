@@ -19,6 +19,7 @@ _STEP = U(0xA0761D6478BD642F)
 _SUFFIXES = ["s", "t", "re", "ve", "m", "ll", "d"]
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, DIGIT, WHITE = range(4)
+_TRIED = 1024  # unknown code points tried at once
 
 
 class Pieces:
@@ -35,15 +36,26 @@ class Pieces:
         self.classes = self._class_table()
 
     def _class_table(self) -> np.ndarray:
-        """Letter, digit, white space or other for each code point; unknown ones are tried on the library's own split."""
+        """Letter, digit, white space or other for each code point; unknown ones are tried on the library's own split.
+
+        A block of unknown ones that stays one piece beside a letter and beside a digit is of the class other; the code
+        points of a block that doesn't are tried one by one. So the library never splits a long text here.
+        """
         first = {"L": LETTER, "N": DIGIT}
         names = [unicodedata.category(chr(c)) for c in range(0x110000)]
-        table = np.array([first.get(x[0], OTHER) for x in names], np.uint8)
+        table = np.fromiter((first.get(x[0], OTHER) for x in names), np.uint8, len(names))
         table[_WHITE] = WHITE
         unsure = [c for c in range(0x40000) if names[c] == "Cn"]
-        begins = {a for _, (a, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str("".join(f"a{chr(c)}\n1{chr(c)}\n" for c in unsure))}
-        for i, c in enumerate(unsure):
-            table[c] = LETTER if 6 * i + 1 not in begins else DIGIT if 6 * i + 4 not in begins else OTHER
+        pieces_of = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for at in range(0, len(unsure), _TRIED):
+            block = unsure[at:at + _TRIED]
+            run = "".join(map(chr, block))
+            if all([span for _, span in pieces_of(x + run)] == [(0, 1), (1, 1 + len(run))] for x in "a1"):
+                table[block] = OTHER
+                continue
+            begins = {a for _, (a, _) in pieces_of("".join(f"a{chr(c)}\n1{chr(c)}\n" for c in block))}
+            for i, c in enumerate(block):
+                table[c] = LETTER if 6 * i + 1 not in begins else DIGIT if 6 * i + 4 not in begins else OTHER
         return table
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

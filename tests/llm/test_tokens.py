@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -31,6 +32,15 @@ def ids_of(library, texts):
     return [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_opening_a_tokenizer_holds_little():
+    tracemalloc.start()
+    tool = pretokens.Pieces(PATH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # 223 MB with one split of all unknown code points
+    assert tool.classes[0x378] == pretokens.OTHER and tool.classes[ord("a")] == pretokens.LETTER
+
+
 def test_ids_equal_the_library(library):
     rng = random.Random(1)
     signs = [*" \n\t'sstrevmld.,!a1é中 　İ‍😀", "'s", "'ll", "  ", "<|endoftext|>", "<|endof", "text|>", "'re", "\x85", "\x1c"]
