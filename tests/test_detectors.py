@@ -85,6 +85,25 @@ def test_forest_is_repeatable_and_finds_the_outlier(spark, data):
     assert rows[0].score > 0.6 > rows[1].score and rows[0].pred == 1 and rows[2].pred == 1
 
 
+@pytest.mark.parametrize("whole", [1 << 17, 20])
+def test_forest_in_buckets_scores_like_levels(spark, whole):
+    rng = np.random.default_rng(5)
+    value = lambda: None if rng.random() < 0.05 else float("nan") if rng.random() < 0.05 else float(rng.integers(0, 9))
+    rows = [("m", "ab"[i % 2] if i < 60 else "cde"[i % 3] if i < 75 else None, [value(), value()], i) for i in range(78)]
+    train = spark.createDataFrame(rows, SCHEMA)
+    test = spark.createDataFrame([("m", "abcdx"[i % 5], [value(), value()] if i % 20 else None, i) for i in range(150)], SCHEMA)
+    want = forest.score_forest(test, forest.fit_forest(train, 2, ["id"], trees=9), trees=9)
+    got = forest.detect_forest(test, train, 2, ["id"], trees=9, whole=whole)
+    given = lambda df: [(r.id, r.score and round(r.score, 9), r.pred) for r in df.orderBy("id").collect()]
+    assert given(got) == given(want) and any(r[1] for r in given(got))
+
+
+def test_forest_moves_a_visit_not_its_trees(spark):
+    train = spark.createDataFrame([("m", str(i % 40), [float(i % 17), float(i % 5)], i) for i in range(4000)], SCHEMA)
+    plan = forest.detect_forest(train, train, 2, ["id"], trees=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "tree" not in plan
+
+
 def test_forest_paths(spark):
     """One split on two values: every path has length 1."""
     train = spark.createDataFrame([("m", "s", [float(i)], i) for i in (0, 1, 2, 3)], SCHEMA)
