@@ -9,9 +9,11 @@ reached; memory grows with the sum of two lengths and not with their product.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import ship
+
 CELLS = 1 << 20  # values held at once for pairs of equal lengths
 
 
@@ -63,25 +65,45 @@ def _scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (a - low) / span, (b - low) / span
 
 
-def _by_lengths(x: pd.Series, y: pd.Series):
-    """Rows, left and right traces of pairs with equal lengths, a bounded number of values at a time."""
-    shapes: dict[tuple[int, int, int], list[int]] = {}
-    for row, (a, b) in enumerate(zip(x, y)):
-        if a is not None and b is not None and len(a) and len(b):
-            shapes.setdefault((len(a), len(b), len(a[0])), []).append(row)
-    for (n, m, width), rows in shapes.items():
+def _flat(traces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Records of each trace (0 for a null one), its first record, the first value of each record (and the total), and the values."""
+    records = traces.values
+    edge, inner = traces.offsets.to_numpy(), records.offsets.to_numpy()
+    values = records.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return np.where(traces.is_null().to_numpy(zero_copy_only=False), 0, np.diff(edge)), edge[:-1], inner, values
+
+
+def _by_lengths(x: pa.Array, y: pa.Array):
+    """Rows, left and right traces of pairs with equal lengths, a bounded number of values at a time.
+
+    Values are taken from the batch's own buffers, so no record becomes an object.
+    """
+    sides = [_flat(x), _flat(y)]
+    rows = np.flatnonzero((sides[0][0] > 0) & (sides[1][0] > 0))
+    if not len(rows):
+        return
+    n, first, inner, _ = sides[0]
+    shape = np.column_stack([n[rows], sides[1][0][rows], np.diff(inner)[first[rows]]])
+    shapes, kind = np.unique(shape, axis=0, return_inverse=True)
+    for number, (n, m, width) in enumerate(shapes.tolist()):
+        own = rows[kind.ravel() == number]
         step = max(1, CELLS // ((n + m) * max(width, 1)))
-        for at in range(0, len(rows), step):
-            some = rows[at:at + step]
-            yield some, *(np.array([np.stack(s.iloc[r]) for r in some], dtype=float) for s in (x, y))
+        for at in range(0, len(own), step):
+            some = own[at:at + step]
+            found = []
+            for (_, first, inner, values), long in zip(sides, (n, m)):
+                record = first[some][:, None] + np.arange(long)
+                if (inner[record + 1] - inner[record] != width).any():
+                    raise ValueError("records of a pair of traces differ in their number of attributes")
+                found.append(values[inner[record][:, :, None] + np.arange(width)])
+            yield some, *found
 
 
 def _dissimilarity(left: str, right: str, multivariate: bool, normalise: bool, limit: float | None) -> Column:
-    @F.pandas_udf("double")
-    def compare(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def compare(x: pa.Array, y: pa.Array) -> pa.Array:
         out = np.full(len(x), np.nan)
         for rows, a, b in _by_lengths(x, y):
-            rows = np.array(rows)
             if normalise:
                 a, b = _scaled(a, b)
             parts = [(a, b)] if multivariate else [(a[:, :, [j]], b[:, :, [j]]) for j in range(a.shape[2])]
@@ -91,7 +113,7 @@ def _dissimilarity(left: str, right: str, multivariate: bool, normalise: bool, l
                 rows, parts = rows[near], [(p[near], q[near]) for p, q in parts]
             if len(rows):
                 out[rows] = np.mean([warping_distances(*p) for p in parts], axis=0)
-        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+        return pa.array(out, mask=np.isnan(out))
 
     return compare(left, right)
 
@@ -103,6 +125,7 @@ def trace_dissimilarity(
 
     The pairs are given; they are not made here. NULL where a trace is NULL or without records.
     """
+    ship(pairs.sparkSession)
     return pairs.withColumn("dissimilarity", _dissimilarity(left, right, multivariate, normalise, None))
 
 
@@ -111,5 +134,6 @@ def similar_traces(
     normalise: bool = True,
 ) -> DataFrame:
     """The pairs with ``dissimilarity`` up to ``limit``; only those whose lower bound allows it are warped."""
+    ship(pairs.sparkSession)
     scored = pairs.withColumn("dissimilarity", _dissimilarity(left, right, multivariate, normalise, limit))
     return scored.filter(F.col("dissimilarity") <= limit)

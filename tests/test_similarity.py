@@ -67,3 +67,21 @@ def test_bound_prunes_far_pairs():
     a, b = rng.normal(size=(100, 30, 2)), rng.normal(size=(100, 30, 2)) + np.repeat([0, 20], 50)[:, None, None]
     limit = S.warping_distances(a[:50], b[:50]).max()
     assert (S.lower_bounds(a, b) > limit).sum() == 50
+
+
+def test_traces_are_read_from_the_batch_without_objects(spark):
+    """Thousands of pairs in one batch: the traced memory stays near the size of their values."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from flowloom.operators import similarity
+
+    traces = pa.array([[[float(i + j), 1.0, 2.0] for j in range(20)] for i in range(4000)] + [None, []], pa.list_(pa.list_(pa.float64())))
+    tracemalloc.start()
+    rows = sum(len(some) for some, a, b in similarity._by_lengths(traces, traces))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and peak < 12 << 20
+    sliced = list(similarity._by_lengths(traces.slice(7, 3), traces.slice(9, 3)))
+    assert sliced[0][1][0][0][0] == 7.0 and sliced[0][2][0][0][0] == 9.0
