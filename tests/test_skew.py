@@ -10,6 +10,7 @@ from flowloom.functions.quantiles import exact_quantiles
 from flowloom.functions.scan import OrderedScan
 from flowloom.operators.detectors import boxes, kde, lof
 from flowloom.operators.detectors.blocks import distinct_points
+from flowloom.operators.entities import first_n_per_class
 from flowloom.session import MAX_GROUP_ROWS
 
 
@@ -195,3 +196,13 @@ def test_kernels_out_of_reach_are_skipped(spark):
     # blocks of one place meet no block of another one; a cut may leave a block in two places, whose box is wide
     inside = [(places[a], places[b]) for a, b in met if len(places[a]) == len(places[b]) == 1]
     assert inside and all(a == b for a, b in inside) and len(met) < len(places) ** 2 / 2
+
+
+def test_first_of_a_class_never_meets_the_whole_class(spark):
+    rows = [(i, 1_000 - i // 3, "c" if i % 50 else None) for i in range(900)]
+    flows = spark.createDataFrame(rows, "flow_id long, date_us long, label string")
+    got = first_n_per_class(flows, 5, part_rows=100)
+    want = {label: sorted(((d, i) for i, d, l in rows if l == label))[:5] for label in ("c", None)}
+    found = {label: sorted((r.date_us, r.flow_id) for r in got.collect() if r.label == label) for label in ("c", None)}
+    assert found == want
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
