@@ -10,6 +10,7 @@ the length of a trace, and a machine goes to each bucket once instead of to each
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,29 @@ Machine = Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, int, np.ndarr
 
 
 def _in_buckets(records: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records with chunk and bucket, and each machine once for every bucket of its records."""
-    size = records.groupBy("model_id").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("_buckets"))
+    """Records with chunk and bucket, and each machine once for every bucket of its records. Buckets are dealt to groups
+    of about ``BUCKET_ROWS`` records, so small machines share a group."""
+    size = records.groupBy("model_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_buckets", F.ceil(F.col("_n") / BUCKET_ROWS).cast("int"))
     size = freeze(size.join(edges.select("model_id").distinct(), "model_id", "left_semi"))
+    groups = max(1, ceil((size.agg(F.sum("_n")).first()[0] or 0) / BUCKET_ROWS))
+    size = size.drop("_n")
+    group = F.pmod(F.xxhash64("model_id", "_bucket"), F.lit(groups)).cast("int")
     chunk = F.floor(F.col("pos") / CHUNK).cast("long")
     dealt = records.join(size, "model_id").withColumn("_chunk", chunk).withColumn(
         "_bucket", F.pmod(F.xxhash64(*TRACE, "_chunk"), F.col("_buckets")).cast("int")).drop("_buckets")
     machines = edges.join(size, "model_id").withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1))).drop("_buckets")
-    return dealt, machines
+    return dealt.withColumn("_group", group), machines.withColumn("_group", group)
+
+
+def _by_bucket(rows: pd.DataFrame, own: pd.DataFrame):
+    """Records and machine of each bucket of a group."""
+    if not len(rows) or not len(own):
+        return
+    by = ["model_id", "_bucket"]
+    machines = own.groupby(by, sort=False).indices
+    for key, places in rows.groupby(by, sort=False).indices.items():
+        if key in machines:
+            yield rows.iloc[places], own.iloc[machines[key]]
 
 
 def _chunks(rows: pd.DataFrame):
@@ -66,9 +82,7 @@ def run(records: DataFrame, edges: DataFrame, machine: Machine, after: bool) ->
     out = [*given_columns, "state"]
     schema = records.withColumn("state", F.lit(None).cast("string")).schema
 
-    def walk(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(own):
-            return pd.DataFrame({c: [] for c in out})
+    def bucket(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         names, start, following = machine(own, rows)
         states = np.full(len(rows), NONE)
         given = rows["_entry"].to_numpy(dtype=float, na_value=np.nan)
@@ -82,8 +96,11 @@ def run(records: DataFrame, edges: DataFrame, machine: Machine, after: bool) ->
         rows["state"] = np.where(states == NONE, None, names[np.maximum(states, 0)])
         return rows
 
-    by = ["model_id", "_bucket"]
-    return dealt.groupBy(*by).cogroup(machines.groupBy(*by)).applyInPandas(walk, schema)
+    def walk(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = [bucket(*b) for b in _by_bucket(rows, own)]
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in out})
+
+    return dealt.groupBy("_group").cogroup(machines.groupBy("_group")).applyInPandas(walk, schema)
 
 
 def _entries(dealt: DataFrame, machines: DataFrame, machine: Machine) -> DataFrame | None:
@@ -92,13 +109,12 @@ def _entries(dealt: DataFrame, machines: DataFrame, machine: Machine) -> DataFra
     long = freeze(long)
     if long.isEmpty():
         return None
-    by = ["model_id", "_bucket"]
     schema = "model_id string, entity string, trace_id long, _chunk long, start int, exits array<int>"
     names = schema.replace(",", "").split()[::2]
 
     def maps(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         found = []
-        if len(rows) and len(own):
+        for rows, own in _by_bucket(rows, own):
             states, start, following = machine(own, rows)
             for places in _chunks(rows):
                 state = np.arange(len(states))
@@ -108,7 +124,7 @@ def _entries(dealt: DataFrame, machines: DataFrame, machine: Machine) -> DataFra
                 found.append((first["model_id"], first["entity"], first["trace_id"], first["_chunk"], start, state.tolist()))
         return pd.DataFrame(found, columns=names)
 
-    chunks = dealt.join(long, KEYS, "left_semi").groupBy(*by).cogroup(machines.groupBy(*by)).applyInPandas(maps, schema)
+    chunks = dealt.join(long, KEYS, "left_semi").groupBy("_group").cogroup(machines.groupBy("_group")).applyInPandas(maps, schema)
     levels = [freeze(chunks)]
     while levels[-1].filter("_chunk > 0").limit(1).count():
         levels.append(freeze(levels[-1].withColumn("_part", F.floor(F.col("_chunk") / FAN)).groupBy(*KEYS, "_part").applyInPandas(_composed, schema)))
