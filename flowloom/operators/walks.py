@@ -54,11 +54,15 @@ def _by_bucket(rows: pd.DataFrame, own: pd.DataFrame):
             yield rows.iloc[places], own.iloc[machines[key]]
 
 
-def _chunks(rows: pd.DataFrame):
-    """Places of the rows of each chunk, in order."""
-    order = np.lexsort((rows["pos"].to_numpy(), rows["_chunk"].to_numpy(), rows["trace_id"].to_numpy(), pd.factorize(rows["entity"])[0]))
-    names = rows[[*TRACE, "_chunk"]].iloc[order]
-    new = np.append(True, (names.iloc[1:].to_numpy() != names.iloc[:-1].to_numpy()).any(axis=1))
+def _chunks(rows: pd.DataFrame, *first: np.ndarray):
+    """Places of the rows of each chunk, in order, by the numbers ``first`` before the chunk's own keys."""
+    keys = (rows["_chunk"].to_numpy(), rows["trace_id"].to_numpy(), pd.factorize(rows["entity"])[0], *first)
+    order = np.lexsort((rows["pos"].to_numpy(), *keys))
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
     edge = np.append(np.flatnonzero(new), len(rows))
     return [order[a:z] for a, z in zip(edge[:-1], edge[1:])]
 
@@ -82,24 +86,32 @@ def run(records: DataFrame, edges: DataFrame, machine: Machine, after: bool) ->
     out = [*given_columns, "state"]
     schema = records.withColumn("state", F.lit(None).cast("string")).schema
 
-    def bucket(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        names, start, following = machine(own, rows)
-        states = np.full(len(rows), NONE)
+    def walk(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(own):
+            return pd.DataFrame({c: [] for c in out})
+        by = ["model_id", "_bucket"]
+        machines, code = own.groupby(by, sort=False).indices, rows.groupby(by, sort=False).ngroup().to_numpy()
         given = rows["_entry"].to_numpy(dtype=float, na_value=np.nan)
-        for places in _chunks(rows):
-            state = start if np.isnan(given[places[0]]) else int(given[places[0]])
-            for i in places.tolist():
-                behind = NONE if state == NONE else following[i, state]
-                states[i] = behind if after else state
-                state = behind
-        rows = rows[given_columns].copy()
-        rows["state"] = np.where(states == NONE, None, names[np.maximum(states, 0)])
+        state_names, placed, within = np.full(len(rows), None, object), np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+        chunks: dict[int, list[np.ndarray]] = {}
+        for places in _chunks(rows, code):
+            chunks.setdefault(int(code[places[0]]), []).append(places)
+        for key, held in rows.groupby(by, sort=False).indices.items():
+            if key not in machines:
+                continue
+            names, start, following = machine(own.iloc[machines[key]], rows.iloc[held])
+            placed[held], within[held] = True, np.arange(len(held))
+            for places in chunks[int(code[held[0]])]:
+                state = start if np.isnan(given[places[0]]) else int(given[places[0]])
+                for i, at in zip(places.tolist(), within[places].tolist()):
+                    behind = NONE if state == NONE else int(following[at, state])
+                    here = behind if after else state
+                    state_names[i] = None if here == NONE else names[here]
+                    state = behind
+        rows = rows.loc[placed, given_columns].copy()
+        rows["state"] = state_names[placed]
         return rows
 
-    def walk(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = [bucket(*b) for b in _by_bucket(rows, own)]
-        return pd.concat(found) if found else pd.DataFrame({c: [] for c in out})
-
     return dealt.groupBy("_group").cogroup(machines.groupBy("_group")).applyInPandas(walk, schema)
 
 

@@ -90,3 +90,13 @@ def test_one_very_long_trace(spark):
     assert [r.state for r in found.orderBy("pos").collect()] == want
     dealt, _ = walks._in_buckets(trace, edges)
     assert dealt.groupBy("model_id", "_bucket").count().count() >= 3 and TRACE == ["entity", "trace_id"]
+
+
+def test_small_machines_share_a_group(spark):
+    rows = [(f"m{i % 30}", "e", 0, i // 30, "ab"[i % 2]) for i in range(300)]
+    records = spark.createDataFrame(rows, "model_id string, entity string, trace_id long, pos long, symbol string")
+    edges = spark.createDataFrame([(f"m{i}", "0", s, "0") for i in range(29) for s in "ab"], "model_id string, src string, symbol string, dst string")
+    dealt, machines = walks._in_buckets(records, edges)
+    assert {r._group for r in dealt.collect()} == {0} == {r._group for r in machines.collect()}
+    walked = walks.run(records, edges, Y._by_symbol, True).collect()
+    assert len(walked) == 290 and {r.state for r in walked} == {"0"}  # the last model has no machine
