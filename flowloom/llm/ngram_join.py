@@ -264,6 +264,19 @@ def _leaf_pairs(percent: int):
     return run
 
 
+def _met_pairs(percent: int, held: list[str]):
+    """``_leaf_pairs`` of the pairs (xs, ys) of leaf nodes that a table of such nodes holds."""
+    def run(table):
+        place = {node: i for i, node in enumerate(table.column("node").to_pylist())}
+        own = table.select(held).combine_chunks()
+        x, y = (pa.array([place[node] for node in table.column(c)[0].as_py()], pa.int64()) for c in ("xs", "ys"))
+        both = [*own.take(x).columns, *own.take(y).columns]
+        rows = pa.Table.from_arrays(both, [f"c{i}" for i in range(len(both))]).combine_chunks().to_batches()
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        return pa.Table.from_batches([b.cast(schema) for b in _leaf_pairs(percent)(rows)], schema)
+    return run
+
+
 def _descend(leaves: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that no node rules out; ``leaves`` has root, m, cls, n, component, excess and the bitmap.
 
@@ -304,12 +317,14 @@ def _descend(leaves: DataFrame, percent: int) -> DataFrame:
         met = met.where((100 + percent) * most >= percent * (F.col("x_low") + F.col("y_low")))
         pairs = stored(met.select("root", F.col("xn").alias("x"), F.col("yn").alias("y")))
         written.append(pairs)
-    left = blocks.select("root", F.col("node").alias("x"), *(F.col(c).alias("x_" + c) for c in held))
-    right = blocks.select("root", F.col("node").alias("y"), *(F.col(c).alias("y_" + c) for c in held))
-    # both sides meet by the pair of nodes, so the nodes of a crowded root are dealt to all tasks
-    met = pairs.join(left, ["root", "x"]).join(pairs.join(right, ["root", "y"]), ["root", "x", "y"])
-    met = met.select(*("x_" + c for c in held), *("y_" + c for c in held))
-    found = stored(mapped(met, _leaf_pairs(percent), "a long, b long").union(alone).distinct())
+    # pairs of leaf nodes meet by the nodes above them: a leaf node is sent once for the pairs of two such nodes, not for each pair,
+    # and the nodes of a crowded root are dealt to all tasks
+    above = pairs.select("root", F.floor(F.col("x") / FANOUT).alias("up_x"), F.floor(F.col("y") / FANOUT).alias("up_y"), "x", "y")
+    asked = above.groupBy("root", "up_x", "up_y").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+    sent = above.select("root", "up_x", "up_y", F.explode(F.array("x", "y")).alias("node")).distinct()
+    met = sent.join(blocks.select("root", "node", *held), ["root", "node"]).join(asked, ["root", "up_x", "up_y"])
+    met = met.groupBy("root", "up_x", "up_y").applyInArrow(_met_pairs(percent, held), "a long, b long")
+    found = stored(met.union(alone).distinct())
     discard(*written)
     return found
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from flowloom.llm import ngram_join
 from flowloom.llm.ngram_join import ngram_jaccard_join
@@ -82,3 +83,22 @@ def test_families_of_near_copies(spark):
     rows += [(2000 + i, sentences(rng, 5 + i % 9, 12)) for i in range(150)]  # short texts that share shingles
     assert got(spark, rows, 85, 4) == brute(rows, 85, 4)
     assert got(spark, rows, 80, 5) == brute(rows, 80, 5)
+
+
+def test_crowded_root_sends_a_leaf_node_once_for_two_nodes_above(spark):
+    J = ngram_join
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, (30, J.LONGS))
+    bits = base[np.arange(900) % 30] ^ (1 << rng.integers(0, 62, (900, J.LONGS)))
+    n = np.bitwise_count(bits).sum(1).astype(int)
+    names = [f"b{i}" for i in range(J.LONGS)]
+    rows = [(1, 900, i, int(n[i]), i // 2, i % 3, *map(int, bits[i])) for i in range(900)]
+    leaves = spark.createDataFrame(rows, "root long, m long, cls long, n long, component long, excess long, " + ", ".join(f"{b} long" for b in names))
+    common = np.bitwise_count(bits[:, None] & bits).sum(2).astype(int)
+    e = np.arange(900) % 3
+    most = np.minimum(common + np.minimum(e[:, None], e), np.minimum(n[:, None], n))
+    fits = (180 * most >= 80 * (n[:, None] + n)) & (100 * n[:, None] >= 80 * n) & (100 * n >= 80 * n[:, None])
+    want = {(a, b) for a, b in np.argwhere(fits).tolist() if a < b and a // 2 != b // 2}
+    assert want and {tuple(r) for r in J._descend(leaves, 80).collect()} == want
+    table = pa.table({"node": [0, 1], **{c: [[5, 6], [7]] for c in ("cls", "n", "component", "excess", *names)}, "xs": [[0, 0]] * 2, "ys": [[1, 0]] * 2})
+    assert set(J._met_pairs(1, ["cls", "n", "component", "excess", *names])(table).column_names) == {"a", "b"}
