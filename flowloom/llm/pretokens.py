@@ -11,6 +11,7 @@ import os
 import unicodedata
 
 import numpy as np
+import pandas as pd
 
 from .words import U, mix, powers
 
@@ -157,7 +158,8 @@ class Ids:
     def of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the first id of each text (and the total)."""
         text, st, en, h, first = split(data, bounds, self.tool)
-        u, at, back = np.unique(h, return_index=True, return_inverse=True)
+        back, u = pd.factorize(h)  # in the order of their first places
+        at = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))
         if len(self.known) > self.most:
             self._reset()
         known = self.known
