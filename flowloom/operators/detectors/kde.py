@@ -50,6 +50,17 @@ def kernel(n: float, cov: np.ndarray, width: int) -> tuple[np.ndarray, float]:
     return np.linalg.inv(root), norm
 
 
+def kernels(n: np.ndarray, cov: np.ndarray, width: int) -> list[tuple[np.ndarray, float]]:
+    """``kernel`` of many states at once; those without inverse make all go one by one."""
+    bandwidth = matrix(cov, len(n) * width).reshape(len(n), width, width) * (n ** (-2.0 / (width + 4)))[:, None, None]
+    try:
+        root = np.linalg.cholesky(bandwidth)
+    except np.linalg.LinAlgError:
+        return [kernel(float(a), c, width) for a, c in zip(n, matrix(cov, len(n)))]
+    norm = (2 * np.pi) ** (width / 2) * np.prod(np.diagonal(root, axis1=1, axis2=2), axis=1) * n
+    return list(zip(np.linalg.inv(root), norm))
+
+
 def _kernels(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Sum of the kernels of whitened references at each whitened query."""
     total = np.zeros((len(a), len(b)))
@@ -69,9 +80,12 @@ def densities(queries: DataFrame, refs: DataFrame, cov: DataFrame, rows: int = B
     @F.pandas_udf("array<double>")
     def one(q: pd.Series, r: pd.Series, x: pd.Series, w: pd.Series, n: pd.Series, c: pd.Series) -> pd.Series:
         out = []
-        for q_, r_, x_, w_, n_, c_ in zip(q, r, x, w, n, c):
+        if not len(n):
+            return pd.Series(out)
+        width = len(x.iloc[0]) // len(w.iloc[0])
+        own = kernels(n.to_numpy(float), np.concatenate(c.tolist()), width)
+        for q_, r_, x_, w_, (whiten, norm) in zip(q, r, x, w, own):
             points = matrix(x_, len(w_))
-            whiten, norm = kernel(float(n_), c_, points.shape[1])
             out.append(_kernels(matrix(q_, r_) @ whiten.T, points @ whiten.T, np.asarray(w_)) / norm)
         return pd.Series(out)
 
