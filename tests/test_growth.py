@@ -2,9 +2,13 @@
 
 import datetime
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import workload
+from flowloom.operators import evaluate as K
+from flowloom.operators.detectors import kde
 from flowloom.sources import traces as X
 
 
@@ -37,3 +41,21 @@ def test_trace_files_follow_data_not_entities(spark, tmp_path):
     assert len(list((tmp_path / "t" / "traces").rglob("part-*"))) <= 8  # not one for each of 44 entities
     read = X.read_traces(spark, str(tmp_path / "t")).collect()
     assert sorted((r.entity or repr(r.entity), r.pos, *r.attrs) for r in read) == sorted((e or repr(e), p, float(a)) for e, _, p, a in rows)
+
+
+def test_counted_visits_weigh_like_repeated_ones(spark):
+    rows = [("m", "e", i // 3, "s" if i % 3 else "sink", i % 2, 1 + i % 4) for i in range(30)]
+    table = spark.createDataFrame(rows, "model_id string, entity string, row_idx long, state string, pred int, times int")
+    weights = spark.createDataFrame([("m", "s", 0.75, 7)], "model_id string, state string, weight double, visits long")
+    repeated = table.withColumn("_", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "_")
+    once, want = (sorted((r.row_idx, r.pred) for r in K.merge_predictions(*x).collect()) for x in ((table, weights, "times"), (repeated, weights)))
+    assert len(once) == 10 and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-12 for a, b in zip(once, want))
+
+
+def test_kernels_of_many_states_equal_those_of_each():
+    rng = np.random.default_rng(5)
+    covs = [(m @ m.T + np.eye(2) * 1e-8).ravel() for m in rng.normal(size=(20, 2, 2))]
+    for c in (covs, [*covs, np.array([4e12, 4e12, 4e12, 4e12])]):  # the last has no inverse
+        n = rng.integers(3, 90, len(c)).astype(float)
+        for (a, b), (x, y) in zip(kde.kernels(n, np.concatenate(c), 2), (kde.kernel(k, v, 2) for k, v in zip(n, c))):
+            assert np.array_equal(a, x) and np.isclose(b, y, rtol=1e-15)
