@@ -131,7 +131,7 @@ def _slots(row: np.ndarray, grams: np.ndarray, n: np.ndarray, percent: int):
         if up:
             takes &= 100 * n >= percent * _EDGES[own + 1]
         level = np.where(takes, own + up, 0)
-        most, slices = _slices(level, percent)
+        _, slices = _slices(level, percent)
         mine = takes[row]
         r, c = row[mine], content[mine]
         part = (place[mine] % slices[r].astype(U)).astype(np.int64)
@@ -146,8 +146,8 @@ def _slots(row: np.ndarray, grams: np.ndarray, n: np.ndarray, percent: int):
         r, part = r[at], part[at]
         full = np.bincount(r, minlength=len(n))
         differ = (100 - percent) * (n + np.minimum(_EDGES[level + 1] - 1, 100 * n // percent)) // (100 + percent)
-        need = np.where(full <= most, 1, np.maximum(1, full - differ))
-        yield takes, level, slices, r, part, held, takes & (full <= most), need
+        lacks = full <= differ
+        yield takes, level, slices, r, part, held, takes & lacks, np.where(lacks, 1, full - differ)
 
 
 def _root_keys(k: int, percent: int):

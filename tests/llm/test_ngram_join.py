@@ -102,3 +102,14 @@ def test_crowded_root_sends_a_leaf_node_once_for_two_nodes_above(spark):
     assert want and {tuple(r) for r in J._descend(leaves, 80).collect()} == want
     table = pa.table({"node": [0, 1], **{c: [[5, 6], [7]] for c in ("cls", "n", "component", "excess", *names)}, "xs": [[0, 0]] * 2, "ys": [[1, 0]] * 2})
     assert set(J._met_pairs(1, ["cls", "n", "component", "excess", *names])(table).column_names) == {"a", "b"}
+
+
+def test_unlike_sets_share_no_empty_slice():
+    """Sets at the low end of a band have some empty slices, but enough others to stand under those only."""
+    rng = np.random.default_rng(4)
+    for percent, size in ((80, 2300), (80, 3000), (85, 2300)):
+        n = np.full(20, size)
+        row, grams = np.repeat(np.arange(20), n), rng.integers(1 << 62, size=n.sum()).astype(np.uint64)
+        for takes, _, slices, r, _, held, lacks, need in ngram_join._slots(row, grams, n, percent):
+            assert not lacks.any() and (need[takes] > 1).all()
+            assert len(np.unique(held)) == len(held) < slices.sum() or not takes.any()
