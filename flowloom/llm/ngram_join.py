@@ -16,6 +16,9 @@ others; of all its roots' proposals the two that share most roots are taken. Com
 *Counts.* A linked pair shares most slices, so a class that shares too few of its roots with anybody is left out first. Of roots
 with the same classes one is kept, with their number.
 
+*Rarest roots.* A pair of two components shares all the roots it needs where components are mixed, so a class leaves as many of
+its most crowded ones as it may lose without losing a link.
+
 *Trees.* Roots that still hold more than one component get a tree: leaf nodes of some classes with their token bitmaps and sizes,
 nodes above with OR-combined bitmaps, size ranges and component ranges. Pairs of nodes descend together, level by
 level, through equi joins; a pair is pruned if it lies in one component, its sizes can't meet, or its largest
@@ -340,6 +343,27 @@ def _crowded(members: DataFrame) -> DataFrame:
     return members.join(crowded, "root")
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows of roots that hold more than one component."""
+    roots = members.groupBy("root").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("root")
+    return members.join(roots, "root")
+
+
+def _rarest(members: DataFrame, needs: DataFrame) -> DataFrame:
+    """(root, cls, component) without the most crowded roots of each class in a band, as many as it may lose.
+
+    A linked pair of two components shares at least the ``need`` of either class in roots that hold both, so in one order of all
+    roots the first they share comes before the last ``need - 1`` of either. ``members`` has root, cls, m, times and component.
+    """
+    crowd = Window.partitionBy("cls", "odd").orderBy(F.desc("m"), F.desc("root")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _mixed(members).withColumn("odd", _odd()).withColumn("crowded", F.sum("times").over(crowd))
+    return placed.join(needs, ["cls", "odd"]).where("crowded >= need").select("root", "cls", "component")
+
+
+def _odd():
+    return F.col("root").bitwiseAND(F.lit(1)).cast("int").alias("odd")
+
+
 def ngram_jaccard_join(docs: DataFrame, percent: int = 80, words_in_shingle: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies, tag, component): one row for each row of ``docs(doc_id, text)``.
 
@@ -374,15 +398,14 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, words_in_shingle: int
     needs = classes.select("cls", F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("need0").alias("need")),
                                                     F.struct(F.lit(1).alias("odd"), F.col("need1").alias("need")))).alias("x")).select("cls", "x.*")
     for _ in range(2):
-        odd = F.col("root").bitwiseAND(F.lit(1)).cast("int").alias("odd")
-        enough = (members.groupBy("cls", odd).agg(F.count(F.lit(1)).alias("has")).join(needs, ["cls", "odd"])
+        enough = (members.groupBy("cls", _odd()).agg(F.count(F.lit(1)).alias("has")).join(needs, ["cls", "odd"])
                   .where("has >= need").select("cls", "odd"))
-        fewer = stored(_crowded(members.drop("m").withColumn("odd", odd).join(enough, ["cls", "odd"]).drop("odd")))
+        fewer = stored(_crowded(members.drop("m").withColumn("odd", _odd()).join(enough, ["cls", "odd"]).drop("odd")))
         discard(members)
         members = fewer
-    # of roots with the same classes one stays, with their number
-    alike = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls") % (1 << 40)).alias("s"), F.sum(F.xxhash64("cls", F.lit(7)) % (1 << 40)).alias("t"))
-    kept = alike.groupBy("m", "s", "t").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("times")).select("root", "times")
+    # of a parity's roots with the same classes one stays, with their number
+    alike = members.groupBy("root", _odd()).agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls") % (1 << 40)).alias("s"), F.sum(F.xxhash64("cls", F.lit(7)) % (1 << 40)).alias("t"))
+    kept = alike.groupBy("odd", "m", "s", "t").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("times")).select("root", "times")
     fewer = stored(members.join(kept, "root").join(classes.select("cls", F.col("n_shingles").alias("n")), "cls"))
     discard(members)
     members = fewer
@@ -407,9 +430,9 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, words_in_shingle: int
     first = _verified(likely, sets, percent)
     merged = components(first)
 
-    left = members.drop("n", "times").join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = left.groupBy("root").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("root")
-    leaves = left.join(mixed, "root").join(sets.drop("shingles", "cells"), "cls")
+    left = members.drop("n").join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    rare = stored(_rarest(left, needs))
+    leaves = _crowded(_mixed(rare)).join(sets.drop("shingles", "cells"), "cls")
     found = _descend(leaves, percent)
     near = _possible(found, sets, percent)
     second = _verified(near, sets, percent)
@@ -417,7 +440,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, words_in_shingle: int
     named = classes.join(groups, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "rep")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))  # the smallest id of all classes of a component
     final = stored(named.join(least, "component").select("cls", "component", "component_id"))
-    discard(members, sets, likely, found, near, first, second)
+    discard(members, sets, likely, rare, found, near, first, second)
     named = classes.join(final, "cls").select(*same, "component", "component_id", "n_copies")
     return (sizes.join(named, same, "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),

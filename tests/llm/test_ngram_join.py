@@ -113,3 +113,15 @@ def test_unlike_sets_share_no_empty_slice():
         for takes, _, slices, r, _, held, lacks, need in ngram_join._slots(row, grams, n, percent):
             assert not lacks.any() and (need[takes] > 1).all()
             assert len(np.unique(held)) == len(held) < slices.sum() or not takes.any()
+
+
+def test_classes_leave_the_most_crowded_roots_they_may_lose(spark):
+    """Three sets under four even roots and one odd root; the sixth root holds one component only."""
+    held = {2: (1, 2, 3), 4: (1, 2, 3), 6: (1, 2), 8: (2, 3), 3: (1, 2, 3), 10: (2, 4)}
+    part = {1: 1, 2: 2, 3: 3, 4: 2}
+    rows = [(root, cls, len(own), 2 if root == 6 else 1, part[cls]) for root, own in held.items() for cls in own]
+    members = spark.createDataFrame(rows, "root long, cls long, m long, times long, component long")
+    needs = spark.createDataFrame([(c, odd, n) for c, odd, n in ((1, 0, 3), (1, 1, 1), (2, 0, 2), (2, 1, 2), (3, 0, 1), (3, 1, 1), (4, 0, 1))], "cls long, odd int, need long")
+    found = {(r.root, r.cls) for r in ngram_join._rarest(members, needs).collect()}
+    # class 1 loses 4 and 2; class 2 loses 4, and 3 where it needs two; class 3 loses none; root 10 isn't mixed
+    assert found == {(6, 1), (3, 1), (2, 2), (6, 2), (8, 2), (2, 3), (4, 3), (8, 3), (3, 3)}
