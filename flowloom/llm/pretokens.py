@@ -21,6 +21,10 @@ _SUFFIXES = ["s", "t", "re", "ve", "m", "ll", "d"]
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, DIGIT, WHITE = range(4)
 _TRIED = 1024  # unknown code points tried at once
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that a byte-level model writes as their own sign
+_SIGNS = np.zeros(256, np.uint32)  # the others get the signs from 256 on
+_SIGNS[_SHOWN] = _SHOWN
+_SIGNS[_SIGNS == 0] = np.arange(256, 512 - len(_SHOWN))
 
 
 class Pieces:
@@ -35,6 +39,9 @@ class Pieces:
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.classes = self._class_table()
+        own = self.tokenizer.pre_tokenizer
+        #: the model takes a pre-token's bytes as they are
+        self.bare = self.tokenizer.normalizer is None and type(own).__name__ == "ByteLevel" and not own.add_prefix_space
 
     def _class_table(self) -> np.ndarray:
         """Letter, digit, white space or other for each code point; unknown ones are tried on the library's own split.
@@ -68,10 +75,26 @@ class Pieces:
             return np.insert(ids, edge[at], [self.special[words[i]] for i in fixed]), np.insert(size, at, 1)
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if self.bare:  # the library's model alone: no search for pre-tokens in what is one, no offsets
+            tokenize, ids, size = self.tokenizer.model.tokenize, [], []
+            for word in _signs(words):
+                found = tokenize(word)
+                size.append(len(found))
+                ids += [t.id for t in found]
+            return np.array(ids, np.uint32), np.array(size, np.int64)
         found = self.tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
         return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
 
 
+def _signs(words: list[str]) -> list[str]:
+    """Pre-tokens as a byte-level model reads them: a sign for each byte."""
+    data = np.frombuffer("".join(words).encode("utf-8"), np.uint8)
+    begin = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    edge = begin[np.cumsum([0, *map(len, words)])].tolist()
+    text = _SIGNS[data].astype("<u4").tobytes().decode("utf-32-le")
+    return [text[a:z] for a, z in zip(edge, edge[1:])]
+
+
 _open: dict[str, Pieces] = {}  # by path
 
 
@@ -178,3 +201,13 @@ class Ids:
         edge = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         place = np.arange(edge[-1]) + np.repeat(self.begin[entry] - edge[:-1], size)
         return self.ids[place], edge[first]
+
+
+_kept: dict[str, Ids] = {}  # by path
+
+
+def kept_ids(path: str) -> Ids:
+    """One bounded cache of ids for each worker process, which goes on with the next task."""
+    if path not in _kept:
+        _kept[path] = Ids(path)
+    return _kept[path]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import mapped, scratch
 from .crc import joined
-from .pretokens import Ids
+from .pretokens import kept_ids
 from .words import U, batch, ragged, text_slices
 
 END_ID = 0
@@ -130,7 +130,7 @@ class Shard:
 
 def _encode(path: str, end_id: int, shard_ids: int):
     def run(batches):
-        part, ids_of = TaskContext.get().partitionId(), Ids(path)
+        part, ids_of = TaskContext.get().partitionId(), kept_ids(path)
         shard = ids_before = docs_before = held = 0
         docs, known, lengths, parts, ends = [], [], [], [], []
 

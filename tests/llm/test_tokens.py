@@ -52,6 +52,27 @@ def test_ids_equal_the_library(library):
     assert found == ids_of(library, texts)
 
 
+def test_pre_tokens_go_to_the_model_alone(library, monkeypatch):
+    """Neither the library's search for pre-tokens nor its offsets are needed; the ids stay the same, and the next task has them."""
+    rng = random.Random(12)
+    made = ["".join(chr(rng.choice([rng.randrange(0x61, 0x7B), rng.randrange(0xC0, 0x17F), rng.randrange(0x4E00, 0x9FFF), 0x1F600])) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    every = [chr(c) for c in [*range(0x21), *range(0x7F, 0xA1), 0xAD, 0x2028, 0xE000, 0x10FFFF]]
+    text = "".join(f" {w}" for w in made) + " ".join(every) + "it's 12 x<|endoftext|>  y \n"
+    data = np.frombuffer(text.encode(), np.uint8)
+    want = ids_of(library, [text])[0]
+    tool = pretokens.pieces(PATH)
+
+    class Model:
+        model = tool.tokenizer.model
+
+    monkeypatch.setattr(tool, "tokenizer", Model)  # has no encode_batch
+    monkeypatch.setattr(pretokens, "_kept", {})
+    found = pretokens.kept_ids(PATH).of(data, np.array([0, len(data)]))[0]
+    assert found.tolist() == want
+    monkeypatch.setattr(tool, "encode", None)  # a later task of the worker finds all ids in its cache
+    assert pretokens.kept_ids(PATH).of(data, np.array([0, len(data)]))[0].tolist() == want
+
+
 def test_split_of_every_sign(library):
     tool = pretokens.pieces(PATH)
     texts = [f"a{chr(c)}a 1{chr(c)}1 {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000][::7]
