@@ -17,11 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import mapped
-from .words import batch, text_slices
+from .words import batch, ragged, text_slices
 
 BLOCK_BYTES = 40 << 20
 BLOCK_DOCS = 60_000
 ROWS = 4096  # of an Arrow batch
+SORTED = 1 << 19  # rows of a block that are put in order at once
 HELD = 16 << 20  # sums that a task holds before it hands them on
 HELD_NAMES = 500_000  # distinct units that a task counts before it hands them on
 
@@ -43,9 +44,13 @@ class Block:
             rest = ~hit[back]
             doc, back = doc[rest], back[rest]
         pair, times = np.unique(back * len(ids) + doc, return_counts=True) if len(back) else (np.zeros(0, np.int64),) * 2
+        many = np.maximum(-(-times // 255), 1)  # a document may hold a unit more often than a byte counts
+        if (many > 1).any():
+            pair, left = np.repeat(pair, many), np.repeat(times, many)
+            times = np.minimum(left - 255 * ragged(many)[1], 255)
         self.units.append(u[pair // max(len(ids), 1)])
         self.docs.append((pair % max(len(ids), 1) + self.n_docs).astype(np.uint16))
-        self.times.append(times.astype(np.int32))
+        self.times.append(times.astype(np.uint8))
         self.about.append((ids, np.diff(bounds), size, sums))
         self.n_docs += len(ids)
         self.n_bytes += int(bounds[-1])
@@ -57,25 +62,32 @@ class Block:
         # a negative number is no unit
         yield batch(["block", "unit", "total", "posting"], [pa.array([block], pa.int64()), pa.array([-1 - block], pa.int64()), pa.array([0], pa.int64()),
                                                             pa.array([about.tobytes()], pa.binary())])
-        units, docs, times = np.concatenate(self.units), np.concatenate(self.docs), np.concatenate(self.times)
-        many = np.maximum(-(-times // 255), 1)  # a document may hold a unit more often than a byte counts
-        if (many > 1).any():
-            units, docs, left = np.repeat(units, many), np.repeat(docs, many), np.repeat(times, many)
-            step = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-            times = np.minimum(left - step * 255, 255)
-        order = np.argsort(units, kind="stable")
-        units, docs, times = units[order], docs[order], times[order].astype(np.uint8)
-        edge = np.append(np.flatnonzero(np.append(True, units[1:] != units[:-1])), len(units)) if len(units) else np.zeros(1, np.int64)
-        own = units[edge[:-1]]
-        keys = own.astype(np.int64)
-        total = np.add.reduceat(times.astype(np.int64), edge[:-1]) if len(own) else np.zeros(0, np.int64)
-        for lo in range(0, len(own), ROWS):
-            hi = min(lo + ROWS, len(own))
-            once = total[lo:hi] == np.diff(edge[lo:hi + 1])
-            packed = [docs[edge[i]:edge[i + 1]].tobytes() if one else _with_times(docs[edge[i]:edge[i + 1]], times[edge[i]:edge[i + 1]])
-                      for i, one in zip(range(lo, hi), once)]
-            yield batch(["block", "unit", "total", "posting"], [np.full(hi - lo, block, np.int64), keys[lo:hi], total[lo:hi],
-                                                                pa.array(packed, pa.binary())])
+        for units, docs, times in self._ranges():
+            yield from _packed(block, units, docs, times)
+
+    def _ranges(self):
+        """(unit, document, times) by ascending ranges of units of about ``SORTED`` rows, so that no more is copied at once."""
+        step = max(SORTED // 64, 1)
+        some = np.sort(np.concatenate([u[::step] for u in self.units]))[64::64] if sum(map(len, self.units)) > SORTED else self.units[0][:0]
+        places = [np.concatenate([[0], np.searchsorted(u, np.unique(some)), [len(u)]]) for u in self.units]  # a slice's units ascend
+        for i in range(len(places[0]) - 1):
+            yield [np.concatenate([x[at[i]:at[i + 1]] for x, at in zip(column, places)]) for column in (self.units, self.docs, self.times)]
+
+
+def _packed(block: int, units: np.ndarray, docs: np.ndarray, times: np.ndarray):
+    order = np.argsort(units, kind="stable")
+    units, docs, times = units[order], docs[order], times[order]
+    edge = np.append(np.flatnonzero(np.append(True, units[1:] != units[:-1])), len(units)) if len(units) else np.zeros(1, np.int64)
+    own = units[edge[:-1]]
+    keys = own.astype(np.int64)
+    total = np.add.reduceat(times.astype(np.int64), edge[:-1]) if len(own) else np.zeros(0, np.int64)
+    for lo in range(0, len(own), ROWS):
+        hi = min(lo + ROWS, len(own))
+        once = total[lo:hi] == np.diff(edge[lo:hi + 1])
+        packed = [docs[edge[i]:edge[i + 1]].tobytes() if one else _with_times(docs[edge[i]:edge[i + 1]], times[edge[i]:edge[i + 1]])
+                  for i, one in zip(range(lo, hi), once)]
+        yield batch(["block", "unit", "total", "posting"], [np.full(hi - lo, block, np.int64), keys[lo:hi], total[lo:hi],
+                                                            pa.array(packed, pa.binary())])
 
 
 def _with_times(docs: np.ndarray, times: np.ndarray) -> bytes:

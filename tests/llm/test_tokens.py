@@ -158,3 +158,22 @@ def test_shortest_pack_first():
     packs = shortest_pack_first({5: 3, 3: 4, 2: 1}, 8)
     assert sum(n * len(x) for n, x in packs) == 8 and all(sum(x) <= 8 for _, x in packs)
     assert sorted(packs) == [(1, (3, 2)), (3, (5, 3))]
+
+
+def test_block_puts_few_rows_in_order_at_once(monkeypatch):
+    """A block's rows are the same whatever is sorted at once, and no range of units is much larger than that."""
+    def rows():
+        block, rng = postings.Block(), np.random.default_rng(6)
+        for n in (300, 1, 200):
+            size = rng.integers(0, 60, n)
+            first = np.concatenate([[0], np.cumsum(size)])
+            units = rng.integers(0, 700, size.sum()) ** 2
+            units[: size[0]] = 4  # more often in one document than a byte counts
+            block.add(pa.array(np.arange(n)), first * 5, np.repeat(units, 9), first * 9, None)
+        ranges = [len(x[0]) for x in block._ranges()]
+        return [x for b in block.rows(7) for x in zip(*(c.to_pylist() for c in b.columns))], ranges
+    whole, one = rows()
+    monkeypatch.setattr(postings, "SORTED", 1024)
+    parts, ranges = rows()
+    assert parts == whole and len(one) == 1 and sum(ranges) == one[0] and max(ranges) < 2 * 1024
+    assert len({x[1] for x in whole}) == len(whole)
