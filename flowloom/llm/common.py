@@ -6,7 +6,7 @@ import ctypes
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowloom.session import ship, scratch_folder
 
@@ -59,29 +59,38 @@ def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(_tidy(fn), schema)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for each node of ``edges(a, b)``.
+def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable, for each node of ``edges(a, b)`` that has a smaller one.
 
-    Large-star and small-star rounds: every round is two partially aggregated groupings and two equi joins, so a
-    node with very many links is neither collected nor held in one task. Ends when a round changes nothing.
+    Large-star and small-star rounds: both halves of a round take one shuffle, sort the neighbours of a node and pass
+    through them, so a node with very many links is spilled and not held. Ends when a round moves no edge.
     """
     star = stored(edges.where("a is not null and b is not null and a <> b")
-                  .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        both = star.select("u", "v").union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        rounds = stored(small)
+                  .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(True).alias("moved")))
+    order = Window.partitionBy("u").orderBy("v", F.desc("moved"))
+
+    def nearest(links: DataFrame) -> DataFrame:
+        """Each link once, with the smallest neighbour."""
+        least = F.first("v").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return links.select("*", least.alias("m"), F.lag("v").over(order).alias("p")).where("p is null or p <> v")
+
+    def closer(links: DataFrame) -> DataFrame:
+        """One round; an edge has moved if its smaller end or the smallest one beside it was no root."""
+        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("moved", F.lit(False))
+        large = nearest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
+        return nearest(large).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"),
+                                     (F.col("moved") | (F.col("v") != F.col("m"))).alias("moved"))
+
+    for _ in range(max_rounds // 2):
+        rounds = stored(closer(closer(star)))  # two rounds are written at once
         discard(star)
         star = rounds
-        now = star.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
-        if now == before:
-            roots = star.select(F.col("v").alias("node")).distinct()
-            return star.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                roots.select("node", F.col("node").alias("component")))
-        before = now
+        if not star.agg(F.max("moved")).first()[0]:
+            return star.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError("components did not settle")
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable, for each node of ``edges(a, b)``."""
+    found = stars(edges, max_rounds)
+    return found.union(found.select(F.col("component").alias("node"), "component").distinct())

@@ -21,7 +21,7 @@ its most crowded ones as it may lose without losing a link.
 
 *Trees.* Roots that still hold more than one component get a tree: leaf nodes of some classes with their token bitmaps and sizes,
 nodes above with OR-combined bitmaps, size ranges and component ranges. Pairs of nodes descend together, level by
-level, through equi joins; a pair is pruned if it lies in one component, its sizes can't meet, or its largest
+level, through equi joins in one job; a pair is pruned if it lies in one component, its sizes can't meet, or its largest
 possible overlap (common bits, plus the shingles of a class that share a bit) is too small. The same bound is taken
 for each two classes of two leaf nodes. What is left is compared by cells (each shingle changes one cell of a class, so the cells that
 differ are a lower bound of the shingles that differ), and then exactly. A root of one leaf node needs no join, and a root of
@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import components, discard, mapped, stored
+from .common import discard, mapped, stars, stored
 from .words import U, batch, mix, ragged, signed, text_slices, windows, words
 
 LONGS = 16  # 64-bit numbers of a bitmap
@@ -91,19 +91,15 @@ def _sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return total[edge[1:]] - total[edge[:-1]]
 
 
-def _describe(k: int, percent: int):
-    """Size and two sums that tell sets apart, and for even and odd bands the fewest roots that a link needs."""
+def _describe(k: int):
+    """Size and two sums that tell sets apart."""
     def run(batches):
         for b in batches:
             ids = b.column(0)
             for lo, hi, row, grams in shingle_sets(b.column(1), k):
                 n = np.bincount(row, minlength=hi - lo)
-                needs = np.ones((2, hi - lo), np.int64)
-                for takes, level, _, _, _, _, _, need in _slots(row, grams, n, percent):
-                    at = np.flatnonzero(takes)
-                    needs[level[at] & 1, at] = need[at]
-                yield batch(["doc_id", "tag", "n_shingles", "set_a", "set_b", "need0", "need1"],
-                            [ids.slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), n.astype(np.int64), *_tags(row, grams, hi - lo), needs[0], needs[1]])
+                yield batch(["doc_id", "tag", "n_shingles", "set_a", "set_b"],
+                            [ids.slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), n.astype(np.int64), *_tags(row, grams, hi - lo)])
     return run
 
 
@@ -154,16 +150,16 @@ def _slots(row: np.ndarray, grams: np.ndarray, n: np.ndarray, percent: int):
 
 
 def _root_keys(k: int, percent: int):
-    """(root, cls) for each root a class stands under; the lowest bit of a root is that of its band."""
+    """(root, cls, size, fewest roots of the band that a link needs) for each root a class stands under; the lowest bit of a root is that of its band."""
     def run(batches):
         for ids, row, grams, n in _own_sets(batches, k):
-            for _, level, slices, r, part, held, lacks, _ in _slots(row, grams, n, percent):
+            for _, level, slices, r, part, held, lacks, need in _slots(row, grams, n, percent):
                 for i in np.flatnonzero(lacks):  # every equal slice may be an empty one
                     empty = np.setdiff1d(np.arange(slices[i]), part[r == i])
                     r, part = np.append(r, np.full(len(empty), i)), np.append(part, empty)
                     held = np.append(held, np.zeros(len(empty), U))
                 key = mix(mix(held, 5) ^ mix(part.astype(U) * U(1 << 20) + level[r].astype(U), 6), 7)
-                yield batch(["root", "cls"], [signed(key & ~U(1) | (level[r] & 1).astype(U)), ids[r]])
+                yield batch(["root", "cls", "n", "need"], [signed(key & ~U(1) | (level[r] & 1).astype(U)), ids[r], n[r].astype(np.int64), need[r].astype(np.int64)])
     return run
 
 
@@ -297,19 +293,19 @@ def _descend(leaves: DataFrame, percent: int) -> DataFrame:
         *(F.collect_list(c).alias(c) for c in held), F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c_low"),
         F.max("component").alias("c_high"), F.max("excess").alias("e"), *(F.bit_or(c).alias("o" + c) for c in bits)))
     about = ["low", "high", "c_low", "c_high", "e", *("o" + c for c in bits)]
-    nodes = {0: blocks.select("root", "node", *about)}
-    level, largest, written = 0, blocks.agg(F.max("node")).first()[0], [blocks]
+    level, largest = 0, blocks.agg(F.max("node")).first()[0]
     while largest:
         largest //= FANOUT
         level += 1
-        nodes[level] = stored(nodes[level - 1].groupBy("root", F.floor(F.col("node") / FANOUT).alias("node")).agg(
-            F.min("low").alias("low"), F.max("high").alias("high"), F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"),
-            F.max("e").alias("e"), *(F.bit_or("o" + c).alias("o" + c) for c in bits)))
-        written.append(nodes[level])
-    pairs = nodes[level].select("root", F.col("node").alias("x"), F.col("node").alias("y"))
+    # the nodes of all levels in one table: level 0 are the leaf nodes
+    own = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.floor(F.col("node") / FANOUT ** i).alias("node")) for i in range(level + 1))))
+    nodes = stored(blocks.select("root", own.alias("own"), *about).groupBy("root", "own.level", "own.node").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"),
+        F.max("e").alias("e"), *(F.bit_or("o" + c).alias("o" + c) for c in bits)))
+    pairs = nodes.where(F.col("level") == level).select("root", F.col("node").alias("x"), F.col("node").alias("y"))
     for at in range(level - 1, -1, -1):
         def side(mark):
-            return nodes[at].select("root", F.floor(F.col("node") / FANOUT).alias(mark), F.col("node").alias(mark + "n"),
+            return nodes.where(F.col("level") == at).select("root", F.floor(F.col("node") / FANOUT).alias(mark), F.col("node").alias(mark + "n"),
                                     *(F.col(c).alias(f"{mark}_{c}") for c in about))
         met = pairs.join(side("x"), ["root", "x"]).join(side("y"), ["root", "y"]).where("xn <= yn")
         met = met.where("not (x_c_low = x_c_high and y_c_low = y_c_high and x_c_low = y_c_low)")
@@ -318,17 +314,17 @@ def _descend(leaves: DataFrame, percent: int) -> DataFrame:
                      F.bit_count(F.col("x_ob0").bitwiseAND(F.col("y_ob0"))))
         most = F.least(common + F.least("x_e", "y_e"), "x_high", "y_high")
         met = met.where((100 + percent) * most >= percent * (F.col("x_low") + F.col("y_low")))
-        pairs = stored(met.select("root", F.col("xn").alias("x"), F.col("yn").alias("y")))
-        written.append(pairs)
+        pairs = met.select("root", F.col("xn").alias("x"), F.col("yn").alias("y"))
+    pairs = stored(pairs)
     # pairs of leaf nodes meet by the nodes above them: a leaf node is sent once for the pairs of two such nodes, not for each pair,
     # and the nodes of a crowded root are dealt to all tasks
     above = pairs.select("root", F.floor(F.col("x") / FANOUT).alias("up_x"), F.floor(F.col("y") / FANOUT).alias("up_y"), "x", "y")
     asked = above.groupBy("root", "up_x", "up_y").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
-    sent = above.select("root", "up_x", "up_y", F.explode(F.array("x", "y")).alias("node")).distinct()
+    sent = asked.select("root", "up_x", "up_y", F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("node"))
     met = sent.join(blocks.select("root", "node", *held), ["root", "node"]).join(asked, ["root", "up_x", "up_y"])
     met = met.groupBy("root", "up_x", "up_y").applyInArrow(_met_pairs(percent, held), "a long, b long")
     found = stored(met.union(alone).distinct())
-    discard(*written)
+    discard(blocks, nodes, pairs)
     return found
 
 
@@ -338,26 +334,34 @@ def _piece(name: str):
 
 
 def _crowded(members: DataFrame) -> DataFrame:
-    """(root, cls, m) of roots with ``m`` > 1 classes."""
-    crowded = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return members.join(crowded, "root")
+    """``members`` with ``m``, the classes of their root, where that is above 1."""
+    return members.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("root"))).where("m > 1")
+
+
+def _enough(members: DataFrame) -> DataFrame:
+    """The rows of classes that share as many roots of a band with anybody as a link ``need``s."""
+    has = F.count(F.lit(1)).over(Window.partitionBy("cls", "odd"))
+    return members.withColumn("odd", _odd()).withColumn("has", has).where("has >= need").drop("odd", "has")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
     """The rows of roots that hold more than one component."""
-    roots = members.groupBy("root").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("root")
-    return members.join(roots, "root")
+    root = Window.partitionBy("root")
+    return members.withColumns({"lo": F.min("component").over(root), "hi": F.max("component").over(root)}).where("lo <> hi").drop("lo", "hi")
 
 
-def _rarest(members: DataFrame, needs: DataFrame) -> DataFrame:
+def _rarest(members: DataFrame, needs: DataFrame | None = None) -> DataFrame:
     """(root, cls, component) without the most crowded roots of each class in a band, as many as it may lose.
 
     A linked pair of two components shares at least the ``need`` of either class in roots that hold both, so in one order of all
-    roots the first they share comes before the last ``need - 1`` of either. ``members`` has root, cls, m, times and component.
+    roots the first they share comes before the last ``need - 1`` of either. ``members`` has root, cls, m, times, component and
+    ``need``, unless ``needs`` (cls, odd, need) has that.
     """
     crowd = Window.partitionBy("cls", "odd").orderBy(F.desc("m"), F.desc("root")).rowsBetween(Window.unboundedPreceding, 0)
     placed = _mixed(members).withColumn("odd", _odd()).withColumn("crowded", F.sum("times").over(crowd))
-    return placed.join(needs, ["cls", "odd"]).where("crowded >= need").select("root", "cls", "component")
+    if needs is not None:
+        placed = placed.join(needs, ["cls", "odd"])
+    return placed.where("crowded >= need").select("root", "cls", "component")
 
 
 def _odd():
@@ -373,75 +377,66 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80, words_in_shingle: int
     k = words_in_shingle
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
-    sizes = stored(mapped(tagged, _describe(k, percent), "doc_id long, tag long, n_shingles long, set_a long, set_b long, need0 long, need1 long"))
+    sizes = stored(mapped(tagged, _describe(k), "doc_id long, tag long, n_shingles long, set_a long, set_b long"))
     same = ["n_shingles", "set_a", "set_b"]
-    rows = sizes.where("n_shingles > 0").groupBy(*same, "doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("need0").alias("need0"), F.min("need1").alias("need1"))
+    rows = sizes.where("n_shingles > 0").groupBy(*same, "doc_id").agg(F.count(F.lit(1)).alias("c"))
     classes = rows.groupBy(*same).agg(F.min_by(F.struct("doc_id", "c"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("own"),
-                                      F.sum("c").alias("n_copies"), F.min("need0").alias("need0"), F.min("need1").alias("need1"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("cls"), *same, F.col("own.doc_id").alias("rep"), F.col("own.c").alias("c"),
-                                    "n_copies", "need0", "need1"))
+                                      F.sum("c").alias("n_copies"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cls"), *same, F.col("own.doc_id").alias("rep"), F.col("own.c").alias("c"), "n_copies"))
 
     def texts(wanted: DataFrame) -> DataFrame:
         """A text for each class; rows that repeat id and text are told by their count, and only those may come twice."""
         return docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "cls", *same, "c")
 
     linkable = classes.where("rep is not null")  # a text without any id has no place in a component
-    dealt = texts(linkable)
-    rooted = mapped(dealt.where("c = 1"), _root_keys(k, percent), "root long, cls long").union(
-        mapped(dealt.where("c > 1"), _root_keys(k, percent), "root long, cls long").distinct())
-    order = Window.partitionBy("root").orderBy("cls")
-    beside = stored(rooted.select("root", "cls", F.lag("cls").over(order).alias("p"), F.lead("cls").over(order).alias("q"))
-                    .where("p <> cls or q <> cls").select("root", "cls").distinct())
-    members = stored(_crowded(beside))
-    discard(beside)
+    repeated = not linkable.where("c > 1").isEmpty()
+
+    def of_texts(wanted: DataFrame, fn, schema: str, key: list[str]) -> DataFrame:
+        dealt = texts(wanted)
+        once = mapped(dealt.where("c = 1"), fn, schema)
+        return once.union(mapped(dealt.where("c > 1"), fn, schema).dropDuplicates(key)) if repeated else once
+
+    rooted = of_texts(linkable, _root_keys(k, percent), "root long, cls long, n long, need long", ["root", "cls"])
+    order, root = Window.partitionBy("root").orderBy("cls"), Window.partitionBy("root")
+    beside = (rooted.select("*", F.lag("cls").over(order).alias("p"), F.lead("cls").over(order).alias("q"))
+              .where("p <> cls or q <> cls").select("root", "cls", "n", "need").distinct())
     # equal slices of a linked pair are many: a class that shares too few of a band's roots links with nobody there
-    needs = classes.select("cls", F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("need0").alias("need")),
-                                                    F.struct(F.lit(1).alias("odd"), F.col("need1").alias("need")))).alias("x")).select("cls", "x.*")
-    for _ in range(2):
-        enough = (members.groupBy("cls", _odd()).agg(F.count(F.lit(1)).alias("has")).join(needs, ["cls", "odd"])
-                  .where("has >= need").select("cls", "odd"))
-        fewer = stored(_crowded(members.drop("m").withColumn("odd", _odd()).join(enough, ["cls", "odd"]).drop("odd")))
-        discard(members)
-        members = fewer
+    enough = _crowded(_enough(_crowded(beside)))
     # of a parity's roots with the same classes one stays, with their number
-    alike = members.groupBy("root", _odd()).agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("cls") % (1 << 40)).alias("s"), F.sum(F.xxhash64("cls", F.lit(7)) % (1 << 40)).alias("t"))
-    kept = alike.groupBy("odd", "m", "s", "t").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("times")).select("root", "times")
-    fewer = stored(members.join(kept, "root").join(classes.select("cls", F.col("n_shingles").alias("n")), "cls"))
-    discard(members)
-    members = fewer
+    signs = {name: F.sum(F.xxhash64("cls", *salt) % (1 << 40)).over(root) for name, salt in (("s", []), ("t", [F.lit(7)]))}
+    enough = stored(enough.withColumns(signs))
+    kept = enough.groupBy(_odd(), "m", "s", "t").agg(F.min("root").alias("root"), F.expr("count(1) div m").alias("times")).select("root", "times")
+    members = stored(enough.drop("s", "t").join(kept, "root"))
+    discard(enough)
 
     bits = ", ".join(f"b{i} long" for i in range(LONGS))
-    wanted = texts(linkable.join(members.select("cls").distinct(), "cls", "left_semi"))
+    wanted = linkable.join(members.select("cls").distinct(), "cls", "left_semi")
     schema = f"cls long, shingles binary, cells binary, n long, excess long, {bits}"
-    sets = stored(mapped(wanted.where("c = 1"), _with_sets(k), schema).union(mapped(wanted.where("c > 1"), _with_sets(k), schema).dropDuplicates(["cls"])))
-
-    # first links: with the neighbour in size order, and with the class of the root that meets most others under its roots
-    weight = members.groupBy("cls").agg(F.sum(F.col("m") * F.col("times")).alias("weight"))
-    line = Window.partitionBy("root", "piece").orderBy("n", "cls")
-    weighed = members.join(weight, "cls")
-    hub = weighed.groupBy("root").agg(F.max_by("cls", F.struct("weight", "cls")).alias("hub"))
-    near = (weighed.join(hub, "root").withColumn("piece", _piece("cls")).withColumn("before", F.lag("cls").over(line))
-            .select("cls", "times", F.explode(F.array("before", "hub")).alias("other")).where("other <> cls")
-            .groupBy("cls", "other").agg(F.sum("times").alias("shared")))
+    sets = stored(of_texts(wanted, _with_sets(k), schema, ["cls"]))
+
+    # first links: with the neighbour in size order, and with the class of the root (of its piece) that meets most others under its roots
+    piece = Window.partitionBy("root", "piece")
+    weighed = members.withColumn("weight", F.sum(F.col("m") * F.col("times")).over(Window.partitionBy("cls"))).withColumn("piece", _piece("cls"))
+    beside = weighed.select("cls", "times", F.lag("cls").over(piece.orderBy("n", "cls")).alias("before"), F.max(F.struct("weight", "cls")).over(piece).alias("hub"))
+    near = (beside.select("cls", "times", F.explode(F.array("before", "hub.cls")).alias("other")).where("other <> cls")
+            .repartition("cls").groupBy("cls", "other").agg(F.sum("times").alias("shared")))
     best = near.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "other")), False), 1, 2).alias("best"))
     best = best.select("cls", F.explode("best.other").alias("other"))
-    pairs = best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+    pairs = best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).repartition("a").distinct()
     likely = _possible(pairs, sets, percent)
     first = _verified(likely, sets, percent)
-    merged = components(first)
+    merged = stars(first)
 
     left = members.drop("n").join(merged.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    rare = stored(_rarest(left, needs))
-    leaves = _crowded(_mixed(rare)).join(sets.drop("shingles", "cells"), "cls")
+    leaves = stored(_crowded(_mixed(_rarest(left))).join(sets.drop("shingles", "cells"), "cls"))
     found = _descend(leaves, percent)
     near = _possible(found, sets, percent)
     second = _verified(near, sets, percent)
-    groups = components(first.union(second)).select(F.col("node").alias("cls"), "component")
-    named = classes.join(groups, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "rep")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))  # the smallest id of all classes of a component
-    final = stored(named.join(least, "component").select("cls", "component", "component_id"))
-    discard(members, sets, likely, rare, found, near, first, second)
-    named = classes.join(final, "cls").select(*same, "component", "component_id", "n_copies")
-    return (sizes.join(named, same, "left")
+    groups = stars(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
+    named = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = F.min("rep").over(Window.partitionBy("component"))  # the smallest id of all classes of a component
+    final = stored(named.select(*same, "component", least.alias("component_id"), "n_copies"))
+    discard(classes, members, sets, likely, leaves, found, near, first, second, merged, groups)
+    return (sizes.join(final, same, "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                     F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "tag", "component"))

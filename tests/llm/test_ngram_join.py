@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from flowloom.llm import ngram_join
+from flowloom.llm.common import components
 from flowloom.llm.ngram_join import ngram_jaccard_join
 from llm_cases import documents, edge_rows, sentences, words
 
@@ -125,3 +126,15 @@ def test_classes_leave_the_most_crowded_roots_they_may_lose(spark):
     found = {(r.root, r.cls) for r in ngram_join._rarest(members, needs).collect()}
     # class 1 loses 4 and 2; class 2 loses 4, and 3 where it needs two; class 3 loses none; root 10 isn't mixed
     assert found == {(6, 1), (3, 1), (2, 2), (6, 2), (8, 2), (2, 3), (4, 3), (8, 3), (3, 3)}
+
+
+def test_links_merge_in_few_stages(spark):
+    """Each shuffle and each table between jobs has tasks for all partitions, however few the links."""
+    context = spark.sparkContext
+    context.setJobGroup("few stages", "")
+    found = dict(map(tuple, components(spark.createDataFrame([(1, i) for i in range(2, 30)] + [(40, 41), (41, 40)], "a long, b long")).collect()))
+    context._jsc.clearJobGroup()
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for s in {s for j in tracker.getJobIdsForGroup("few stages") for s in tracker.getJobInfo(j).stageIds}]
+    assert found == {i: 1 for i in range(1, 30)} | {40: 40, 41: 40}
+    assert 0 < len([x for x in stages if x is not None and x.numCompletedTasks]) < 14
