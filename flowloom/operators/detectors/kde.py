@@ -52,7 +52,8 @@ def kernel(n: float, cov: np.ndarray, width: int) -> tuple[np.ndarray, float]:
 
 def kernels(n: np.ndarray, cov: np.ndarray, width: int) -> list[tuple[np.ndarray, float]]:
     """``kernel`` of many states at once; those without inverse make all go one by one."""
-    bandwidth = matrix(cov, len(n) * width).reshape(len(n), width, width) * (n ** (-2.0 / (width + 4)))[:, None, None]
+    scale = np.array([float(a) ** (-2.0 / (width + 4)) for a in n])  # powers of arrays may differ from those of numbers in the last bit
+    bandwidth = matrix(cov, len(n) * width).reshape(len(n), width, width) * scale[:, None, None]
     try:
         root = np.linalg.cholesky(bandwidth)
     except np.linalg.LinAlgError:
