@@ -88,25 +88,46 @@ def _best(a: np.ndarray, b: np.ndarray, score: np.ndarray, k: int) -> tuple[np.n
     return a[rank < k], b[rank < k], score[rank < k]
 
 
-def _propose(dim: int, k: int):
-    """Pairs within each list of (id, code, new, least): a proposal goes to the side whose list it would enter."""
+def _pairs(k: int, ids: np.ndarray, x: np.ndarray, scale: np.ndarray, new: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proposals (a, b, score) of one list: the k best of each node, and those that tie with the last of them."""
+    score = x @ x.T * scale[:, None] * scale
+    ok = (score > least[:, None]) & (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
+    if len(ids) > k and np.count_nonzero(ok) > k:
+        known = np.where(ok, score, -np.inf)
+        ok &= known >= np.partition(known, -k, axis=1)[:, -k, None]
+    i, j = np.nonzero(ok)
+    return ids[i], ids[j], score[i, j]
+
+
+def _propose(dim: int, k: int, limit: int = 1 << 20):
+    """Pairs within each list: a proposal goes to the side whose list it would enter.
+
+    Rows are (first, id, code, new, least); lists follow each other, each begins with a row that is ``first``. About ``limit``
+    pairs are held at once, however many lists a task has.
+    """
     def run(batches):
+        held, size, rest = [], 0, None
         for b in batches:
-            held = []
-            for row in b.column(0):
-                items = row.values
-                if len(items) < 2:
-                    continue
-                ids = items.field("id").to_numpy()
-                new, least = items.field("new").to_numpy(zero_copy_only=False), items.field("least").to_numpy()
-                x, scale = _floats(items.field("code").to_pylist(), dim)
-                score = x @ x.T * scale[:, None] * scale
-                ok = (score > least[:, None]) & (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
-                i, j = np.nonzero(ok)
-                held.append((ids[i], ids[j], score[i, j]))
-            if held:
-                a, c, s = _best(*(np.concatenate(x) for x in zip(*held)), k)
-                yield batch(["a", "b", "score"], [a, c, s])
+            if not b.num_rows:
+                continue
+            first, new = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            items = [first, b.column(1).to_numpy(), *_floats(b.column(2).to_pylist(), dim), new, b.column(4).to_numpy()]
+            if rest is not None:
+                items = [np.concatenate(x) for x in zip(rest, items)]
+            begin = np.flatnonzero(items[0])
+            for i, j in zip(begin[:-1], begin[1:]):
+                held.append(_pairs(k, *(x[i:j] for x in items[1:])))
+                size += len(held[-1][0])
+                if size >= limit:
+                    best = _best(*(np.concatenate(x) for x in zip(*held)), k)
+                    held, size = [best], len(best[0])
+                    if size >= limit // 2:
+                        yield batch(["a", "b", "score"], best)
+                        held, size = [], 0
+            rest = [x[begin[-1]:].copy() for x in items]
+        if rest is not None:
+            held.append(_pairs(k, *rest[1:]))
+            yield batch(["a", "b", "score"], _best(*(np.concatenate(x) for x in zip(*held)), k))
     return run
 
 
@@ -122,10 +143,9 @@ def neighbour_graph(nodes: DataFrame, n: int, dim: int, k: int = 24, trees: int
     """(a, b, score): about the k best neighbours b of each node a of ``nodes(id, code)``."""
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / cell))))
     place = F.row_number().over(Window.partitionBy("tree", "cell").orderBy("side", "id")) - 1
-    cells = (mapped(nodes, _cells(dim, trees, bits), "tree int, cell long, side double, id long, code binary")
-             .withColumn("part", F.floor(place / cell))
-             .groupBy("tree", "cell", "part").agg(F.collect_list(F.struct("id", "code", F.lit(True).alias("new"), F.lit(-2.0).alias("least"))).alias("list")))
-    proposals = mapped(cells.select("list"), _propose(dim, k), "a long, b long, score double")
+    cells = mapped(nodes, _cells(dim, trees, bits), "tree int, cell long, side double, id long, code binary").withColumn("first", place % cell == 0)
+    cells = cells.sortWithinPartitions("tree", "cell", "side", "id").select("first", "id", "code", F.lit(True).alias("new"), F.lit(-2.0).alias("least"))
+    proposals = mapped(cells, _propose(dim, k), "a long, b long, score double")
     graph = stored(_top(proposals.withColumn("new", F.lit(1)), k))
     for _ in range(rounds):
         degree = graph.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
@@ -138,9 +158,9 @@ def neighbour_graph(nodes: DataFrame, n: int, dim: int, k: int = 24, trees: int
         least = graph.groupBy("a").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("have"))
         known = nodes.join(least.withColumnRenamed("a", "id"), "id", "left").select(
             "id", "code", F.when(F.col("have") >= k, F.col("least")).otherwise(-2.0).alias("least"))
-        lists = lists.join(busy, ["at", "part"]).join(known, "id").groupBy("at", "part").agg(
-            F.collect_list(F.struct("id", "code", (F.col("new") == 1).alias("new"), "least")).alias("list"))
-        proposals = mapped(lists.select("list"), _propose(dim, k), "a long, b long, score double")
+        lists = lists.join(busy, ["at", "part"]).join(known, "id").withColumn("first", F.row_number().over(Window.partitionBy("at", "part").orderBy("id")) == 1)
+        lists = lists.sortWithinPartitions("at", "part", "id").select("first", "id", "code", F.col("new") == 1, "least")
+        proposals = mapped(lists, _propose(dim, k), "a long, b long, score double")
         graph = stored(_top(proposals.withColumn("new", F.lit(1)).union(graph.withColumn("new", F.lit(0))), k))
         changed = graph.where("new = 1").count()
         if changed <= settled * n * k:

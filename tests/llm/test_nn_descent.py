@@ -1,6 +1,10 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from flowloom.llm import nn_descent
 from flowloom.llm.nn_descent import nearest
 
 
@@ -70,3 +74,62 @@ def test_few_and_none(spark):
     assert {q: [i for i, _ in x] for q, x in got(spark, rows).items()} == {0: [1, 20], 20: [0, 1]}
     assert got(spark, [(0, [1.0, 2.0])]) == {}
     assert got(spark, []) == {}
+
+
+def listed(sizes, dim=8, seed=6):
+    """(ids, codes, first, new, least) of lists of these sizes, drawn from 500 nodes."""
+    rng = np.random.default_rng(seed)
+    code = np.zeros(500, nn_descent._layout(dim))
+    code["scale"], code["whole"] = rng.uniform(0.2, 1, 500), rng.integers(-32000, 32001, (500, dim))
+    ids = np.concatenate([rng.choice(500, n, replace=False) for n in sizes])
+    first = np.zeros(len(ids), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    return ids, code[ids], first, rng.random(len(ids)) < 0.5, rng.normal(-1, 0.5, len(ids))
+
+
+def batches(ids, code, first, new, least, rows):
+    for i in range(0, len(ids), rows):
+        s = slice(i, i + rows)
+        yield pa.RecordBatch.from_arrays([pa.array(first[s]), pa.array(ids[s]), pa.array([c.tobytes() for c in code[s]], pa.binary()), pa.array(new[s]), pa.array(least[s])],
+                                         ["first", "id", "code", "new", "least"])
+
+
+def best(pairs, k):
+    """The k best of each node, as far as their scores tell."""
+    out = {}
+    for (a, b), s in pairs.items():
+        out.setdefault(a, []).append((round(s, 5), b))
+    return {a: sorted(s for s, _ in x)[-k:] for a, x in out.items()}
+
+
+@pytest.mark.parametrize("limit", [1, 300, 1 << 20])
+@pytest.mark.parametrize("rows", [1, 7, 5000])
+def test_lists_over_batches_propose_all_their_best_pairs(rows, limit):
+    sizes = [1, 5, 40, 1, 2, 60, 33]
+    ids, code, first, new, least = listed(sizes)
+    want, begin = {}, np.append(np.flatnonzero(first), len(ids))
+    for lo, hi in zip(begin[:-1], begin[1:]):
+        for i in range(lo, hi):
+            for j in range(lo, hi):
+                s = float(code["whole"][i] / 32000 @ (code["whole"][j] / 32000) * code["scale"][i] * code["scale"][j])
+                if i != j and (new[i] or new[j]) and s > least[i]:
+                    want[ids[i], ids[j]] = s
+    found = {}
+    for b in nn_descent._propose(8, 4, limit)(batches(ids, code, first, new, least, rows)):
+        for a, c, s in zip(*(b.column(i).to_pylist() for i in range(3))):
+            assert abs(want[a, c] - s) < 1e-4
+            found[a, c] = max(s, found.get((a, c), -9.0))
+    assert best(found, 4).keys() == best(want, 4).keys()
+    for a, x in best(want, 4).items():
+        assert best(found, 4)[a] == pytest.approx(x, abs=1e-4)
+
+
+def test_a_task_holds_few_pairs_however_many_lists_it_has():
+    """600 cells of 100 nodes are 5.9 million pairs of 24 bytes: 143 MB, and as much again to sort them."""
+    ids, code, first, new, least = listed([100] * 600)
+    rows = batches(ids, code, first, np.ones(len(ids), bool), np.full(len(ids), -2.0), 10_000)
+    tracemalloc.start()
+    n = sum(b.num_rows for b in nn_descent._propose(8, 24)(rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= 500 * 24 and peak < 150e6
